@@ -1,0 +1,77 @@
+"""Joins that stay even when one key holds a large part of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Below this many rows per task a hot key costs less than treating it.
+MIN_ROWS_PER_TASK = 1_000_000
+MAX_TRACKED = 1_000_000
+
+
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def heavy_sketch(spark: SparkSession, key: str) -> Column:
+    """Aggregate: the most frequent values of `key`, as many as there are shuffle tasks.
+
+    A frequent-items sketch: one pass, no shuffle of the keys, a result bounded by the number of
+    tasks. Any key with more rows than an even task is among them.
+    """
+    top = min(_tasks(spark), MAX_TRACKED)
+    tracked = min(max(10_000, 10 * top), MAX_TRACKED)
+    return F.expr(f"approx_top_k({key}, {top}, {tracked})")
+
+
+def pick_heavy(
+    spark: SparkSession, top: list[Row] | None, total: int, min_rows: int = MIN_ROWS_PER_TASK
+) -> list[tuple]:
+    """(key, splits) for each key that exceeds an even task; splits brings it back to that size."""
+    even = max(total // _tasks(spark), min_rows, 1)
+    return [
+        (entry["item"], -(-entry["count"] // even))
+        for entry in top or []
+        if entry["item"] is not None and entry["count"] > even
+    ]
+
+
+def heavy_keys(df: DataFrame, key: str, min_rows: int = MIN_ROWS_PER_TASK) -> list[tuple]:
+    """Scan one column of `df` for keys too frequent for one task."""
+    spark = df.sparkSession
+    row = df.where(F.col(key).isNotNull()).agg(
+        F.count("*").alias("n"), heavy_sketch(spark, f"`{key}`").alias("top")
+    ).first()
+    return pick_heavy(spark, row["top"], row["n"], min_rows)
+
+
+def lookup_join(
+    facts: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    heavy: list[tuple],
+    how: str,
+    spread_by: str,
+) -> DataFrame:
+    """Join `facts` to `lookup`, which has at most one row per `key`.
+
+    Rows of a heavy key are spread over `splits` tasks by a hash of their own `spread_by` column,
+    and its single lookup row is repeated once per split. The result is exactly that of the plain
+    join. `heavy` has at most one entry per shuffle task, so its broadcast is bounded by that.
+    """
+    if not heavy:
+        return facts.join(lookup, key, how)
+    schema = T.StructType(
+        [T.StructField(key, facts.schema[key].dataType), T.StructField("_splits", T.LongType())]
+    )
+    hot = F.broadcast(facts.sparkSession.createDataFrame(heavy, schema))
+    splits = F.coalesce(F.col("_splits"), F.lit(1))
+    salted = facts.join(hot, key, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(spread_by), splits)
+    )
+    repeated = lookup.join(hot, key, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), splits - 1))
+    )
+    return salted.drop("_splits").join(repeated.drop("_splits"), [key, "_salt"], how).drop("_salt")
