@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,27 +19,20 @@ def _path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.schema("x INT").parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+def _write_empty(spark: SparkSession, root: str, mode: str) -> None:
+    for table, schema in ALL_TABLES.items():
+        empty = spark.createDataFrame([], schema).coalesce(1)
+        empty.write.mode(mode).parquet(_path(root, table))
 
 
 def clear_tables(spark: SparkSession, root: str) -> None:
     """Empty every table."""
-    for table, schema in ALL_TABLES.items():
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(_path(root, table))
+    _write_empty(spark, root, "overwrite")
 
 
 def create_tables(spark: SparkSession, root: str) -> None:
     """Create the tables that do not exist yet; leave the others as they are."""
-    for table, schema in ALL_TABLES.items():
-        if not _exists(spark, _path(root, table)):
-            spark.createDataFrame([], schema).write.parquet(_path(root, table))
+    _write_empty(spark, root, "ignore")
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,7 @@ def assign_ids(df: DataFrame, column: str, max_seen: int) -> DataFrame:
 
     Each task numbers its own rows; a table with one row per task (not per data row) then gives the
     offset to add. Rows are stored in between, since a recomputed task may see them in another
-    order.
+    order: the ids can be joined to and read again.
     """
     slots = materialise(df.withColumn("_slot", F.monotonically_increasing_id()), "ids")
     task = F.shiftright("_slot", 33)
@@ -49,6 +49,15 @@ def assign_ids(df: DataFrame, column: str, max_seen: int) -> DataFrame:
     )
 
 
+def next_ids(max_seen: int) -> Column:
+    """Unique ids above `max_seen`, with gaps between tasks, in one pass.
+
+    For rows written once and not referred to: every task numbers from its own range and only one
+    attempt of it is committed, so nothing needs to be stored first.
+    """
+    return F.lit(max_seen + 1) + F.monotonically_increasing_id()
+
+
 def resolve_tree(
     dirs: DataFrame,
     files: DataFrame,
@@ -73,12 +82,10 @@ def resolve_tree(
         "mtime",
     )
 
-    numbered = assign_ids(files, "file_id", max_file_id).withColumn(
-        "_parent", parent_path(F.col("path"))
-    )
-    heavy_files = heavy_keys(numbered, "_parent", min_hot_rows)
-    resolved = lookup_join(numbered, by_path, "_parent", heavy_files, "left", "path").select(
-        "file_id",
+    placed = files.withColumn("_parent", parent_path(F.col("path")))
+    heavy_files = heavy_keys(placed, "_parent", min_hot_rows)
+    resolved = lookup_join(placed, by_path, "_parent", heavy_files, "left", "path").select(
+        next_ids(max_file_id).alias("file_id"),
         F.col("_parent_id").alias("dir_id"),
         "path",
         "size_bytes",
