@@ -21,8 +21,8 @@ def _path(root: str, table: str) -> str:
 
 def _write_empty(spark: SparkSession, root: str, mode: str) -> None:
     for table, schema in ALL_TABLES.items():
-        empty = spark.createDataFrame([], schema).coalesce(1)
-        empty.write.mode(mode).parquet(_path(root, table))
+        columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+        spark.range(0).coalesce(1).select(*columns).write.mode(mode).parquet(_path(root, table))
 
 
 def clear_tables(spark: SparkSession, root: str) -> None:

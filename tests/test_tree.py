@@ -1,0 +1,160 @@
+import random
+
+import pytest
+from helpers import as_set, dirs, listing, rows
+from pyspark.sql import functions as F
+
+from dirgauge.operators.skew import heavy_keys, lookup_join
+from dirgauge.operators.tree import (
+    CycleError,
+    assign_ids,
+    build_closure,
+    build_lineage,
+    max_id,
+    resolve_tree,
+)
+from dirgauge.sources.listing import classify, split_errors
+
+
+def brute_closure(parents):
+    """(ancestor, descendant, depth) by following parents, as far as they have a row."""
+    pairs = set()
+    for node in parents:
+        at, depth = node, 0
+        while at in parents:
+            pairs.add((at, node, depth))
+            at, depth = parents[at], depth + 1
+    return pairs
+
+
+def as_dirs(spark, parents):
+    return dirs(spark, *[(node, f"/{node}", parent) for node, parent in parents.items()])
+
+
+def closure_rows(df):
+    return as_set(df, "ancestor_id", "descendant_id", "depth")
+
+
+def test_single_root(spark):
+    assert closure_rows(build_closure(dirs(spark, (1, "/a", None)))) == {(1, 1, 0)}
+
+
+def test_no_directories(spark):
+    assert build_closure(dirs(spark)).count() == 0
+
+
+def test_chain_of_150(spark):
+    parents = {n: n - 1 if n > 1 else None for n in range(1, 151)}
+    closure = build_closure(as_dirs(spark, parents))
+    assert closure.count() == 11_325
+    assert closure_rows(closure) == brute_closure(parents)
+
+
+@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
+def test_random_trees_with_and_without_salting(spark, hot_rows):
+    rng = random.Random(5)
+    # One directory holds a third of all others; the rest hang anywhere above themselves.
+    parents = {1: None, 2: None, 3: 1}
+    for node in range(4, 400):
+        parents[node] = 3 if rng.random() < 0.34 else rng.randrange(1, node)
+    closure = build_closure(as_dirs(spark, parents), min_hot_rows=hot_rows)
+    assert closure_rows(closure) == brute_closure(parents)
+
+
+def test_missing_parent_has_no_pair_and_no_root(spark):
+    parents = {5: 99, 6: 5}
+    table = as_dirs(spark, parents)
+    assert closure_rows(build_closure(table)) == {(5, 5, 0), (6, 6, 0), (5, 6, 1)}
+    assert as_set(build_lineage(table), "dir_id", "root_id") == {(5, None), (6, None)}
+
+
+@pytest.mark.parametrize(
+    "parents",
+    [{1: 2, 2: 1}, {1: 1}, {1: None, 2: 4, 3: 2, 4: 3, 5: 4, 6: 5}],
+)
+def test_cycle_raises(spark, parents):
+    with pytest.raises(CycleError):
+        build_lineage(as_dirs(spark, parents))
+
+
+def test_lineage_lists_ancestors_from_self_to_root(spark):
+    lineage = build_lineage(dirs(spark, (1, "/", None), (2, "/a", 1), (3, "/a/b", 2)))
+    found = {r["dir_id"]: (r["ancestors"], r["root_id"]) for r in lineage.collect()}
+    assert found == {1: ([1], 1), 2: ([2, 1], 1), 3: ([3, 2, 1], 1)}
+
+
+def test_ids_are_dense_and_seeded(spark):
+    df = spark.range(1000).repartition(7).select(F.col("id").alias("x"))
+    ids = rows(assign_ids(df, "new", 41), "new", "x")
+    assert sorted(i for i, _ in ids) == list(range(42, 1042))
+    assert sorted(x for _, x in ids) == list(range(1000))
+
+
+def test_max_id_of_empty_or_missing_table(spark):
+    assert max_id(None, "id") == 0
+    assert max_id(spark.range(0), "id") == 0
+    assert max_id(spark.range(3), "id") == 2
+
+
+TREE = [
+    ("/data", "d", 0, 1),
+    ("/data/a", "d", 0, 1),
+    ("/data/a/b", "d", 0, 1),
+    ("/home", "d", 0, 2),
+    ("/data/x", "f", 5, 1),
+    ("/data/a/b/y", "f", 6, 1),
+    ("/home/z", "f", 7, 2),
+    ("/data/link", "l", 0, 1),
+    ("/data/sock", "s", 0, 1),
+    ("/data/.", "d", 0, 1),
+    ("/data/..", "d", 0, 1),
+    ("/data/locked", "d", 0, 1, "IoError"),
+    ("/data/gone", "f", 0, 1, "NotFound"),
+]
+
+
+@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
+def test_resolve(spark, hot_rows):
+    entries, errors = split_errors(listing(spark, *TREE))
+    directories, found = resolve_tree(*classify(entries), 10, 20, min_hot_rows=hot_rows)
+    by_id = {r["dir_id"]: r for r in directories.collect()}
+    assert sorted(by_id) == [11, 12, 13, 14]
+    parent = {r["path"]: by_id[r["parent_id"]]["path"] if r["parent_id"] else None for r in by_id.values()}
+    assert parent == {"/data": None, "/home": None, "/data/a": "/data", "/data/a/b": "/data/a"}
+    placed = found.collect()
+    assert {r["path"]: by_id[r["dir_id"]]["path"] for r in placed} == {
+        "/data/x": "/data", "/data/a/b/y": "/data/a/b", "/home/z": "/home",
+    }
+    assert len({r["file_id"] for r in placed}) == 3 and min(r["file_id"] for r in placed) > 20
+    assert as_set(errors, "path", "error_kind") == {("/data/locked", "IoError"), ("/data/gone", "NotFound")}
+
+
+def test_root_directory_itself(spark):
+    entries = listing(spark, ("/", "d"), ("/etc", "d"), ("/etc/x", "f", 1, 1), ("/y", "f", 1, 1))
+    directories, found = resolve_tree(*classify(entries))
+    ids = {r["path"]: r for r in directories.collect()}
+    assert ids["/"]["parent_id"] is None and ids["/etc"]["parent_id"] == ids["/"]["dir_id"]
+    assert {r["path"]: r["dir_id"] for r in found.collect()} == {
+        "/etc/x": ids["/etc"]["dir_id"], "/y": ids["/"]["dir_id"],
+    }
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_salted_join_equals_plain_join(spark, how):
+    facts = spark.range(3000).select(
+        F.col("id").alias("u"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot"))
+        .when(F.col("id") % 50 == 1, F.lit(None))
+        .otherwise(F.concat(F.lit("k"), (F.col("id") % 200).cast("string")))
+        .alias("k"),
+    )
+    lookup = spark.createDataFrame([("hot", -1)] + [(f"k{n}", n) for n in range(150)], "k string, v int")
+    heavy = heavy_keys(facts, "k", min_rows=1)
+    assert "hot" in dict(heavy) and dict(heavy)["hot"] >= 2 and len(heavy) <= 8
+    plain = facts.join(lookup, "k", how)
+    salted = lookup_join(facts, lookup, "k", heavy, how, "u")
+    assert sorted(rows(salted, "u", "k", "v")) == sorted(rows(plain, "u", "k", "v"))
+
+
+def test_even_keys_are_not_heavy(spark):
+    assert heavy_keys(spark.range(1000).withColumn("k", F.col("id")), "k", min_rows=1) == []
