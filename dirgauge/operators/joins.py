@@ -1,4 +1,4 @@
-"""Joins that stay even when one key holds a large part of the rows."""
+"""Joins that stay even when one key holds a large part of the rows, and checked broadcasts."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 # Below this many rows per task a hot key costs less than treating it.
 MIN_ROWS_PER_TASK = 1_000_000
 MAX_TRACKED = 1_000_000
+# Rows of a few narrow columns that any executor can hold.
+MAX_BROADCAST_ROWS = 200_000
 
 
 def _tasks(spark: SparkSession) -> int:
@@ -75,3 +77,12 @@ def lookup_join(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), splits - 1))
     )
     return salted.drop("_splits").join(repeated.drop("_splits"), [key, "_salt"], how).drop("_salt")
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """`df` marked for broadcast if it has at most `max_rows` rows, else unchanged.
+
+    For the answer to a point filter: the optimizer cannot tell that it is small, and would shuffle
+    the large table it is joined to. The count stops at the limit.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

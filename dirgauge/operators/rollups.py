@@ -31,6 +31,25 @@ def direct_stats(usage: DataFrame) -> DataFrame:
     )
 
 
+def locate_usage(usage: DataFrame, lineage: DataFrame) -> DataFrame:
+    """The usage with each directory's ancestors and root, NULL where the directory has no row."""
+    return usage.join(lineage.select("dir_id", "ancestors", "root_id"), "dir_id", "left")
+
+
+def with_direct_stats(lineage: DataFrame, usage: DataFrame) -> DataFrame:
+    """The lineage with the totals of each directory's own files, NULL where there are none."""
+    return lineage.select("dir_id", "ancestors", "root_id").join(direct_stats(usage), "dir_id", "left")
+
+
+def in_tree_order(lineage: DataFrame) -> DataFrame:
+    """Rows of one subtree in one task, or in neighbouring ones, without splitting by hot keys.
+
+    Read in this order, the rows that reach an ancestor sit together: summing per ancestor is mostly
+    done before the shuffle, and each stored file covers few subtrees.
+    """
+    return lineage.repartitionByRange(F.reverse("ancestors")).sortWithinPartitions("dir_id")
+
+
 def subtree_stats(lineage: DataFrame, usage: DataFrame) -> DataFrame:
     """Bytes and files at or below each directory that has any.
 
@@ -47,19 +66,19 @@ def subtree_stats(lineage: DataFrame, usage: DataFrame) -> DataFrame:
     )
 
 
-def directory_stats(lineage: DataFrame, usage: DataFrame, as_of: Column) -> DataFrame:
+def directory_stats(lineage: DataFrame, as_of: Column) -> DataFrame:
     """Direct and subtree totals for every directory, 0 where there are none.
 
-    The lineage holds every directory, so one join and one aggregation do: a directory's own row
-    (position 0 of its list) carries its direct totals and creates the row of an empty one.
+    `lineage` carries the direct totals. It holds every directory, so one aggregation does: the
+    directory's own row (position 0 of its list) gives its direct totals and creates the row of an
+    empty one.
     """
-    own = lineage.select("dir_id", "ancestors").join(direct_stats(usage), "dir_id", "left")
     reached = F.when(F.col("file_count").isNull(), F.slice("ancestors", 1, 1)).otherwise(
         F.col("ancestors")
     )
     at_self = F.col("pos") == 0
     return (
-        own.select("direct_bytes", "file_count", F.posexplode(reached).alias("pos", "dir_id"))
+        lineage.select("direct_bytes", "file_count", F.posexplode(reached).alias("pos", "dir_id"))
         .groupBy("dir_id")
         .agg(
             F.coalesce(F.sum(F.when(at_self, F.col("direct_bytes"))), F.lit(0)).alias("direct_bytes"),
@@ -71,12 +90,11 @@ def directory_stats(lineage: DataFrame, usage: DataFrame, as_of: Column) -> Data
     )
 
 
-def user_stats(lineage: DataFrame, usage: DataFrame) -> DataFrame:
-    """Bytes and files per (owner, filesystem root). Files without an owner form a NULL uid row,
-    which the audit reports and the full build refuses."""
-    rooted = lineage.where("root_id IS NOT NULL").select("dir_id", "root_id")
+def user_stats(located: DataFrame) -> DataFrame:
+    """Bytes and files per (owner, filesystem root), from the located usage. Files without an owner
+    form a NULL uid row, which the audit reports and the full build refuses."""
     return (
-        usage.join(rooted, "dir_id")
+        located.where("root_id IS NOT NULL")
         .groupBy(F.col("owner_uid").alias("uid"), F.col("root_id").alias("dir_id"))
         .agg(F.sum("bytes").alias("total_bytes"), F.sum("files").alias("file_count"))
     )

@@ -14,6 +14,14 @@ from dirgauge.session import as_of_literal, materialise
 
 ALL_TABLES = {**TABLES, **DERIVED_TABLES}
 
+# Columns looked up by value get a Parquet Bloom filter, so that a point filter skips row groups.
+LOOKUP_COLUMNS = {
+    "directories": ["dir_id", "parent_id"],
+    "directory_stats": ["dir_id"],
+    "directory_lineage": ["dir_id"],
+    "directory_closure": ["ancestor_id"],
+}
+
 
 def _path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
@@ -48,9 +56,16 @@ def _conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType) for f in ALL_TABLES[table].fields])
 
 
+def write_parquet(df: DataFrame, table: str, path: str, mode: str) -> None:
+    writer = df.write.mode(mode).option("parquet.bloom.filter.adaptive.enabled", "true")
+    for column in LOOKUP_COLUMNS.get(table, []):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.parquet(path)
+
+
 def overwrite_table(df: DataFrame, root: str, table: str) -> None:
     """Replace a table. `df` must not read the same table: see `replace_from_itself`."""
-    _conform(df, table).write.mode("overwrite").parquet(_path(root, table))
+    write_parquet(_conform(df, table), table, _path(root, table), "overwrite")
 
 
 def replace_from_itself(df: DataFrame, root: str, table: str) -> None:
@@ -59,7 +74,7 @@ def replace_from_itself(df: DataFrame, root: str, table: str) -> None:
 
 
 def append_table(df: DataFrame, root: str, table: str) -> None:
-    _conform(df, table).write.mode("append").parquet(_path(root, table))
+    write_parquet(_conform(df, table), table, _path(root, table), "append")
 
 
 def append_inventory(
@@ -68,7 +83,9 @@ def append_inventory(
     """Append resolved directories, then files, all stamped with one `last_seen`. The file's path is
     reduced to its last component."""
     seen = as_of_literal(as_of)
-    append_table(directories.withColumn("last_seen", seen), root, "directories")
+    # Children of one parent come out of the parent lookup together: sorted, they are also stored so.
+    stamped = directories.withColumn("last_seen", seen).sortWithinPartitions("parent_id")
+    append_table(stamped, root, "directories")
     named = files.withColumn("filename", file_name(F.col("path")))
     append_table(named.withColumn("last_seen", seen), root, "files")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dirgauge.functions import parent_path
-from dirgauge.operators.skew import (
+from dirgauge.operators.joins import (
     MIN_ROWS_PER_TASK,
     heavy_keys,
     heavy_sketch,
@@ -39,7 +39,8 @@ def assign_ids(df: DataFrame, column: str, max_seen: int) -> DataFrame:
     task = F.shiftright("_slot", 33)
     per_task = slots.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))
     earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_task.select("_task", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    offsets = materialise(per_task.select("_task", before), "offsets")
     within = F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1))
     return (
         slots.withColumn("_task", task)

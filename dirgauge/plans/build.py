@@ -27,52 +27,51 @@ def ingest(spark: SparkSession, root: str, listing: DataFrame, as_of: str | date
     return errors
 
 
+def usage_layout(files: DataFrame, lineage: DataFrame) -> DataFrame:
+    """`directory_usage`, stored by owner: a question about one user reads that user's rows only."""
+    usage = rollups.locate_usage(rollups.build_usage(files), lineage)
+    return usage.repartitionByRange("owner_uid", "dir_id").sortWithinPartitions("owner_uid", "dir_id")
+
+
+def lineage_layout(lineage: DataFrame, usage: DataFrame) -> DataFrame:
+    """`directory_lineage`, stored in tree order."""
+    return rollups.in_tree_order(rollups.with_direct_stats(lineage, usage))
+
+
+def closure_layout(lineage: DataFrame) -> DataFrame:
+    """`directory_closure`. The pairs of a subtree lie in the few tasks that hold it in the stored
+    lineage, so they are only sorted there, not shuffled."""
+    return closure_of(lineage).sortWithinPartitions("ancestor_id", "descendant_id")
+
+
 def finish(spark: SparkSession, root: str, as_of: str | datetime) -> None:
     """Users, closure, directory statistics, user statistics, run log, in this order.
 
     Closure and statistics are recomputed from the files and directories, so a second run changes
     nothing but the run log. A failing step leaves the later ones undone.
     """
-    files = tables.read_table(spark, root, "files")
-    directories = tables.read_table(spark, root, "directories")
 
-    # Stored by owner, so that a question about one user reads that user's rows only.
-    usage = rollups.build_usage(files).repartitionByRange("owner_uid", "dir_id")
-    tables.overwrite_table(
-        usage.sortWithinPartitions("owner_uid", "dir_id"), root, "directory_usage"
-    )
-    usage = tables.read_table(spark, root, "directory_usage")
+    def stored(table: str) -> DataFrame:
+        return tables.read_table(spark, root, table)
 
-    users = tables.read_table(spark, root, "users")
-    owners = rollups.build_users(usage, directories)
-    tables.replace_from_itself(tables.insert_absent(users, owners, ["uid"]), root, "users")
+    lineage = build_lineage(stored("directories"))
+    tables.overwrite_table(usage_layout(stored("files"), lineage), root, "directory_usage")
+
+    owners = rollups.build_users(stored("directory_usage"), stored("directories"))
+    tables.replace_from_itself(tables.insert_absent(stored("users"), owners, ["uid"]), root, "users")
 
-    lineage = build_lineage(directories)
-    tables.overwrite_table(
-        lineage.repartitionByRange("dir_id").sortWithinPartitions("dir_id"),
-        root,
-        "directory_lineage",
-    )
-    lineage = tables.read_table(spark, root, "directory_lineage")
-    # Sorted by ancestor: the rows of one subtree are contiguous, and a root's are spread over many
-    # tasks because the descendant is part of the range key.
     tables.overwrite_table(
-        closure_of(lineage)
-        .repartitionByRange("ancestor_id", "descendant_id")
-        .sortWithinPartitions("ancestor_id", "descendant_id"),
-        root,
-        "directory_closure",
+        lineage_layout(lineage, stored("directory_usage")), root, "directory_lineage"
     )
+    tables.overwrite_table(closure_layout(stored("directory_lineage")), root, "directory_closure")
 
-    stats = rollups.directory_stats(lineage, usage, as_of_literal(as_of))
+    stats = rollups.directory_stats(stored("directory_lineage"), as_of_literal(as_of))
     tables.overwrite_table(stats, root, "directory_stats")
 
-    totals = materialise(rollups.user_stats(lineage, usage), "user-stats")
+    totals = materialise(rollups.user_stats(stored("directory_usage")), "user-stats")
     if not totals.where(F.col("uid").isNull()).isEmpty():
         raise ValueError("files without owner: user_stats.uid must not be NULL")
-    stored = tables.read_table(spark, root, "user_stats")
-    tables.replace_from_itself(
-        tables.upsert(stored, totals, ["uid", "dir_id"]), root, "user_stats"
-    )
+    merged = tables.upsert(stored("user_stats"), totals, ["uid", "dir_id"])
+    tables.replace_from_itself(merged, root, "user_stats")
 
     tables.log_run(spark, root, as_of)

@@ -341,7 +341,6 @@ def stream_totals_query(t: OrderTree) -> DataFrame:
 
 
 def _queries() -> dict[str, Callable[[OrderTree], DataFrame]]:
-    as_of = as_of_literal
     return {
         "inventory_load": inventory_load,
         "entry_classify": entry_classify,
@@ -370,13 +369,14 @@ def _queries() -> dict[str, Callable[[OrderTree], DataFrame]]:
         "closure_build": lambda t: build_closure(t["directories"]),
         "direct_stats": lambda t: rollups.direct_stats(rollups.build_usage(t["files"])),
         "subtree_stats": lambda t: rollups.subtree_stats(
-            t["directory_lineage"], rollups.build_usage(t["files"])
+            t["ancestors"], rollups.build_usage(t["files"])
         ),
         "directory_stats": lambda t: rollups.directory_stats(
-            t["directory_lineage"], rollups.build_usage(t["files"]), as_of(AS_OF, NTZ)
+            rollups.with_direct_stats(t["ancestors"], rollups.build_usage(t["files"])),
+            as_of_literal(AS_OF, NTZ),
         ),
         "user_stats": lambda t: rollups.user_stats(
-            t["directory_lineage"], rollups.build_usage(t["files"])
+            rollups.locate_usage(rollups.build_usage(t["files"]), t["ancestors"])
         ),
         "integrity_audit": integrity_audit,
         "full_build": full_build,

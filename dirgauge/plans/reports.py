@@ -18,6 +18,7 @@ from dirgauge.functions import (
     size_in_unit,
 )
 from dirgauge.functions.formats import local_time
+from dirgauge.operators.joins import broadcast_if_small
 from dirgauge.session import as_of_literal
 
 Tables = Mapping[str, DataFrame]
@@ -34,8 +35,13 @@ def _display_name() -> Column:
 
 
 def _with_subtree(directories: DataFrame, stats: DataFrame) -> DataFrame:
-    totals = stats.select("dir_id", "subtree_bytes", "subtree_count")
-    return directories.select("dir_id", "path").join(totals, "dir_id", "left").select(
+    """Directories with their totals. Only the outer side of the join is known to be few, and only
+    the inner side of it can be broadcast: so the statistics are reduced to these directories
+    first."""
+    chosen = directories.select("dir_id", "path")
+    few = broadcast_if_small(chosen.select("dir_id"))
+    totals = stats.select("dir_id", "subtree_bytes", "subtree_count").join(few, "dir_id", "left_semi")
+    return chosen.join(totals, "dir_id", "left").select(
         "dir_id",
         "path",
         F.coalesce("subtree_bytes", F.lit(0)).alias("subtree_bytes"),
@@ -81,7 +87,7 @@ def user_breakdown(t: Tables, uid: int) -> DataFrame:
     return (
         t["user_stats"]
         .where(F.col("uid") == uid)
-        .join(roots, "dir_id")
+        .join(broadcast_if_small(roots), "dir_id")
         .select("dir_id", "filesystem", F.col("total_bytes").alias("bytes"), "file_count")
         .orderBy(F.desc("bytes"), "dir_id")
     )
@@ -91,16 +97,13 @@ def user_dir_children(t: Tables, uid: int, dir_id: int) -> DataFrame:
     """Subdirectories of `dir_id` holding the user's files, with the user's totals below each.
 
     The child that leads to a file is the entry before `dir_id` in the ancestor list of the file's
-    directory, so the user's rows need one join only, and no closure pairs.
+    directory, so only the user's own rows are read, and no closure pairs.
     """
-    below = t["directory_lineage"].select(
-        "dir_id", "ancestors", F.array_position("ancestors", dir_id).cast("int").alias("at")
-    )
+    at = F.array_position("ancestors", dir_id).cast("int")
     mine = (
         t["directory_usage"]
-        .where(F.col("owner_uid") == uid)
-        .join(below.where("at > 1"), "dir_id")
-        .groupBy(F.element_at("ancestors", F.col("at") - 1).alias("dir_id"))
+        .where((F.col("owner_uid") == uid) & (at > 1))
+        .groupBy(F.element_at("ancestors", at - 1).alias("dir_id"))
         .agg(
             F.sum("bytes").alias("user_bytes"),
             F.sum("files").alias("user_files"),
@@ -117,19 +120,30 @@ def user_dir_children(t: Tables, uid: int, dir_id: int) -> DataFrame:
 
 
 def user_tree(t: Tables, uid: int) -> DataFrame:
-    """Directories in which the user owns files directly, latest change first, at most 200."""
-    return (
+    """Directories in which the user owns files directly, latest change first, at most 200.
+
+    A usage row has ancestors exactly if its directory has a row, so the 200 are chosen before their
+    paths are looked up.
+    """
+    newest = [F.desc_nulls_last("last_mtime"), F.asc("dir_id")]
+    chosen = (
         t["directory_usage"]
-        .where(F.col("owner_uid") == uid)
-        .join(t["directories"].select("dir_id", "path"), "dir_id")
+        .where((F.col("owner_uid") == uid) & F.col("ancestors").isNotNull())
         .select(
             "dir_id",
-            "path",
             F.col("bytes").alias("user_bytes"),
             F.col("files").alias("user_files"),
             "last_mtime",
         )
-        .orderBy(F.desc_nulls_last("last_mtime"), "dir_id")
+        .orderBy(*newest)
+        .limit(TREE_LIMIT)
+    )
+    return (
+        t["directories"]
+        .select("dir_id", "path")
+        .join(F.broadcast(chosen), "dir_id")
+        .select("dir_id", "path", "user_bytes", "user_files", "last_mtime")
+        .orderBy(*newest)
         .limit(TREE_LIMIT)
     )
 
@@ -192,13 +206,10 @@ def descendants(t: Tables, dir_id: int) -> DataFrame:
 
 
 def cumulative_size(t: Tables, dir_id: int) -> DataFrame:
-    """Bytes at or below a directory; NULL if there are no files. Sums the usage over the closure,
-    so it holds for any state of the files since the last roll-up of usage and closure."""
-    return (
-        descendants(t, dir_id)
-        .join(t["directory_usage"].select("dir_id", "bytes"), "dir_id")
-        .agg(F.sum("bytes").alias("total_bytes"))
-    )
+    """Bytes at or below a directory; NULL if there are no files. Sums the directories that have it
+    among their ancestors, without a join."""
+    below = t["directory_lineage"].where(F.array_contains("ancestors", dir_id))
+    return below.agg(F.sum("direct_bytes").alias("total_bytes"))
 
 
 def usage_by_username(t: Tables) -> DataFrame:
@@ -221,10 +232,13 @@ def top_dirs(t: Tables, n: int = TOP_LIMIT) -> DataFrame:
     Only directories that reach the n-th largest size (ties included) are joined to their paths.
     """
     stats = t["directory_stats"].select("dir_id", "subtree_bytes", "subtree_count")
-    least = stats.select("subtree_bytes").orderBy(F.desc("subtree_bytes")).limit(n)
-    large = stats.where(F.col("subtree_bytes") >= least.agg(F.min("subtree_bytes")).scalar())
+    largest = stats.select("subtree_bytes").orderBy(F.desc("subtree_bytes")).limit(n)
+    least = largest.agg(F.min("subtree_bytes")).first()[0]
+    candidates = broadcast_if_small(stats.where(F.col("subtree_bytes") >= F.lit(least)))
     return (
-        large.join(t["directories"].select("dir_id", "path"), "dir_id")
+        t["directories"]
+        .select("dir_id", "path")
+        .join(candidates, "dir_id")
         .select("path", "subtree_bytes", "subtree_count")
         .orderBy(F.desc("subtree_bytes"), "path")
         .limit(n)
@@ -258,9 +272,12 @@ def breadcrumb(t: Tables, dir_id: int) -> DataFrame:
     chain = t["directory_lineage"].where(F.col("dir_id") == dir_id).select(
         F.posexplode(F.reverse("ancestors")).alias("level", "dir_id")
     )
+    chain = broadcast_if_small(chain)
     name = F.when(F.col("level") == 0, base_name(F.col("path"))).otherwise(last_segment(F.col("path")))
     return (
-        chain.join(t["directories"].select("dir_id", "path"), "dir_id")
+        t["directories"]
+        .select("dir_id", "path")
+        .join(chain, "dir_id")
         .select("dir_id", name.alias("name"), "level")
         .orderBy("level")
     )

@@ -82,13 +82,16 @@ TABLES = {
     "crawl_runs": CRAWL_RUNS,
 }
 
-# Two derived tables kept beside them. The lineage is the closure with one row per directory (its
-# ancestors from itself up to the top); the usage is `files` pre-aggregated to (directory, owner).
+# Two derived tables kept beside them. The lineage is the closure with one row per directory: its
+# ancestors from itself up to the top, its root, and the totals of its own files (NULL if none). The
+# usage is `files` pre-aggregated to (directory, owner), with the directory's ancestors and root.
 DIRECTORY_LINEAGE = T.StructType(
     [
         T.StructField("dir_id", LONG),
         T.StructField("ancestors", T.ArrayType(LONG)),
         T.StructField("root_id", LONG),
+        T.StructField("direct_bytes", LONG),
+        T.StructField("file_count", LONG),
     ]
 )
 
@@ -99,6 +102,8 @@ DIRECTORY_USAGE = T.StructType(
         T.StructField("bytes", LONG),
         T.StructField("files", LONG),
         T.StructField("last_mtime", TS),
+        T.StructField("ancestors", T.ArrayType(LONG)),
+        T.StructField("root_id", LONG),
     ]
 )
 

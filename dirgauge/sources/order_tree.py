@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dirgauge.operators import rollups
-from dirgauge.operators.tree import build_lineage, closure_of
+from dirgauge.operators.tables import write_parquet
+from dirgauge.operators.tree import build_lineage
+from dirgauge.plans import build
 from dirgauge.schemas import LISTING
-from dirgauge.session import as_of_literal, configure, materialise
+from dirgauge.session import as_of_literal, configure, scratch_path
 
 AS_OF = "2001-06-30 00:00:00"
 OLD = "1995-01-01 00:00:00"
@@ -53,7 +55,9 @@ class OrderTree(Mapping[str, DataFrame]):
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = materialise(self._recipes()[name](), name)
+            derived, path = self._recipes()[name](), scratch_path(self.spark, name)
+            write_parquet(derived, name, path, "error")
+            self._tables[name] = self.spark.read.schema(derived.schema).parquet(path)
         return self._tables[name]
 
     def __iter__(self):
@@ -69,19 +73,14 @@ class OrderTree(Mapping[str, DataFrame]):
             "users": self._users,
             "listing": self._listing,
             "crawl_runs": self._crawl_runs,
-            "directory_usage": lambda: rollups.build_usage(self["files"])
-            .repartitionByRange("owner_uid", "dir_id")
-            .sortWithinPartitions("owner_uid", "dir_id"),
-            "directory_lineage": lambda: build_lineage(self["directories"]),
-            "directory_closure": lambda: closure_of(self["directory_lineage"])
-            .repartitionByRange("ancestor_id", "descendant_id")
-            .sortWithinPartitions("ancestor_id", "descendant_id"),
-            "directory_stats": lambda: rollups.directory_stats(
-                self["directory_lineage"], self["directory_usage"], _utc(AS_OF)
-            ),
-            "user_stats": lambda: rollups.user_stats(
-                self["directory_lineage"], self["directory_usage"]
+            "ancestors": lambda: build_lineage(self["directories"]),
+            "directory_usage": lambda: build.usage_layout(self["files"], self["ancestors"]),
+            "directory_lineage": lambda: build.lineage_layout(
+                self["ancestors"], self["directory_usage"]
             ),
+            "directory_closure": lambda: build.closure_layout(self["directory_lineage"]),
+            "directory_stats": lambda: rollups.directory_stats(self["directory_lineage"], _utc(AS_OF)),
+            "user_stats": lambda: rollups.user_stats(self["directory_usage"]),
         }
 
     def _directories(self) -> DataFrame:

@@ -75,8 +75,9 @@ def listing(spark, *rows):
 
 def inventory(spark, directories, file_rows, user_rows=None, runs=None):
     """All tables, the derived ones computed in memory."""
-    lineage = build_lineage(directories)
-    usage = rollups.build_usage(file_rows)
+    ancestors = build_lineage(directories)
+    usage = rollups.locate_usage(rollups.build_usage(file_rows), ancestors)
+    lineage = rollups.with_direct_stats(ancestors, usage)
     return {
         "directories": directories,
         "files": file_rows,
@@ -87,8 +88,8 @@ def inventory(spark, directories, file_rows, user_rows=None, runs=None):
         "directory_lineage": lineage,
         "directory_usage": usage,
         "directory_closure": closure_of(lineage),
-        "directory_stats": rollups.directory_stats(lineage, usage, as_of_literal(AS_OF)),
-        "user_stats": rollups.user_stats(lineage, usage),
+        "directory_stats": rollups.directory_stats(lineage, as_of_literal(AS_OF)),
+        "user_stats": rollups.user_stats(usage),
         "crawl_runs": spark.createDataFrame(runs or [], "id bigint, finished_at timestamp"),
     }
 

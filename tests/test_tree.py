@@ -4,7 +4,7 @@ import pytest
 from helpers import as_set, dirs, listing, rows
 from pyspark.sql import functions as F
 
-from dirgauge.operators.skew import heavy_keys, lookup_join
+from dirgauge.operators.joins import heavy_keys, lookup_join
 from dirgauge.operators.tree import (
     CycleError,
     assign_ids,
