@@ -254,10 +254,14 @@ def grand_totals(t: Tables) -> DataFrame:
 
 def size_share(df: DataFrame, size: str) -> DataFrame:
     """`df` with `pct`: size in percent of the largest, one decimal, 0 where the largest is 0."""
-    wide = F.col(size).cast("decimal(19,0)")
-    largest = df.agg(F.max(wide)).scalar()
+    wide, largest = F.col(size).cast("decimal(19,0)"), F.col("_largest")
+    # Whole-number division: the last digit is exact for sizes of any magnitude.
     tenths = F.call_function("div", wide * 2000 + largest, 2 * largest)
-    return df.withColumn("pct", F.when(largest > 0, tenths / 10.0).otherwise(F.lit(0.0)))
+    return (
+        df.withColumn("_largest", df.agg(F.max(wide)).scalar())
+        .withColumn("pct", F.when(largest > 0, tenths / 10.0).otherwise(F.lit(0.0)))
+        .drop("_largest")
+    )
 
 
 def sorted_listing(df: DataFrame, column: str, ascending: bool, tie: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dirgauge.functions import last_segment, parent_path
+from dirgauge.operators.joins import MIN_ROWS_PER_TASK, heavy_keys, lookup_join
 from dirgauge.schemas import LISTING
 from dirgauge.session import as_of_literal
 
@@ -95,13 +96,16 @@ def delta(listing: DataFrame, last_seen: str | datetime) -> DataFrame:
     return listing.where(F.col("mtime") >= as_of_literal(last_seen, listing.schema["mtime"].dataType))
 
 
-def delta_by_directory(listing: DataFrame, seen: DataFrame) -> DataFrame:
+def delta_by_directory(
+    listing: DataFrame, seen: DataFrame, min_hot_rows: int = MIN_ROWS_PER_TASK
+) -> DataFrame:
     """Entries not older than the last scan of their own directory, `seen` being
-    (path, last_seen_mtime). Entries of directories never seen are all kept."""
+    (path, last_seen_mtime), one row per path. Entries of directories never seen are all kept."""
     marks = seen.select(F.col("path").alias("_parent"), "last_seen_mtime")
+    entries = listing.withColumn("_parent", parent_path(F.col("path")))
+    heavy = heavy_keys(entries, "_parent", min_hot_rows)
     return (
-        listing.withColumn("_parent", parent_path(F.col("path")))
-        .join(marks, "_parent", "left")
+        lookup_join(entries, marks, "_parent", heavy, "left", "path")
         .where(F.col("last_seen_mtime").isNull() | (F.col("mtime") >= F.col("last_seen_mtime")))
         .drop("_parent", "last_seen_mtime")
     )
