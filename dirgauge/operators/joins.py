@@ -30,51 +30,56 @@ def heavy_sketch(spark: SparkSession, key: str) -> Column:
 
 def pick_heavy(
     spark: SparkSession, top: list[Row] | None, total: int, min_rows: int = MIN_ROWS_PER_TASK
-) -> list[tuple]:
-    """(key, splits) for each key that exceeds an even task; splits brings it back to that size."""
+) -> dict:
+    """{key: splits} for each key that exceeds an even task; splits brings it back to that size."""
     even = max(total // _tasks(spark), min_rows, 1)
-    return [
-        (entry["item"], -(-entry["count"] // even))
+    return {
+        entry["item"]: -(-entry["count"] // even)
         for entry in top or []
         if entry["item"] is not None and entry["count"] > even
-    ]
+    }
 
 
-def heavy_keys(df: DataFrame, key: str, min_rows: int = MIN_ROWS_PER_TASK) -> list[tuple]:
-    """Scan one column of `df` for keys too frequent for one task."""
+def heavy_keys(df: DataFrame, key: str, min_rows: int = MIN_ROWS_PER_TASK) -> dict:
+    """Scan one column of `df` for keys too frequent for one task. NULL may be one of them."""
     spark = df.sparkSession
-    row = df.where(F.col(key).isNotNull()).agg(
-        F.count("*").alias("n"), heavy_sketch(spark, f"`{key}`").alias("top")
+    row = df.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col(key).isNull()).alias("missing"),
+        heavy_sketch(spark, f"`{key}`").alias("top"),
     ).first()
-    return pick_heavy(spark, row["top"], row["n"], min_rows)
+    heavy = pick_heavy(spark, row["top"], row["n"], min_rows)
+    even = max(row["n"] // _tasks(spark), min_rows, 1)
+    if row["missing"] > even:
+        heavy[None] = -(-row["missing"] // even)
+    return heavy
 
 
 def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    heavy: list[tuple],
-    how: str,
-    spread_by: str,
+    facts: DataFrame, lookup: DataFrame, key: str, heavy: dict, how: str, spread_by: str
 ) -> DataFrame:
     """Join `facts` to `lookup`, which has at most one row per `key`.
 
     Rows of a heavy key are spread over `splits` tasks by a hash of their own `spread_by` column,
-    and its single lookup row is repeated once per split. The result is exactly that of the plain
-    join. `heavy` has at most one entry per shuffle task, so its broadcast is bounded by that.
+    and its single lookup row is repeated once per split; rows without a key, which match nothing,
+    are spread too. The result is exactly that of the plain join. `heavy` has at most one entry per
+    shuffle task and NULL, so its broadcast is bounded by that.
     """
     if not heavy:
         return facts.join(lookup, key, how)
     schema = T.StructType(
         [T.StructField(key, facts.schema[key].dataType), T.StructField("_splits", T.LongType())]
     )
-    hot = F.broadcast(facts.sparkSession.createDataFrame(heavy, schema))
-    splits = F.coalesce(F.col("_splits"), F.lit(1))
+    known = [(k, n) for k, n in heavy.items() if k is not None]
+    hot = F.broadcast(facts.sparkSession.createDataFrame(known, schema))
+    splits = F.when(F.col(key).isNull(), F.lit(heavy.get(None, 1))).otherwise(
+        F.coalesce(F.col("_splits"), F.lit(1))
+    )
     salted = facts.join(hot, key, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(spread_by), splits)
+        "_salt", F.pmod(F.xxhash64(spread_by), splits.cast("bigint"))
     )
     repeated = lookup.join(hot, key, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), splits - 1))
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_splits", F.lit(1)) - 1))
     )
     return salted.drop("_splits").join(repeated.drop("_splits"), [key, "_salt"], how).drop("_salt")
 

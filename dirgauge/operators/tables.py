@@ -97,10 +97,20 @@ def log_run(spark: SparkSession, root: str, as_of: str | datetime) -> None:
     append_table(row, root, "crawl_runs")
 
 
+def absent_rows(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of `source` whose key `target` lacks, one per key, with the columns of `target`."""
+    fresh = source.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+    return fresh.select(
+        *[
+            F.col(f.name) if f.name in fresh.columns else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in target.schema.fields
+        ]
+    )
+
+
 def insert_absent(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """`target` plus the rows of `source` whose key it lacks (one per key)."""
-    fresh = source.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
-    return target.unionByName(fresh, allowMissingColumns=True)
+    return target.unionByName(absent_rows(target, source, keys))
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:

@@ -58,7 +58,8 @@ def finish(spark: SparkSession, root: str, as_of: str | datetime) -> None:
     tables.overwrite_table(usage_layout(stored("files"), lineage), root, "directory_usage")
 
     owners = rollups.build_users(stored("directory_usage"), stored("directories"))
-    tables.replace_from_itself(tables.insert_absent(stored("users"), owners, ["uid"]), root, "users")
+    # Known users keep their rows: the new ones are appended, nothing is rewritten.
+    tables.append_table(tables.absent_rows(stored("users"), owners, ["uid"]), root, "users")
 
     tables.overwrite_table(
         lineage_layout(lineage, stored("directory_usage")), root, "directory_lineage"

@@ -251,6 +251,13 @@ def oracle_sql() -> dict[str, str]:
                       count(error_kind) AS errors
                FROM fx_listing""",
         ),
+        "create_clear": _sql(
+            _BASE + "," + _USERS + "," + _RUNS,
+            """SELECT 'files' AS "table", count(*) AS before, 0::BIGINT AS after FROM fx_files
+               UNION ALL SELECT 'directories', count(*), 0 FROM fx_directories
+               UNION ALL SELECT 'users', count(*), 0 FROM fx_users
+               UNION ALL SELECT 'crawl_runs', count(*), 0 FROM fx_runs""",
+        ),
         "run_log": _sql(
             _RUNS,
             """SELECT id, finished_at FROM fx_runs
@@ -321,7 +328,7 @@ def oracle_sql() -> dict[str, str]:
                UNION ALL
                SELECT 'users', count(*), CAST(sum(uid) AS BIGINT) FROM fx_users
                UNION ALL
-               SELECT 'crawl_runs', 2, 3""",
+               SELECT 'crawl_runs', 1, 1""",
         ),
         # Reports
         "filesystems": _sql(
@@ -357,6 +364,18 @@ def oracle_sql() -> dict[str, str]:
                  AND c.parent_id = 1000000002
                GROUP BY c.dir_id, c.path""",
         ),
+        "user_dir_labels": _sql(
+            _BASE + "," + _CLOSURE,
+            f"""SELECT dir_id, split_part(path, '/', -1) AS name, {_FMT_BYTES} AS size,
+                       coalesce(strftime({_LOCAL}, '%Y-%m-%d %H:%M'), '—') AS modified, user_files
+                FROM (
+                  SELECT c.dir_id, c.path, CAST(sum(size_bytes) AS BIGINT) AS size, count(*) AS user_files,
+                         max(f.mtime) AS ts
+                  FROM fx_files f, fx_closure t, fx_directories c
+                  WHERE f.owner_uid = 7 AND t.descendant_id = f.dir_id AND c.dir_id = t.ancestor_id
+                    AND c.parent_id = 1000000002
+                  GROUP BY c.dir_id, c.path)""",
+        ),
         "user_tree": _sql(
             _BASE,
             """SELECT f.dir_id, any_value(path) AS path, CAST(sum(size_bytes) AS BIGINT) AS user_bytes,
@@ -371,6 +390,13 @@ def oracle_sql() -> dict[str, str]:
                 FROM (SELECT max(finished_at) AS ts FROM fx_runs)""",
         ),
         "staleness": _sql(_FILES, _STALE.format(who="true")),
+        "staleness_chart": _sql(
+            _FILES + ", fx_stale AS (" + _STALE.format(who="true") + ")",
+            f"""SELECT label, CAST({_tenths(_GB, False)} AS DOUBLE) AS gigabytes,
+                       concat(CASE WHEN n >= 1000 THEN concat(CAST(n // 1000 AS VARCHAR), ',',
+                         lpad(CAST(n % 1000 AS VARCHAR), 3, '0')) ELSE CAST(n AS VARCHAR) END, ' files') AS files
+                FROM (SELECT label, total_bytes AS size, file_count AS n FROM fx_stale)""",
+        ),
         "user_staleness": _sql(_FILES, _STALE.format(who="owner_uid = 7")),
         "user_summary": _sql(
             _BASE + "," + _USERS,

@@ -248,13 +248,30 @@ def integrity_audit(t: OrderTree) -> DataFrame:
     return audit({**{name: t[name] for name in tables.TABLES}, "files": by_line, "users": owners})
 
 
+def create_clear(t: OrderTree) -> DataFrame:
+    """Rows per table after loading it and after clearing all."""
+    root = _new_root(t)
+    before = after = None
+    for name in ("directories", "files", "users", "crawl_runs"):
+        tables.append_table(t[name], root, name)
+        counted = tables.read_table(t.spark, root, name).agg(F.count("*").alias("before"))
+        counted = counted.select(F.lit(name).alias("table"), "before")
+        before = counted if before is None else before.unionByName(counted)
+    before = materialise(before, "before")
+    tables.clear_tables(t.spark, root)
+    for name in ("directories", "files", "users", "crawl_runs"):
+        counted = tables.read_table(t.spark, root, name).agg(F.count("*").alias("after"))
+        counted = counted.select(F.lit(name).alias("table"), "after")
+        after = counted if after is None else after.unionByName(counted)
+    return before.join(after, "table")
+
+
 def full_build(t: OrderTree) -> DataFrame:
-    """Load the tables, build twice, and sum up what was stored."""
+    """Load the base tables, build the rest, and sum up what was stored."""
     root = _new_root(t)
-    for name in ("directories", "files", "users"):
+    for name in ("directories", "files"):
         tables.append_table(t[name], root, name)
     build.finish(t.spark, root, AS_OF)
-    build.finish(t.spark, root, AS_OF)
     totals = {
         "directory_closure": F.sum("depth"),
         "directory_stats": F.sum(F.col("direct_bytes") + F.col("subtree_bytes")),
@@ -361,6 +378,7 @@ def _queries() -> dict[str, Callable[[OrderTree], DataFrame]]:
         "report_table": lambda t: reports.file_report(_file_entries(t)),
         "file_lines": lambda t: reports.file_lines(_file_entries(t)),
         "scan_totals": scan_totals,
+        "create_clear": create_clear,
         "run_log": run_log,
         "insert_absent": insert_absent,
         "upsert": upsert,
@@ -385,9 +403,13 @@ def _queries() -> dict[str, Callable[[OrderTree], DataFrame]]:
         "user_breakdown": lambda t: reports.user_breakdown(t, UID),
         "dir_children": lambda t: reports.dir_children(t, DIR_ID),
         "user_dir_children": lambda t: reports.user_dir_children(t, UID, DIR_ID),
+        "user_dir_labels": lambda t: reports.labelled(
+            reports.user_dir_children(t, UID, DIR_ID), "user_bytes", "path", "last_mtime"
+        ).select("dir_id", "name", "size", "modified", "user_files"),
         "user_tree": lambda t: reports.user_tree(t, UID),
         "last_crawled": reports.last_crawled,
         "staleness": lambda t: reports.staleness(t, AS_OF),
+        "staleness_chart": lambda t: reports.chart(reports.staleness(t, AS_OF)),
         "user_staleness": lambda t: reports.staleness(t, AS_OF, UID),
         "user_summary": lambda t: reports.user_summary(t, UID),
         "cumulative_size": lambda t: reports.cumulative_size(t, DIR_ID),

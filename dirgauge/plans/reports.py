@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from dirgauge.functions import (
     base_name,
     file_line,
+    fmt_bytes,
+    fmt_count,
+    fmt_mtime,
+    gigabytes,
     last_segment,
     path_order,
     quarter_label,
@@ -178,6 +182,16 @@ def staleness(t: Tables, as_of: str | datetime, uid: int | None = None) -> DataF
     )
 
 
+def chart(points: DataFrame) -> DataFrame:
+    """Staleness points as chart values: gigabytes with one decimal, and the number of files as
+    text."""
+    return points.select(
+        "label",
+        gigabytes(F.col("total_bytes")).alias("gigabytes"),
+        F.concat(fmt_count(F.col("file_count")), F.lit(" files")).alias("files"),
+    )
+
+
 def user_summary(t: Tables, uid: int) -> DataFrame:
     """Name and totals of one user over all filesystems; no row for an unknown user."""
     totals = (
@@ -287,6 +301,22 @@ def breadcrumb(t: Tables, dir_id: int) -> DataFrame:
     )
 
 
+def labelled(df: DataFrame, size: str, path: str | None = None, mtime: str | None = None) -> DataFrame:
+    """A report with the texts shown for it: `size`, and where asked for `name` (last segment of the
+    path) and `modified` (local time)."""
+    texts = {"size": fmt_bytes(F.col(size))}
+    if path:
+        texts["name"] = last_segment(F.col(path))
+    if mtime:
+        texts["modified"] = fmt_mtime(F.col(mtime))
+    return df.withColumns(texts)
+
+
+def table_count_lines(t: Tables) -> DataFrame:
+    """The table counts as text lines."""
+    return table_counts(t).select(F.format_string("%-25s %d", "table", "n").alias("line"))
+
+
 def table_counts(t: Tables) -> DataFrame:
     """Rows per table, in the fixed order of the report."""
     report = None

@@ -159,6 +159,17 @@ def test_table_counts_in_fixed_order(t):
     ]
 
 
+def test_table_count_lines(t):
+    assert rows(reports.table_count_lines(t))[1] == ("directories" + " " * 15 + "6",)
+
+
+def test_labels_and_chart(t, spark):
+    shown = reports.labelled(reports.user_dir_children(t, 8, 1), "user_bytes", "path", "last_mtime")
+    assert rows(shown, "name", "size", "modified") == [("w", "60 B", "—"), ("x", "30 B", "2024-01-02 16:00")]
+    points = spark.createDataFrame([("2024 Q1", 1234, 3 * 2**29)], "label string, file_count bigint, total_bytes bigint")
+    assert rows(reports.chart(points)) == [("2024 Q1", 1.5, "1,234 files")]
+
+
 REPORT = [
     ("/r/a-b", "f", 1152, 1), ("/r/a/c", "f", 3200, 2), ("/r", "d", 0, 1), ("/r/z", "f", 0, 1),
     ("/r/bad", "f", 9, 1, "IoError"),

@@ -144,17 +144,17 @@ def test_salted_join_equals_plain_join(spark, how):
     facts = spark.range(3000).select(
         F.col("id").alias("u"),
         F.when(F.col("id") % 3 == 0, F.lit("hot"))
-        .when(F.col("id") % 50 == 1, F.lit(None))
+        .when(F.col("id") % 3 == 1, F.lit(None))
         .otherwise(F.concat(F.lit("k"), (F.col("id") % 200).cast("string")))
         .alias("k"),
     )
     lookup = spark.createDataFrame([("hot", -1)] + [(f"k{n}", n) for n in range(150)], "k string, v int")
     heavy = heavy_keys(facts, "k", min_rows=1)
-    assert "hot" in dict(heavy) and dict(heavy)["hot"] >= 2 and len(heavy) <= 8
+    assert heavy["hot"] >= 2 and heavy[None] >= 2 and len(heavy) <= 9
     plain = facts.join(lookup, "k", how)
     salted = lookup_join(facts, lookup, "k", heavy, how, "u")
     assert sorted(rows(salted, "u", "k", "v")) == sorted(rows(plain, "u", "k", "v"))
 
 
 def test_even_keys_are_not_heavy(spark):
-    assert heavy_keys(spark.range(1000).withColumn("k", F.col("id")), "k", min_rows=1) == []
+    assert heavy_keys(spark.range(1000).withColumn("k", F.col("id")), "k", min_rows=1) == {}
