@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,13 +100,15 @@ def resolve_tree(
     return directories, resolved
 
 
-# Lineage under construction: `ancestors` is complete up to, not including, `next_id`.
+# Lineage under construction: `ancestors` is complete up to, not including, `next_id`. `inner` marks
+# directories that have children.
 _STATE = T.StructType(
     [
         T.StructField("dir_id", T.LongType()),
         T.StructField("ancestors", T.ArrayType(T.LongType())),
         T.StructField("next_id", T.LongType()),
         T.StructField("rooted", T.BooleanType()),
+        T.StructField("inner", T.BooleanType()),
         T.StructField("round", T.IntegerType()),
         T.StructField("open", T.BooleanType()),
     ]
@@ -120,52 +122,18 @@ def build_lineage(directories: DataFrame, min_hot_rows: int = MIN_ROWS_PER_TASK)
     topmost one if it is a filesystem root (no parent), else NULL.
 
     Pointer doubling: each round appends to every unfinished list the list of the directory it
-    points to, so a tree of depth d takes log2(d) rounds. Finished lists are written once. Each
-    round is a stored table, so a lost executor repeats at most one round.
+    points to, so a tree of depth d takes log2(d) rounds. Only directories with children are looked
+    up. Finished lists are written once. Each round is a stored table, so a lost executor repeats at
+    most one round.
     """
     spark = directories.sparkSession
     root = scratch_path(spark, "lineage")
 
-    start = directories.select(
-        "dir_id",
-        F.array("dir_id").alias("ancestors"),
-        F.col("parent_id").alias("next_id"),
-        F.col("parent_id").isNull().alias("rooted"),
-    )
-    tops = start.where("next_id IS NULL")
-    finished, unfinished = tops, start.where("next_id IS NOT NULL")
-
-    first = unfinished.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.bool_or(F.col("next_id") == F.col("dir_id")), F.lit(False)).alias("cycle"),
-        heavy_sketch(spark, "next_id").alias("top"),
-    ).first()
-    n, cycle, top, step = first["n"], first["cycle"], first["top"], 0
-
-    while n:
-        if cycle:
-            raise CycleError("parent_id forms a cycle")
-        step += 1
-        known = finished.unionByName(unfinished).select(
-            F.col("dir_id").alias("next_id"),
-            F.col("ancestors").alias("more"),
-            F.col("next_id").alias("after"),
-            F.col("rooted").alias("more_rooted"),
-        )
-        heavy = pick_heavy(spark, top, n, min_hot_rows)
-        open_ = F.col("after").isNotNull()
+    def store(lists: DataFrame, step: int) -> Row:
+        """Write one round; return what the next one must know, observed on the way."""
         seen = Observation()
         (
-            lookup_join(unfinished, known, "next_id", heavy, "left", "dir_id")
-            .select(
-                "dir_id",
-                F.concat("ancestors", F.coalesce("more", F.array().cast("array<bigint>"))).alias(
-                    "ancestors"
-                ),
-                F.col("after").alias("next_id"),
-                F.coalesce("more_rooted", F.lit(False)).alias("rooted"),
-                open_.alias("open"),
-            )
+            lists.withColumn("open", F.col("next_id").isNotNull())
             .observe(
                 seen,
                 F.count_if("open").alias("n"),
@@ -177,12 +145,51 @@ def build_lineage(directories: DataFrame, min_hot_rows: int = MIN_ROWS_PER_TASK)
             .write.partitionBy("open")
             .parquet(f"{root}/round={step}")
         )
-        n, cycle, top = seen.get["n"], seen.get["cycle"], seen.get["top"]
+        return Row(**seen.get)
 
-        state = spark.read.schema(_STATE).parquet(root)
-        finished = tops.unionByName(state.where(~F.col("open")).select(*tops.columns))
-        unfinished = state.where((F.col("round") == step) & F.col("open")).select(*tops.columns)
+    parents = directories.select(F.col("parent_id").alias("dir_id")).distinct()
+    start = directories.select("dir_id", "parent_id").join(
+        parents.withColumn("inner", F.lit(True)), "dir_id", "left"
+    )
+    step = 0
+    state = store(
+        start.select(
+            "dir_id",
+            F.array("dir_id").alias("ancestors"),
+            F.col("parent_id").alias("next_id"),
+            F.col("parent_id").isNull().alias("rooted"),
+            F.coalesce("inner", F.lit(False)).alias("inner"),
+        ),
+        step,
+    )
+    while state.n:
+        if state.cycle:
+            raise CycleError("parent_id forms a cycle")
+        stored = spark.read.schema(_STATE).parquet(root)
+        unfinished = stored.where((F.col("round") == step) & F.col("open"))
+        known = stored.where(F.col("inner") & (~F.col("open") | (F.col("round") == step))).select(
+            F.col("dir_id").alias("next_id"),
+            F.col("ancestors").alias("more"),
+            F.col("next_id").alias("after"),
+            F.col("rooted").alias("more_rooted"),
+        )
+        heavy = pick_heavy(spark, state.top, state.n, min_hot_rows)
+        joined = lookup_join(unfinished, known, "next_id", heavy, "left", "dir_id")
+        step += 1
+        state = store(
+            joined.select(
+                "dir_id",
+                F.concat("ancestors", F.coalesce("more", F.array().cast("array<bigint>"))).alias(
+                    "ancestors"
+                ),
+                F.col("after").alias("next_id"),
+                F.coalesce("more_rooted", F.lit(False)).alias("rooted"),
+                "inner",
+            ),
+            step,
+        )
 
+    finished = spark.read.schema(_STATE).parquet(root).where(~F.col("open"))
     return finished.select(
         "dir_id",
         "ancestors",
