@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirgauge.llm import mixing, near_dups, perplexity_rules, ppm, sharding, suffix_arrays, trusted_text
+from dirgauge.llm import (
+    licences,
+    mixing,
+    near_dups,
+    passages,
+    perplexity_rules,
+    ppm,
+    sharding,
+    suffix_arrays,
+    token_counts,
+    trusted_text,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +45,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", ppm.held_out().alias("held_out"), "lang_pred", "score", F.col("bits").alias("bits_per_byte"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.recount(token_counts.masking_edits(docs))
+
+
 def op4_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity_rules.apply_rules(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -63,12 +79,33 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.train(docs))
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language, op4_perplexity_rules, op5_trusted_text, op6_mixing, op7_sharding, op10_near_duplicates)}
+    found = (
+        op1_decontamination,
+        op2_language,
+        op3_token_counts,
+        op4_perplexity_rules,
+        op5_trusted_text,
+        op6_mixing,
+        op7_sharding,
+        op8_licences,
+        op9_repeated_passages,
+        op10_near_duplicates,
+    )
+    return {f.__name__: f for f in found}
 
 
 _OP6 = """
