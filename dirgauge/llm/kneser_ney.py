@@ -181,21 +181,9 @@ class SortedHashes:
         return out
 
 
-_LOADED: dict[str, SortedHashes] = {}
-
-
 def share(model: DataFrame):
     """A function that gives tasks the model. At most MOST rows of the highest order, and no more of any
     lower, nor contexts, go through the driver and to each worker."""
     spark = reach(model.sparkSession)
     held = spark.sparkContext.broadcast(model.toArrow())
-    key = f"{spark.sparkContext.applicationId}-{held._jbroadcast.id()}"
-
-    def load() -> SortedHashes:
-        if key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = SortedHashes(held.value)
-        return _LOADED[key]
-
-    return load
-
+    return lambda: SortedHashes(held.value)

@@ -165,9 +165,6 @@ def _code(tree: list[dict[str, np.ndarray]], grams: np.ndarray) -> np.ndarray:
     return (bits + np.where(open_, np.log2(max(1, 256 - root)), 0)).astype(np.float32)
 
 
-_CODERS: dict[str, Coder] = {}
-
-
 def predict(docs: DataFrame, counts: DataFrame, keep: list[str], max_nodes: int = MAX_NODES) -> DataFrame:
     """One row per row of `docs` (text): `row` (a struct of the columns in `keep`), lang_pred, score, bits.
 
@@ -180,14 +177,10 @@ def predict(docs: DataFrame, counts: DataFrame, keep: list[str], max_nodes: int
     if table.num_rows > max_nodes:
         raise ValueError(f"the trees have more than {max_nodes} counts")
     held = spark.sparkContext.broadcast(table)
-    key = f"{spark.sparkContext.applicationId}-{held._jbroadcast.id()}"
     both = list(dict.fromkeys([*keep, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _CODERS:
-            _CODERS.clear()
-            _CODERS[key] = Coder(held.value)
-        coder = _CODERS[key]
+        coder = Coder(held.value)  # about 150 MB that live as long as the task
         langs = np.array([*coder.langs, "und"], object)
         for batch in batches:
             for piece in W.pieces(pa.RecordBatch.from_arrays([*batch.columns, W.column(batch, "row").field("text")], names=["row", "letters", "text"]), "text"):

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of one piece of work; a longer text is a piece of its own and is never cut.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _BYTES = np.arange(256)
 #: `[^\x20\x09-\x0D]+`
