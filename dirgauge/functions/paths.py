@@ -19,7 +19,7 @@ def base_name(path: Column) -> Column:
 
 def file_name(path: Column) -> Column:
     """Final component of a path; '' where there is none ('/', '.', '..')."""
-    name = last_segment(F.regexp_replace(path, r"(/\.?)+$", ""))
+    name = last_segment(F.regexp_replace(path, r"(/\.?)+\z", ""))
     return F.when(name.isin(".", ".."), F.lit("")).otherwise(name)
 
 

@@ -130,14 +130,3 @@ def enrich_users(users: DataFrame, accounts: DataFrame) -> DataFrame:
         F.when(known, F.col("account.username")).otherwise(F.col("username")).alias("username"),
         F.when(known, F.col("account.gid")).otherwise(F.col("gid")).alias("gid"),
     )
-
-
-def write_jdbc(df: DataFrame, url: str, table: str, batch_rows: int = 10_000, **options) -> None:
-    """Append a table to a relational database through Spark's JDBC writer (driver jar needed).
-    Connections equal `numPartitions`."""
-    (
-        df.write.format("jdbc")
-        .options(url=url, dbtable=table, batchsize=str(batch_rows), **options)
-        .mode("append")
-        .save()
-    )

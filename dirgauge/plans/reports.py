@@ -220,10 +220,10 @@ def descendants(t: Tables, dir_id: int) -> DataFrame:
 
 
 def cumulative_size(t: Tables, dir_id: int) -> DataFrame:
-    """Bytes at or below a directory; NULL if there are no files. Sums the directories that have it
-    among their ancestors, without a join."""
-    below = t["directory_lineage"].where(F.array_contains("ancestors", dir_id))
-    return below.agg(F.sum("direct_bytes").alias("total_bytes"))
+    """Bytes at or below a directory; NULL if there are no files. One row of the statistics of the last
+    `finish` holds the answer; `dir_id` is pushed to the scan."""
+    own = t["directory_stats"].where((F.col("dir_id") == dir_id) & (F.col("subtree_count") > 0))
+    return own.agg(F.max("subtree_bytes").cast("bigint").alias("total_bytes"))
 
 
 def usage_by_username(t: Tables) -> DataFrame:
@@ -244,8 +244,10 @@ def top_dirs(t: Tables, n: int = TOP_LIMIT) -> DataFrame:
     """The `n` directories with most bytes below them.
 
     Only directories that reach the n-th largest size (ties included) are joined to their paths.
+    Statistics without a directory do not count towards the n.
     """
     stats = t["directory_stats"].select("dir_id", "subtree_bytes", "subtree_count")
+    stats = stats.join(t["directories"].select("dir_id"), "dir_id", "left_semi")
     largest = stats.select("subtree_bytes").orderBy(F.desc("subtree_bytes")).limit(n)
     least = largest.agg(F.min("subtree_bytes")).first()[0]
     candidates = broadcast_if_small(stats.where(F.col("subtree_bytes") >= F.lit(least)))

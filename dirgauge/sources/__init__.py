@@ -9,6 +9,5 @@ from dirgauge.sources.listing import (
     implied_directories,
     load_listing,
     load_roots,
-    scan_objects,
     split_errors,
 )

@@ -18,30 +18,10 @@ def load_listing(spark: SparkSession, paths: str | list[str], fmt: str = "parque
     """Read listings in any file format Spark reads, with the fixed schema (nothing is inferred)."""
     reader = spark.read.schema(LISTING).format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("escape", '"')  # quotes are doubled
     return reader.load(paths)
 
 
-def scan_objects(spark: SparkSession, root: str) -> DataFrame:
-    """List the files below a path that Spark can reach, without reading their content.
-
-    Spark keeps the file list on the driver, so this suits up to some millions of files; beyond
-    that, load a stored listing. Owner and access time are not available this way.
-    """
-    found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    ).select("path", "length", "modificationTime")
-    known = {
-        "path": F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?(?=/)", ""),
-        "entry_type": F.lit("f"),
-        "size_bytes": F.col("length"),
-        "mtime": F.col("modificationTime"),
-    }
-    return found.select(
-        *[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in LISTING.fields]
-    )
-
-
 def implied_directories(listing: DataFrame) -> DataFrame:
     """Directory rows for every proper prefix of the listed paths, for sources that list only
     files."""
@@ -86,8 +66,10 @@ def error_counts(errors: DataFrame) -> DataFrame:
 
 
 def classify(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(directories, regular files). Symlinks, special files and the '.' and '..' entries go."""
-    real = entries.where(~last_segment(F.col("path")).isin(".", ".."))
+    """(directories, regular files). Symlinks, special files and the '.' and '..' entries of a
+    directory go; a root may be given by such a name."""
+    name = last_segment(F.col("path"))
+    real = entries.where(~name.isin(".", "..") | (name == F.col("path")))
     return real.where("entry_type = 'd'"), real.where("entry_type = 'f'")
 
 

@@ -3,9 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_point
 from dirgauge.operators.joins import broadcast_if_small
-from dirgauge.plans import reports
+from dirgauge.plans import registry, reports
 from dirgauge.sources.order_tree import AS_OF, DIR_ID, UID, OrderTree
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -29,9 +28,9 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", list(entry_point.queries()))
+@pytest.mark.parametrize("name", list(registry.queries()))
 def test_no_products_and_no_python_in_plans(spark, no_automatic_broadcast, name):
-    plan = plan_of(entry_point.queries()[name](spark, SF_DIR))
+    plan = plan_of(registry.queries()[name](spark, SF_DIR))
     for operator in ("CartesianProduct", "NestedLoop", "EvalPython", "InPandas", "InArrow", "Scan ExistingRDD"):
         assert operator not in plan
 

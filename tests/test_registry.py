@@ -4,9 +4,10 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry_point
+from dirgauge.plans import oracle, registry
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, SQL = registry.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from dirgauge import sources
 from dirgauge.operators.tree import resolve_tree
+from dirgauge.schemas import LISTING
 
 SCAN = [("/d", "d", 0, 1), ("/d/f", "f", 5, 2), ("/d/l", "l", 0, 2), ("/d/e", "f", 0, 2, "IoError")]
 
@@ -67,19 +68,33 @@ def test_accounts(spark, tmp_path):
     ]
 
 
-def test_scan_of_files_below_a_path(spark, tmp_path):
-    base = tmp_path / "tree"
-    (base / "a" / "b").mkdir(parents=True)
-    (base / "x.txt").write_text("12345")
-    (base / "a" / "b" / "y.txt").write_text("1")
-    found = sources.scan_objects(spark, str(base))
-    assert as_set(found, "path", "entry_type", "size_bytes") == {
-        (f"{base}/x.txt", "f", 5), (f"{base}/a/b/y.txt", "f", 1),
-    }
+def test_directories_implied_by_listed_files(spark):
+    found = listing(spark, ("/r/x.txt", "f", 5), ("/r/a/b/.y", "f", 1), ("/r/_z", "f", 2))
     implied = sources.implied_directories(found)
-    paths = {r[0] for r in rows(implied, "path")}
-    assert {str(base), f"{base}/a", f"{base}/a/b", "/tmp"} <= paths and "" not in paths
+    assert as_set(implied, "path") == {("/r",), ("/r/a",), ("/r/a/b",)}
     directories, files = resolve_tree(implied, found)
     ids = {r["dir_id"]: r["path"] for r in directories.collect()}
-    assert {ids[r["dir_id"]] for r in files.collect()} == {str(base), f"{base}/a/b"}
+    assert sorted(ids[r["dir_id"]] for r in files.collect()) == ["/r", "/r", "/r/a/b"]
     assert directories.where("parent_id IS NULL").count() == 1
+
+
+def test_csv_quotes_are_doubled(spark, tmp_path):
+    path = tmp_path / "l.csv"
+    names = ",".join(f.name for f in LISTING.fields)
+    first = [f.name for f in LISTING.fields].index("path")
+    row = [""] * len(LISTING.fields)
+    row[first] = '"/d/a ""q"" b"'
+    path.write_text(names + "\n" + ",".join(row) + "\n")
+    assert rows(sources.load_listing(spark, str(path), "csv"), "path") == [('/d/a "q" b',)]
+
+
+def test_a_root_listed_as_a_dot_stays(spark):
+    directories, files = sources.classify(listing(spark, (".", "d"), ("./.", "d"), ("./..", "d"), ("./f", "f", 1)))
+    assert as_set(directories, "path") == {(".",)} and as_set(files, "path") == {("./f",)}
+
+
+def test_file_names_may_end_with_a_line_break(spark):
+    from dirgauge.functions.paths import file_name
+
+    found = spark.createDataFrame([("/d/a\n",), ("/d/a/.",), ("/d/a/",)], "path string").select(file_name(F.col("path")))
+    assert [r[0] for r in found.collect()] == ["a\n", "a", "a"]
