@@ -16,5 +16,12 @@ from dirgauge.functions.formats import (
     report_line,
     size_in_unit,
 )
-from dirgauge.functions.paths import base_name, file_name, last_segment, parent_path, path_order
+from dirgauge.functions.paths import (
+    base_name,
+    file_name,
+    last_segment,
+    normal_path,
+    parent_path,
+    path_order,
+)
 from dirgauge.functions.stat import device_id, stat_time

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def normal_path(path: Column) -> Column:
+    """Without trailing slashes, the root directory apart."""
+    return F.when(path.rlike(r"\A/+\z"), F.lit("/")).otherwise(F.regexp_replace(path, r"/+\z", ""))
+
+
 def last_segment(path: Column) -> Column:
     """Text after the last slash; empty for a path that ends in one."""
     return F.substring_index(path, "/", -1)

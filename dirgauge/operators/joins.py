@@ -2,57 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Below this many rows per task a hot key costs less than treating it.
-MIN_ROWS_PER_TASK = 1_000_000
-MAX_TRACKED = 1_000_000
 # Rows of a few narrow columns that any executor can hold.
 MAX_BROADCAST_ROWS = 200_000
 
 
-def _tasks(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def heavy_keys(df: DataFrame, key: str) -> dict:
+    """{key: splits} for each value of `key` with more rows than an even task; NULL may be one.
 
-
-def heavy_sketch(spark: SparkSession, key: str) -> Column:
-    """Aggregate: the most frequent values of `key`, as many as there are shuffle tasks.
-
-    A frequent-items sketch: one pass, no shuffle of the keys, a result bounded by the number of
-    tasks. Any key with more rows than an even task is among them.
+    Counts are summed before they are shuffled, so a hot key is no single task. At most two keys per
+    shuffle task can exceed an even share, which bounds what comes to the driver.
     """
-    top = min(_tasks(spark), MAX_TRACKED)
-    tracked = min(max(10_000, 10 * top), MAX_TRACKED)
-    return F.expr(f"approx_top_k({key}, {top}, {tracked})")
-
-
-def pick_heavy(
-    spark: SparkSession, top: list[Row] | None, total: int, min_rows: int = MIN_ROWS_PER_TASK
-) -> dict:
-    """{key: splits} for each key that exceeds an even task; splits brings it back to that size."""
-    even = max(total // _tasks(spark), min_rows, 1)
-    return {
-        entry["item"]: -(-entry["count"] // even)
-        for entry in top or []
-        if entry["item"] is not None and entry["count"] > even
-    }
-
-
-def heavy_keys(df: DataFrame, key: str, min_rows: int = MIN_ROWS_PER_TASK) -> dict:
-    """Scan one column of `df` for keys too frequent for one task. NULL may be one of them."""
-    spark = df.sparkSession
-    row = df.agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col(key).isNull()).alias("missing"),
-        heavy_sketch(spark, f"`{key}`").alias("top"),
-    ).first()
-    heavy = pick_heavy(spark, row["top"], row["n"], min_rows)
-    even = max(row["n"] // _tasks(spark), min_rows, 1)
-    if row["missing"] > even:
-        heavy[None] = -(-row["missing"] // even)
-    return heavy
+    even = max(df.count() // int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    counts = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > even)
+    return {row[0]: -(-row["n"] // even) for row in counts.collect()}
 
 
 def lookup_join(
@@ -62,8 +28,8 @@ def lookup_join(
 
     Rows of a heavy key are spread over `splits` tasks by a hash of their own `spread_by` column,
     and its single lookup row is repeated once per split; rows without a key, which match nothing,
-    are spread too. The result is exactly that of the plain join. `heavy` has at most one entry per
-    shuffle task and NULL, so its broadcast is bounded by that.
+    are spread too. The result is exactly that of the plain join. `heavy` has at most two entries per
+    shuffle task, so its broadcast is bounded by that.
     """
     if not heavy:
         return facts.join(lookup, key, how)

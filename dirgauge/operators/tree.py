@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dirgauge.functions import parent_path
-from dirgauge.operators.joins import (
-    MIN_ROWS_PER_TASK,
-    heavy_keys,
-    heavy_sketch,
-    lookup_join,
-    pick_heavy,
-)
+from dirgauge.operators.joins import heavy_keys, lookup_join
 from dirgauge.session import materialise, scratch_path
 
 
@@ -59,23 +56,52 @@ def next_ids(max_seen: int) -> Column:
     return F.lit(max_seen + 1) + F.monotonically_increasing_id()
 
 
+def _key(df: DataFrame, path: Column) -> Column:
+    """What a path is known by: itself, or with its filesystem where the listing names one."""
+    if "filesystem" not in df.columns:
+        return path
+    return F.concat(F.coalesce("filesystem", F.lit("")), F.lit("\0"), path)
+
+
+def _with_parent(entries: DataFrame) -> DataFrame:
+    above = parent_path(F.col("path"))
+    return entries.withColumn("_above", above).withColumn("_parent", _key(entries, above))
+
+
+def _stored_parents(entries: list[DataFrame], listed: DataFrame, stored: DataFrame) -> DataFrame:
+    """(_parent, _parent_id) of parents that are not listed but stored, the latest row of a path."""
+    wanted = reduce(DataFrame.unionByName, [e.select("_parent", "_above") for e in entries])
+    missing = wanted.where("_parent IS NOT NULL").distinct().join(listed, "_parent", "left_anti")
+    known = stored.groupBy(F.col("path").alias("_above")).agg(F.max("dir_id").alias("_parent_id"))
+    return materialise(missing.join(known, "_above").select("_parent", "_parent_id"), "parents")
+
+
 def resolve_tree(
     dirs: DataFrame,
     files: DataFrame,
     max_dir_id: int = 0,
     max_file_id: int = 0,
-    min_hot_rows: int = MIN_ROWS_PER_TASK,
+    stored: DataFrame | None = None,
+    roots: Iterable[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Give every listed directory an id and its parent's id, every file an id and its directory's.
 
-    A directory whose parent is not listed is a root (parent NULL). A directory may hold any share
-    of all entries: such parents are split over tasks.
+    Parents are looked up among the listed directories, which have one row per path, and then among
+    the `stored` ones. A directory whose parent is in neither is a root (parent NULL), and so is one
+    given in `roots` wherever it lies; a file without parent has dir_id NULL. With a `filesystem`
+    column, listed paths are told apart by it. A directory may hold any share of all entries: such
+    parents are split over tasks.
     """
-    ids = assign_ids(dirs, "dir_id", max_dir_id).withColumn("_parent", parent_path(F.col("path")))
-    by_path = ids.select(F.col("path").alias("_parent"), F.col("dir_id").alias("_parent_id"))
-
-    heavy_dirs = heavy_keys(ids, "_parent", min_hot_rows)
-    directories = lookup_join(ids, by_path, "_parent", heavy_dirs, "left", "path").select(
+    ids = _with_parent(assign_ids(dirs, "dir_id", max_dir_id))
+    if given := [r.rstrip("/") or "/" for r in roots]:
+        inner = ~F.col("path").isin(given)
+        ids = ids.withColumn("_parent", F.when(inner, F.col("_parent")))
+    placed = _with_parent(files)
+    by_path = ids.select(_key(ids, F.col("path")).alias("_parent"), F.col("dir_id").alias("_parent_id"))
+    if stored is not None:
+        by_path = by_path.unionByName(_stored_parents([ids, placed], by_path, stored))
+
+    directories = lookup_join(ids, by_path, "_parent", heavy_keys(ids, "_parent"), "left", "path").select(
         "dir_id",
         "path",
         F.col("_parent_id").alias("parent_id"),
@@ -83,9 +109,8 @@ def resolve_tree(
         "mtime",
     )
 
-    placed = files.withColumn("_parent", parent_path(F.col("path")))
-    heavy_files = heavy_keys(placed, "_parent", min_hot_rows)
-    resolved = lookup_join(placed, by_path, "_parent", heavy_files, "left", "path").select(
+    heavy = heavy_keys(placed, "_parent")
+    resolved = lookup_join(placed, by_path, "_parent", heavy, "left", "path").select(
         next_ids(max_file_id).alias("file_id"),
         F.col("_parent_id").alias("dir_id"),
         "path",
@@ -115,7 +140,7 @@ _STATE = T.StructType(
 )
 
 
-def build_lineage(directories: DataFrame, min_hot_rows: int = MIN_ROWS_PER_TASK) -> DataFrame:
+def build_lineage(directories: DataFrame) -> DataFrame:
     """(dir_id, ancestors, root_id) for every directory.
 
     `ancestors` runs from the directory itself up to the topmost one with a row. `root_id` is that
@@ -140,7 +165,6 @@ def build_lineage(directories: DataFrame, min_hot_rows: int = MIN_ROWS_PER_TASK)
                 F.coalesce(
                     F.bool_or(F.expr("open AND array_contains(ancestors, next_id)")), F.lit(False)
                 ).alias("cycle"),
-                heavy_sketch(spark, "next_id").alias("top"),
             )
             .write.partitionBy("open")
             .parquet(f"{root}/round={step}")
@@ -173,7 +197,7 @@ def build_lineage(directories: DataFrame, min_hot_rows: int = MIN_ROWS_PER_TASK)
             F.col("next_id").alias("after"),
             F.col("rooted").alias("more_rooted"),
         )
-        heavy = pick_heavy(spark, state.top, state.n, min_hot_rows)
+        heavy = heavy_keys(unfinished, "next_id")
         joined = lookup_join(unfinished, known, "next_id", heavy, "left", "dir_id")
         step += 1
         state = store(
@@ -205,5 +229,5 @@ def closure_of(lineage: DataFrame) -> DataFrame:
     ).select("ancestor_id", "descendant_id", "depth")
 
 
-def build_closure(directories: DataFrame, min_hot_rows: int = MIN_ROWS_PER_TASK) -> DataFrame:
-    return closure_of(build_lineage(directories, min_hot_rows))
+def build_closure(directories: DataFrame) -> DataFrame:
+    return closure_of(build_lineage(directories))

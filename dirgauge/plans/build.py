@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,21 +12,36 @@ from pyspark.sql import functions as F
 from dirgauge.operators import rollups, tables
 from dirgauge.operators.tree import build_lineage, closure_of, max_id, resolve_tree
 from dirgauge.session import as_of_literal, materialise
-from dirgauge.sources.listing import classify, split_errors
+from dirgauge.sources.listing import classify, split_errors, split_malformed, split_repeated
 
 
-def ingest(spark: SparkSession, root: str, listing: DataFrame, as_of: str | datetime) -> DataFrame:
-    """Resolve a listing, append it to the tables and return its failed entries."""
+def ingest(
+    spark: SparkSession,
+    root: str,
+    listing: DataFrame,
+    as_of: str | datetime,
+    roots: Iterable[str] = (),
+) -> DataFrame:
+    """Resolve a listing, append it to the tables and return the entries that are not stored.
+
+    Their kinds are those of the scan, and NoPath, NoSize, Repeated (a directory listed before) and
+    NoParent (a file whose directory is neither listed nor stored).
+    """
     entries, errors = split_errors(listing)
+    entries, malformed = split_malformed(entries)
     dirs, files = classify(entries)
+    dirs, repeated = split_repeated(dirs)
     directories, resolved = resolve_tree(
         dirs,
         files,
         max_id(tables.read_table(spark, root, "directories"), "dir_id"),
         max_id(tables.read_table(spark, root, "files"), "file_id"),
+        tables.read_table(spark, root, "directories"),
+        roots,
     )
-    tables.append_inventory(root, directories, resolved, as_of)
-    return errors
+    lost = resolved.where("dir_id IS NULL").select("path", F.lit("NoParent").alias("error_kind"))
+    tables.append_inventory(root, directories, resolved.where("dir_id IS NOT NULL"), as_of)
+    return reduce(DataFrame.unionByName, [errors, malformed, repeated, lost])
 
 
 def usage_layout(files: DataFrame, lineage: DataFrame) -> DataFrame:

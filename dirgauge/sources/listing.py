@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirgauge.functions import last_segment, parent_path
-from dirgauge.operators.joins import MIN_ROWS_PER_TASK, heavy_keys, lookup_join
+from dirgauge.functions import last_segment, normal_path, parent_path
+from dirgauge.operators.joins import heavy_keys, lookup_join
 from dirgauge.schemas import LISTING
 from dirgauge.session import as_of_literal
 
@@ -65,9 +65,37 @@ def error_counts(errors: DataFrame) -> DataFrame:
     return errors.groupBy("error_kind").agg(F.count("*").alias("n"))
 
 
+def split_malformed(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries that can be stored, the others with path and kind): those without a path, and regular
+    files without a size, such as a size in CSV that is no number."""
+    kind = F.when(F.col("path").isNull(), "NoPath").when(
+        (F.col("entry_type") == "f") & F.col("size_bytes").isNull(), "NoSize"
+    )
+    checked = entries.withColumn("_kind", kind)
+    return (
+        checked.where("_kind IS NULL").drop("_kind"),
+        checked.where("_kind IS NOT NULL").select("path", F.col("_kind").alias("error_kind")),
+    )
+
+
+def split_repeated(dirs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row per directory, an error for each further row of the same path and filesystem).
+
+    The least of the rows stays. Files are not looked at: one listed twice counts twice.
+    """
+    keys = [c for c in ("filesystem", "path") if c in dirs.columns]
+    row = F.struct(*[c for c in dirs.columns if c not in keys])
+    found = dirs.groupBy(*keys).agg(F.min(row).alias("row"), F.count("*").alias("n"))
+    once = found.select(*[F.col(c) if c in keys else F.col(f"row.{c}").alias(c) for c in dirs.columns])
+    further = F.explode(F.sequence(F.lit(2).cast("bigint"), "n"))
+    again = found.where("n > 1").select("path", F.lit("Repeated").alias("error_kind"), further)
+    return once, again.select("path", "error_kind")
+
+
 def classify(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(directories, regular files). Symlinks, special files and the '.' and '..' entries of a
-    directory go; a root may be given by such a name."""
+    directory go; a root may be given by such a name. Paths lose trailing slashes."""
+    entries = entries.withColumn("path", normal_path(F.col("path")))
     name = last_segment(F.col("path"))
     real = entries.where(~name.isin(".", "..") | (name == F.col("path")))
     return real.where("entry_type = 'd'"), real.where("entry_type = 'f'")
@@ -78,14 +106,12 @@ def delta(listing: DataFrame, last_seen: str | datetime) -> DataFrame:
     return listing.where(F.col("mtime") >= as_of_literal(last_seen, listing.schema["mtime"].dataType))
 
 
-def delta_by_directory(
-    listing: DataFrame, seen: DataFrame, min_hot_rows: int = MIN_ROWS_PER_TASK
-) -> DataFrame:
+def delta_by_directory(listing: DataFrame, seen: DataFrame) -> DataFrame:
     """Entries not older than the last scan of their own directory, `seen` being
     (path, last_seen_mtime), one row per path. Entries of directories never seen are all kept."""
     marks = seen.select(F.col("path").alias("_parent"), "last_seen_mtime")
     entries = listing.withColumn("_parent", parent_path(F.col("path")))
-    heavy = heavy_keys(entries, "_parent", min_hot_rows)
+    heavy = heavy_keys(entries, "_parent")
     return (
         lookup_join(entries, marks, "_parent", heavy, "left", "path")
         .where(F.col("last_seen_mtime").isNull() | (F.col("mtime") >= F.col("last_seen_mtime")))

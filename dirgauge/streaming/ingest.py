@@ -11,12 +11,23 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from dirgauge.plans.build import ingest
 from dirgauge.schemas import LISTING
 
 
+_STAGED = T.StructType([*LISTING.fields, T.StructField("batch_id", T.LongType())])
+_MARKS = T.StructType(
+    [
+        T.StructField("staging", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+        T.StructField("n", T.LongType()),
+    ]
+)
+
+
 def read_stream(
     spark: SparkSession, path: str, fmt: str = "parquet", files_per_trigger: int | None = None
 ) -> DataFrame:
@@ -41,9 +52,28 @@ def stage_listing(stream: DataFrame, staging: str, checkpoint: str) -> Streaming
 
 
 def finish_ingest(spark: SparkSession, staging: str, root: str, as_of: str | datetime) -> DataFrame:
-    """Resolve the staged entries, append them to the tables, return the failed ones."""
-    staged = spark.read.schema(LISTING).option("basePath", staging).parquet(f"{staging}/batch_id=*")
-    return ingest(spark, root, staged, as_of)
+    """Resolve what was staged since the last call, append it to the tables, return the failed entries.
+
+    Batches are marked in the table `staged_batches` once they are appended, with their number of
+    rows. A marked batch that has changed since, because its checkpoint was lost, is an error: stage
+    into a new folder then. A failure between the append and the mark leaves the batch unmarked.
+    """
+    done = f"{root.rstrip('/')}/staged_batches"
+    empty = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in _MARKS.fields])
+    empty.coalesce(1).write.mode("ignore").parquet(done)
+    marked = spark.read.schema(_MARKS).parquet(done).where(F.col("staging") == staging).collect()  # one row per batch
+    before = {row["batch_id"]: row["n"] for row in marked}
+
+    staged = spark.read.schema(_STAGED).option("basePath", staging).parquet(f"{staging}/batch_id=*")
+    now = {row["batch_id"]: row["count"] for row in staged.groupBy("batch_id").count().collect()}
+    if changed := sorted(b for b, n in before.items() if now.get(b, n) != n):
+        raise ValueError(f"batches {changed} of {staging} were ingested before with other rows")
+    fresh = staged.where(~F.col("batch_id").isin(list(before))) if before else staged
+    failed = ingest(spark, root, fresh.drop("batch_id"), as_of)
+    marks = [(staging, b, n) for b, n in now.items() if b not in before]
+    if marks:
+        spark.createDataFrame(marks, _MARKS).coalesce(1).write.mode("append").parquet(done)
+    return failed
 
 
 def stream_totals(stream: DataFrame) -> DataFrame:

@@ -84,3 +84,26 @@ def test_failing_write_stops_the_stream(spark, tmp_path, arrived):
     with pytest.raises(Exception):
         query.awaitTermination()
 
+
+
+def test_each_batch_is_ingested_once(spark, tmp_path, arrived):
+    root, staged = str(tmp_path / "tables"), str(tmp_path / "staged")
+    tables.create_tables(spark, root)
+    stage(spark, tmp_path, arrived)
+    finish_ingest(spark, staged, root, AS_OF)
+    listing(spark, ("/d/late", "f", 9, 3)).coalesce(1).write.mode("append").parquet(arrived)
+    stage(spark, tmp_path, arrived)
+    for _ in range(2):
+        finish_ingest(spark, staged, root, AS_OF)
+    assert outcome(spark, root) == {("/d", "x", 5, 1), ("/d/e", "y", 7, 2), ("/d", "late", 9, 3)}
+    assert tables.read_table(spark, root, "directories").count() == 2
+
+
+def test_a_marked_batch_with_other_rows_is_an_error(spark, tmp_path, arrived):
+    root, staged = str(tmp_path / "tables"), str(tmp_path / "staged")
+    tables.create_tables(spark, root)
+    stage(spark, tmp_path, arrived)
+    finish_ingest(spark, staged, root, AS_OF)
+    stage_listing(read_stream(spark, arrived, files_per_trigger=3), staged, str(tmp_path / "offsets-2")).awaitTermination()
+    with pytest.raises(ValueError, match="other rows"):
+        finish_ingest(spark, staged, root, AS_OF)

@@ -50,14 +50,13 @@ def test_chain_of_150(spark):
     assert closure_rows(closure) == brute_closure(parents)
 
 
-@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
-def test_random_trees_with_and_without_salting(spark, hot_rows):
+def test_random_trees_with_a_hot_parent(spark):
     rng = random.Random(5)
     # One directory holds a third of all others; the rest hang anywhere above themselves.
     parents = {1: None, 2: None, 3: 1}
     for node in range(4, 400):
         parents[node] = 3 if rng.random() < 0.34 else rng.randrange(1, node)
-    closure = build_closure(as_dirs(spark, parents), min_hot_rows=hot_rows)
+    closure = build_closure(as_dirs(spark, parents))
     assert closure_rows(closure) == brute_closure(parents)
 
 
@@ -113,10 +112,9 @@ TREE = [
 ]
 
 
-@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
-def test_resolve(spark, hot_rows):
+def test_resolve(spark):
     entries, errors = split_errors(listing(spark, *TREE))
-    directories, found = resolve_tree(*classify(entries), 10, 20, min_hot_rows=hot_rows)
+    directories, found = resolve_tree(*classify(entries), 10, 20)
     by_id = {r["dir_id"]: r for r in directories.collect()}
     assert sorted(by_id) == [11, 12, 13, 14]
     parent = {r["path"]: by_id[r["parent_id"]]["path"] if r["parent_id"] else None for r in by_id.values()}
@@ -149,7 +147,7 @@ def test_salted_join_equals_plain_join(spark, how):
         .alias("k"),
     )
     lookup = spark.createDataFrame([("hot", -1)] + [(f"k{n}", n) for n in range(150)], "k string, v int")
-    heavy = heavy_keys(facts, "k", min_rows=1)
+    heavy = heavy_keys(facts, "k")
     assert heavy["hot"] >= 2 and heavy[None] >= 2 and len(heavy) <= 9
     plain = facts.join(lookup, "k", how)
     salted = lookup_join(facts, lookup, "k", heavy, how, "u")
@@ -157,4 +155,4 @@ def test_salted_join_equals_plain_join(spark, how):
 
 
 def test_even_keys_are_not_heavy(spark):
-    assert heavy_keys(spark.range(1000).withColumn("k", F.col("id")), "k", min_rows=1) == {}
+    assert heavy_keys(spark.range(1000).withColumn("k", F.col("id")), "k") == {}
