@@ -42,9 +42,8 @@ def test_delta(spark):
     seen = spark.createDataFrame([("/d", "2024-01-02 00:00:00")], "path string, t string").select(
         "path", F.col("t").cast("timestamp").alias("last_seen_mtime")
     )
-    for hot_rows in (1, 1_000_000):
-        kept = sources.delta_by_directory(df, seen, hot_rows)
-        assert as_set(kept, "path") == {("/d/b",), ("/e/c",), ("/e/d",)}
+    kept = sources.delta_by_directory(df, seen)
+    assert as_set(kept, "path") == {("/d/b",), ("/e/c",), ("/e/d",)}
 
 
 def test_accounts(spark, tmp_path):
