@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Rows of a few narrow columns that any executor can hold.
 MAX_BROADCAST_ROWS = 200_000
+# Most ids of one lookup that are pushed to a scan one by one (`configure` sets the scan's own limit).
+MAX_PUSHED_IDS = 256
 
 
 def heavy_keys(df: DataFrame, key: str) -> dict:
@@ -57,3 +60,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     the large table it is joined to. The count stops at the limit.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def if_few(df: DataFrame, max_rows: int = MAX_PUSHED_IDS) -> pa.Table | None:
+    """The rows of `df` if there are at most `max_rows`, else None. The read stops at the limit."""
+    found = df.limit(max_rows + 1).toArrow()
+    return found if found.num_rows <= max_rows else None
+
+
+def having_ids(df: DataFrame, key: str, few: pa.Table) -> DataFrame:
+    """The rows of `df` whose `key` is among those of `few`: pushed to the scan, where Bloom filters
+    and statistics skip the row groups without one."""
+    return df.where(F.col(key).isin(few.column(key).to_pylist()))

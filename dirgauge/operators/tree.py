@@ -26,7 +26,8 @@ def max_id(df: DataFrame | None, column: str) -> int:
 
 
 def assign_ids(df: DataFrame, column: str, max_seen: int) -> DataFrame:
-    """Number the rows max_seen+1, max_seen+2, ... without gaps, in no promised order.
+    """Number the rows max_seen+1, max_seen+2, ... without gaps: a sorted table in its order, any other
+    in no promised one.
 
     Each task numbers its own rows; a table with one row per task (not per data row) then gives the
     offset to add. Rows are stored in between, since a recomputed task may see them in another

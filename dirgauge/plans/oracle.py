@@ -146,6 +146,35 @@ fx_accounts AS (
   UNION ALL SELECT c_custkey + 2000000, c_name, CAST(c_nationkey AS BIGINT) FROM customer)"""
 
 
+def _report_text(order: str, label: str, unit: int) -> str:
+    """Titles, rule, files in `order`, rule, totals; sizes in `unit` with two decimals, ties to even."""
+    title = f"{'Path':<60} {f'Size ({label})':>12} {'UID':>6}"
+    return _sql(
+        _BASE + "," + _LISTING,
+        f"""SELECT n + 2 AS position, line FROM (
+              SELECT row_number() OVER (ORDER BY {order}) AS n,
+                     concat(rpad(path, CAST(greatest(length(path), 60) AS INT), ' '), ' ',
+                       lpad(concat(CAST(c // 100 AS VARCHAR), '.', lpad(CAST(c % 100 AS VARCHAR), 2, '0')), 12, ' '),
+                       ' ', lpad(CAST(owner_uid AS VARCHAR), greatest(6, length(CAST(owner_uid AS VARCHAR)))::INT, ' '))
+                       AS line
+              FROM (SELECT path, size_bytes, uid AS owner_uid,
+                      size_bytes * 100 // {unit} + CASE WHEN size_bytes * 100 % {unit} * 2 > {unit}
+                        OR (size_bytes * 100 % {unit} * 2 = {unit} AND (size_bytes * 100 // {unit}) % 2 = 1)
+                        THEN 1 ELSE 0 END AS c
+                    FROM fx_listing WHERE entry_type = 'f' AND error_kind IS NULL))
+            UNION ALL
+            SELECT CASE WHEN k > 2 THEN files + k ELSE k END, CASE k WHEN 1 THEN '{title}'
+                     WHEN 4 THEN concat('files:  ', CAST(files AS VARCHAR))
+                     WHEN 5 THEN concat('bytes:  ', CAST(bytes AS VARCHAR))
+                     WHEN 6 THEN concat('errors: ', CAST(errors AS VARCHAR))
+                     ELSE repeat('-', 80) END
+            FROM (SELECT count(CASE WHEN entry_type = 'f' AND error_kind IS NULL THEN 1 END) AS files,
+                         coalesce(sum(CASE WHEN entry_type = 'f' AND error_kind IS NULL THEN size_bytes END), 0) AS bytes,
+                         count(error_kind) AS errors FROM fx_listing)
+            CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5, 6])::BIGINT AS k)""",
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         # Sources and ingest
@@ -237,6 +266,9 @@ def oracle_sql() -> dict[str, str]:
                          THEN 1 ELSE 0 END AS n
                      FROM fx_files f JOIN fx_directories d ON d.dir_id = f.dir_id)""",
         ),
+        "report_text": _report_text("string_split(path, '/')", "KB", 1024),
+        "report_text_by_size": _report_text("size_bytes DESC, string_split(path, '/')", "MB", 1024 * 1024),
+        "report_text_by_owner": _report_text("owner_uid, string_split(path, '/')", "B", 1),
         "file_lines": _sql(
             _BASE,
             """SELECT concat('[FILE] "', d.path, '/', filename, '" size=', CAST(size_bytes AS VARCHAR),
@@ -437,6 +469,16 @@ def oracle_sql() -> dict[str, str]:
             _DERIVED,
             """SELECT path, subtree_bytes, subtree_count FROM fx_stats JOIN fx_directories USING (dir_id)""",
         ),
+        "sorted_listing_places": _sql(
+            _DERIVED + ", fx_listed AS (SELECT * FROM fx_stats JOIN fx_directories USING (dir_id))",
+            """SELECT 'path' AS "by", row_number() OVER (ORDER BY lower(path), path) AS place, path FROM fx_listed
+               UNION ALL SELECT 'subtree_bytes', row_number() OVER (ORDER BY subtree_bytes DESC, path), path
+               FROM fx_listed
+               UNION ALL SELECT 'subtree_count', row_number() OVER (ORDER BY subtree_count, path), path
+               FROM fx_listed
+               UNION ALL SELECT 'mtime', row_number() OVER (ORDER BY mtime DESC NULLS LAST, path), path
+               FROM fx_listed""",
+        ),
         "breadcrumb": _sql(
             _DIRECTORIES + "," + _CLOSURE,
             """SELECT d.dir_id, split_part(d.path, '/', -1) AS name, CAST(h - c.depth AS INT) AS level

@@ -188,6 +188,23 @@ def scan_totals(t: OrderTree) -> DataFrame:
     return reports.scan_totals(listings.classify(entries)[1], errors)
 
 
+def _text_report(order: str, unit: str) -> Callable[[OrderTree], DataFrame]:
+    return lambda t: reports.text_report(
+        _file_entries(t), listings.split_errors(t["listing"])[1], order, unit
+    )
+
+
+def sorted_listing_places(t: OrderTree) -> DataFrame:
+    """Each directory's place in the listing by name, bytes, files and time of change."""
+    listed = t["directory_stats"].join(t["directories"].select("dir_id", "path", "mtime"), "dir_id")
+    places = None
+    for column, ascending in (("path", True), ("subtree_bytes", False), ("subtree_count", True), ("mtime", False)):
+        ordered = reports.sorted_listing(listed, column, ascending, "path").select("path")
+        placed = assign_ids(ordered, "place", 0).select(F.lit(column).alias("by"), "place", "path")
+        places = placed if places is None else places.unionByName(placed)
+    return places
+
+
 def run_log(t: OrderTree) -> DataFrame:
     root = _new_root(t)
     tables.append_table(t["crawl_runs"], root, "crawl_runs")
@@ -376,6 +393,9 @@ def _queries() -> dict[str, Callable[[OrderTree], DataFrame]]:
         "table_counts": reports.table_counts,
         "append_inventory": append_inventory,
         "report_table": lambda t: reports.file_report(_file_entries(t)),
+        "report_text": _text_report("path", "KB"),
+        "report_text_by_size": _text_report("size", "MB"),
+        "report_text_by_owner": _text_report("owner", "B"),
         "file_lines": lambda t: reports.file_lines(_file_entries(t)),
         "scan_totals": scan_totals,
         "create_clear": create_clear,
@@ -428,6 +448,7 @@ def _queries() -> dict[str, Callable[[OrderTree], DataFrame]]:
             True,
             "path",
         ),
+        "sorted_listing_places": sorted_listing_places,
         "breadcrumb": lambda t: reports.breadcrumb(t, DEEP_DIR_ID),
         "fmt_bytes": fmt_bytes,
         "fmt_bytes_tb": fmt_bytes_tb,

@@ -21,8 +21,9 @@ from dirgauge.functions import (
     report_line,
     size_in_unit,
 )
-from dirgauge.functions.formats import local_time
-from dirgauge.operators.joins import broadcast_if_small
+from dirgauge.functions.formats import local_time, report_header
+from dirgauge.operators.joins import broadcast_if_small, having_ids, if_few
+from dirgauge.operators.tree import assign_ids
 from dirgauge.session import as_of_literal
 
 Tables = Mapping[str, DataFrame]
@@ -39,12 +40,20 @@ def _display_name() -> Column:
 
 
 def _with_subtree(directories: DataFrame, stats: DataFrame) -> DataFrame:
-    """Directories with their totals. Only the outer side of the join is known to be few, and only
-    the inner side of it can be broadcast: so the statistics are reduced to these directories
-    first."""
+    """Directories with their totals.
+
+    The ids of a few directories are pushed to the scan of the statistics. More are joined: only the
+    outer side of the join is known to be few, and only the inner side of it can be broadcast, so the
+    statistics are reduced to these directories first.
+    """
     chosen = directories.select("dir_id", "path")
-    few = broadcast_if_small(chosen.select("dir_id"))
-    totals = stats.select("dir_id", "subtree_bytes", "subtree_count").join(few, "dir_id", "left_semi")
+    totals = stats.select("dir_id", "subtree_bytes", "subtree_count")
+    few = if_few(chosen.select("dir_id"))
+    if few is not None:
+        # `dir_id` is unique: no more rows than ids.
+        totals = F.broadcast(having_ids(totals, "dir_id", few))
+    else:
+        totals = totals.join(broadcast_if_small(chosen.select("dir_id")), "dir_id", "left_semi")
     return chosen.join(totals, "dir_id", "left").select(
         "dir_id",
         "path",
@@ -53,6 +62,18 @@ def _with_subtree(directories: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
+def _with_path(directories: DataFrame, chosen: DataFrame) -> DataFrame:
+    """`chosen` (dir_id and more) with the paths of its directories; rows without a directory go.
+
+    The ids of a few rows are read first and pushed to the scan of the directories.
+    """
+    paths = directories.select("dir_id", "path")
+    few = if_few(chosen.select("dir_id"))
+    if few is None:
+        return paths.join(broadcast_if_small(chosen), "dir_id")
+    return having_ids(paths, "dir_id", few).join(F.broadcast(chosen), "dir_id")
+
+
 def filesystems(t: Tables) -> DataFrame:
     """Every root with its totals, by path."""
     roots = t["directories"].where("parent_id IS NULL")
@@ -143,9 +164,7 @@ def user_tree(t: Tables, uid: int) -> DataFrame:
         .limit(TREE_LIMIT)
     )
     return (
-        t["directories"]
-        .select("dir_id", "path")
-        .join(F.broadcast(chosen), "dir_id")
+        _with_path(t["directories"], chosen)
         .select("dir_id", "path", "user_bytes", "user_files", "last_mtime")
         .orderBy(*newest)
         .limit(TREE_LIMIT)
@@ -244,21 +263,25 @@ def top_dirs(t: Tables, n: int = TOP_LIMIT) -> DataFrame:
     """The `n` directories with most bytes below them.
 
     Only directories that reach the n-th largest size (ties included) are joined to their paths.
-    Statistics without a directory do not count towards the n.
+    Statistics without a directory do not count towards the n: where that leaves fewer than n, those
+    with a directory are looked for first.
     """
     stats = t["directory_stats"].select("dir_id", "subtree_bytes", "subtree_count")
-    stats = stats.join(t["directories"].select("dir_id"), "dir_id", "left_semi")
-    largest = stats.select("subtree_bytes").orderBy(F.desc("subtree_bytes")).limit(n)
-    least = largest.agg(F.min("subtree_bytes")).first()[0]
-    candidates = broadcast_if_small(stats.where(F.col("subtree_bytes") >= F.lit(least)))
-    return (
-        t["directories"]
-        .select("dir_id", "path")
-        .join(candidates, "dir_id")
-        .select("path", "subtree_bytes", "subtree_count")
-        .orderBy(F.desc("subtree_bytes"), "path")
-        .limit(n)
-    )
+
+    def largest(of: DataFrame) -> DataFrame:
+        sizes = of.select("subtree_bytes").orderBy(F.desc("subtree_bytes")).limit(n)
+        least = sizes.agg(F.min("subtree_bytes")).first()[0]
+        return (
+            _with_path(t["directories"], of.where(F.col("subtree_bytes") >= F.lit(least)))
+            .select("path", "subtree_bytes", "subtree_count")
+            .orderBy(F.desc("subtree_bytes"), "path")
+            .limit(n)
+        )
+
+    found = largest(stats)
+    if found.count() == n:
+        return found
+    return largest(stats.join(t["directories"].select("dir_id"), "dir_id", "left_semi"))
 
 
 def grand_totals(t: Tables) -> DataFrame:
@@ -292,12 +315,9 @@ def breadcrumb(t: Tables, dir_id: int) -> DataFrame:
     chain = t["directory_lineage"].where(F.col("dir_id") == dir_id).select(
         F.posexplode(F.reverse("ancestors")).alias("level", "dir_id")
     )
-    chain = broadcast_if_small(chain)
     name = F.when(F.col("level") == 0, base_name(F.col("path"))).otherwise(last_segment(F.col("path")))
     return (
-        t["directories"]
-        .select("dir_id", "path")
-        .join(chain, "dir_id")
+        _with_path(t["directories"], chain)
         .select("dir_id", name.alias("name"), "level")
         .orderBy("level")
     )
@@ -348,6 +368,31 @@ def file_report(files: DataFrame, order: str = "path", unit: str = "KB") -> Data
     )
 
 
+def text_report(files: DataFrame, errors: DataFrame, order: str = "path", unit: str = "KB") -> DataFrame:
+    """The finished report as lines in order of `position`, from 1: titles, a rule, one line per file as
+    in `file_report`, a rule, and the totals of the scan."""
+    title, rule = report_header(unit).split("\n")
+    lines = assign_ids(file_report(files, order, unit).select("line"), "position", 2)
+
+    def at(position: Column, line: Column) -> Column:
+        return F.struct(position.cast("bigint").alias("position"), line.alias("line"))
+
+    last = F.col("files") + 2
+    around = scan_totals(files, errors).select(
+        F.inline(
+            F.array(
+                at(F.lit(1), F.lit(title)),
+                at(F.lit(2), F.lit(rule)),
+                at(last + 1, F.lit(rule)),
+                at(last + 2, F.format_string("files:  %d", "files")),
+                at(last + 3, F.format_string("bytes:  %d", "bytes")),
+                at(last + 4, F.format_string("errors: %d", "errors")),
+            )
+        )
+    )
+    return around.unionByName(lines.select("position", "line")).orderBy("position")
+
+
 def file_lines(files: DataFrame) -> DataFrame:
     """One text line per file."""
     return files.select(file_line(F.col("path"), F.col("size_bytes"), F.col("owner_uid")).alias("line"))

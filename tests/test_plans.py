@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dirgauge.operators.joins import broadcast_if_small
 from dirgauge.plans import registry, reports
-from dirgauge.sources.order_tree import AS_OF, DIR_ID, UID, OrderTree
+from dirgauge.sources.order_tree import AS_OF, DEEP_DIR_ID, DIR_ID, UID, OrderTree
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -49,7 +49,13 @@ def test_no_products_and_no_python_in_plans(spark, no_automatic_broadcast, name)
         (lambda t: reports.user_summary(t, UID), "EqualTo(uid,7)"),
         (lambda t: reports.staleness(t, AS_OF), "LessThanOrEqual(atime,2001-07-01T00:00)"),
         (lambda t: reports.staleness(t, AS_OF, UID), "EqualTo(owner_uid,7)"),
-        (lambda t: reports.top_dirs(t), "GreaterThanOrEqual(subtree_bytes,"),
+        (lambda t: reports.cumulative_size(t, DIR_ID), f"EqualTo(dir_id,{DIR_ID})"),
+        (lambda t: reports.user_tree(t, UID), "In(dir_id, ["),
+        (lambda t: reports.breadcrumb(t, DEEP_DIR_ID), "In(dir_id, ["),
+        (lambda t: reports.top_dirs(t), "In(dir_id, ["),
+        (lambda t: reports.filesystems(t), "In(dir_id, ["),
+        (lambda t: reports.dir_children(t, DIR_ID), "In(dir_id, ["),
+        (lambda t: reports.grand_totals(t), "In(dir_id, ["),
     ],
 )
 def test_filters_reach_the_scan(t, report, pushed):
@@ -77,10 +83,38 @@ def test_shuffles(t, no_automatic_broadcast, report, shuffles):
 
 
 def test_statistics_of_few_directories_are_not_shuffled_whole(t, no_automatic_broadcast):
+    few = plan_of(reports.dir_children(t, DIR_ID))
+    assert "hashpartitioning" not in few and "BroadcastHashJoin" in few
+
+
+def test_statistics_of_more_directories_are_not_shuffled_whole(t, no_automatic_broadcast, monkeypatch):
+    monkeypatch.setattr(reports, "if_few", lambda df: None)
     plan = plan_of(reports.dir_children(t, DIR_ID))
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
 
 
+@pytest.fixture
+def plain_plans(spark):
+    """Plans that are not changed while they run, so that their scans can be asked for metrics."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_point_lookups_skip_row_groups(spark, tmp_path, plain_plans):
+    """Small row groups of shuffled ids: Bloom filters, not statistics, rule most of them out."""
+    path, n, step = str(tmp_path / "directories"), 200_000, 40_000
+    rows = spark.range(n).select(F.col("id").alias("dir_id"), F.concat(F.lit("/d"), "id").alias("path"))
+    writer = rows.orderBy(F.xxhash64("dir_id")).coalesce(1).write.option("parquet.block.size", 64 * 1024)
+    writer.option("parquet.bloom.filter.enabled#dir_id", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
+    found = reports._with_path(spark.read.parquet(path), spark.range(7, n, step).toDF("dir_id"))
+    assert {tuple(r) for r in found.collect()} == {(i, f"/d{i}") for i in range(7, n, step)}
+    leaves = found._jdf.queryExecution().executedPlan().collectLeaves()
+    scans = [leaves.apply(i) for i in range(leaves.length())]
+    read = [s.metrics().apply("numOutputRows").value() for s in scans if "parquet" in s.nodeName()]
+    assert len(read) == 1 and 0 < read[0] < 0.9 * n, read
+
+
 def test_closure_is_written_without_a_shuffle(t):
     from dirgauge.plans.build import closure_layout
 

@@ -189,6 +189,28 @@ def test_file_report(spark):
     assert rows(reports.file_lines(f.where("path = '/r/z'"))) == [('[FILE] "/r/z" size=0 uid=1',)]
 
 
+def test_text_report_in_order(spark):
+    entries, errors = split_errors(listing(spark, *REPORT))
+    f = classify(entries)[1].withColumnRenamed("uid", "owner_uid")
+    got = rows(reports.text_report(f.repartition(3), errors, "size", "B"), "position", "line")
+    assert [p for p, _ in got] == list(range(1, 10))
+    lines = [line for _, line in got]
+    assert lines[0].split() == ["Path", "Size", "(B)", "UID"] and lines[1] == lines[5] == "-" * 80
+    assert [line.split()[0] for line in lines[2:5]] == ["/r/a/c", "/r/a-b", "/r/z"]
+    assert lines[6:] == ["files:  3", "bytes:  4352", "errors: 1"]
+    none = rows(reports.text_report(f.where("false"), errors.where("false")), "line")
+    assert [line for (line,) in none][2:] == ["-" * 80, "files:  0", "bytes:  0", "errors: 0"]
+
+
+def test_top_dirs_leaves_out_statistics_without_a_directory(spark):
+    d = dirs(spark, *[(n, f"/{n}", None) for n in range(1, 6)])
+    f = files(spark, *[(n, n, n, 7) for n in range(1, 6)])
+    full = inventory(spark, d, f)
+    orphaned = {**full, "directories": full["directories"].where("dir_id NOT IN (4, 5)")}
+    assert rows(reports.top_dirs(orphaned, 2), "path") == [("/3",), ("/2",)]
+    assert rows(reports.top_dirs(orphaned, 9), "path") == [("/3",), ("/2",), ("/1",)]
+
+
 def test_scan_totals_of_nothing(spark):
     entries, errors = split_errors(listing(spark))
     assert rows(reports.scan_totals(entries, errors)) == [(0, 0, 0)]
