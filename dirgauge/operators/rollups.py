@@ -18,6 +18,13 @@ def build_usage(files: DataFrame) -> DataFrame:
     )
 
 
+def build_access(files: DataFrame) -> DataFrame:
+    """Files and bytes per owner and exact time of last access; files without one are left out."""
+    return files.where("atime IS NOT NULL").groupBy("owner_uid", "atime").agg(
+        F.count("*").alias("files"), F.sum("size_bytes").alias("bytes")
+    )
+
+
 def build_users(files: DataFrame, directories: DataFrame) -> DataFrame:
     """Every uid that owns a file or a directory. `files` may also be the usage."""
     owners = files.select("owner_uid").unionByName(directories.select("owner_uid"))

@@ -50,6 +50,12 @@ def usage_layout(files: DataFrame, lineage: DataFrame) -> DataFrame:
     return usage.repartitionByRange("owner_uid", "dir_id").sortWithinPartitions("owner_uid", "dir_id")
 
 
+def access_layout(files: DataFrame) -> DataFrame:
+    """`access_usage`, stored by owner and time, so that one user's ages read that user's rows only."""
+    access = rollups.build_access(files).repartitionByRange("owner_uid", "atime")
+    return access.sortWithinPartitions("owner_uid", "atime")
+
+
 def lineage_layout(lineage: DataFrame, usage: DataFrame) -> DataFrame:
     """`directory_lineage`, stored in tree order."""
     return rollups.in_tree_order(rollups.with_direct_stats(lineage, usage))
@@ -73,6 +79,7 @@ def finish(spark: SparkSession, root: str, as_of: str | datetime) -> None:
 
     lineage = build_lineage(stored("directories"))
     tables.overwrite_table(usage_layout(stored("files"), lineage), root, "directory_usage")
+    tables.overwrite_table(access_layout(stored("files")), root, "access_usage")
 
     owners = rollups.build_users(stored("directory_usage"), stored("directories"))
     # Known users keep their rows: the new ones are appended, nothing is rewritten.

@@ -181,26 +181,35 @@ def last_crawled(t: Tables) -> DataFrame:
     )
 
 
-def staleness(t: Tables, as_of: str | datetime, uid: int | None = None) -> DataFrame:
-    """Files and bytes per quarter of last access, oldest first; of one user if `uid` is given."""
-    files = t["files"]
-    kind = files.schema["atime"].dataType
+def _by_quarter(access: DataFrame, as_of: str | datetime) -> DataFrame:
+    """Rows (atime, files, bytes) after the earliest time and up to a day after `as_of`, per quarter."""
+    kind = access.schema["atime"].dataType
     latest = as_of_literal(as_of, kind) + F.expr("INTERVAL 1 DAY")
-    accessed = files.where(
-        F.col("atime").isNotNull()
-        & (F.col("atime") > as_of_literal(EARLIEST_ATIME, kind))
-        & (F.col("atime") <= latest)
-    )
-    if uid is not None:
-        accessed = accessed.where(F.col("owner_uid") == uid)
     return (
-        accessed.groupBy(F.year("atime").alias("year"), F.quarter("atime").alias("quarter"))
-        .agg(F.count("*").alias("file_count"), F.sum("size_bytes").alias("total_bytes"))
+        access.where(
+            F.col("atime").isNotNull()
+            & (F.col("atime") > as_of_literal(EARLIEST_ATIME, kind))
+            & (F.col("atime") <= latest)
+        )
+        .groupBy(F.year("atime").alias("year"), F.quarter("atime").alias("quarter"))
+        .agg(F.sum("files").alias("file_count"), F.sum("bytes").alias("total_bytes"))
         .orderBy("year", "quarter")
         .select(quarter_label(F.col("year"), F.col("quarter")).alias("label"), "file_count", "total_bytes")
     )
 
 
+def staleness(t: Tables, as_of: str | datetime, uid: int | None = None) -> DataFrame:
+    """Files and bytes per quarter of last access, oldest first; of one user if `uid` is given.
+
+    All users: `files` as it is now. One user: the user's rows of `access_usage`, as of the last
+    `finish`; its times are exact, so the bounds are too.
+    """
+    if uid is not None:
+        return _by_quarter(t["access_usage"].where(F.col("owner_uid") == uid), as_of)
+    files = t["files"].select("atime", F.lit(1).alias("files"), F.col("size_bytes").alias("bytes"))
+    return _by_quarter(files, as_of)
+
+
 def chart(points: DataFrame) -> DataFrame:
     """Staleness points as chart values: gigabytes with one decimal, and the number of files as
     text."""

@@ -82,9 +82,10 @@ TABLES = {
     "crawl_runs": CRAWL_RUNS,
 }
 
-# Two derived tables kept beside them. The lineage is the closure with one row per directory: its
+# Three derived tables kept beside them. The lineage is the closure with one row per directory: its
 # ancestors from itself up to the top, its root, and the totals of its own files (NULL if none). The
-# usage is `files` pre-aggregated to (directory, owner), with the directory's ancestors and root.
+# usage is `files` pre-aggregated to (directory, owner), with the directory's ancestors and root. The
+# access usage is `files` pre-aggregated to (owner, time of last access).
 DIRECTORY_LINEAGE = T.StructType(
     [
         T.StructField("dir_id", LONG),
@@ -107,7 +108,20 @@ DIRECTORY_USAGE = T.StructType(
     ]
 )
 
-DERIVED_TABLES = {"directory_lineage": DIRECTORY_LINEAGE, "directory_usage": DIRECTORY_USAGE}
+ACCESS_USAGE = T.StructType(
+    [
+        T.StructField("owner_uid", LONG),
+        T.StructField("atime", TS),
+        T.StructField("files", LONG),
+        T.StructField("bytes", LONG),
+    ]
+)
+
+DERIVED_TABLES = {
+    "directory_lineage": DIRECTORY_LINEAGE,
+    "directory_usage": DIRECTORY_USAGE,
+    "access_usage": ACCESS_USAGE,
+}
 
 PRIMARY_KEYS = {
     "users": ["uid"],

@@ -75,6 +75,7 @@ class OrderTree(Mapping[str, DataFrame]):
             "crawl_runs": self._crawl_runs,
             "ancestors": lambda: build_lineage(self["directories"]),
             "directory_usage": lambda: build.usage_layout(self["files"], self["ancestors"]),
+            "access_usage": lambda: build.access_layout(self["files"]),
             "directory_lineage": lambda: build.lineage_layout(
                 self["ancestors"], self["directory_usage"]
             ),

@@ -87,6 +87,7 @@ def inventory(spark, directories, file_rows, user_rows=None, runs=None):
         ),
         "directory_lineage": lineage,
         "directory_usage": usage,
+        "access_usage": rollups.build_access(file_rows),
         "directory_closure": closure_of(lineage),
         "directory_stats": rollups.directory_stats(lineage, as_of_literal(AS_OF)),
         "user_stats": rollups.user_stats(usage),

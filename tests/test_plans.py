@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dirgauge.operators.joins import broadcast_if_small
-from dirgauge.plans import registry, reports
+from dirgauge.plans import build, registry, reports
 from dirgauge.sources.order_tree import AS_OF, DEEP_DIR_ID, DIR_ID, UID, OrderTree
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -93,6 +93,18 @@ def test_statistics_of_more_directories_are_not_shuffled_whole(t, no_automatic_b
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
 
 
+def test_ages_of_one_user_read_that_users_row_groups(spark, tmp_path, plain_plans):
+    path, n = str(tmp_path / "access"), 300_000
+    times = F.timestamp_micros(F.lit(1_600_000_000_000_000) + F.col("id") * 1_000_003)
+    files = spark.range(n).select((F.col("id") % 50).alias("owner_uid"), times.alias("atime"), F.lit(2).alias("size_bytes"))
+    build.access_layout(files).write.option("parquet.block.size", 64 * 1024).parquet(path)
+    report = reports.staleness({"access_usage": spark.read.parquet(path)}, AS_OF.replace("2001", "2031"), UID)
+    assert report.agg(F.sum("file_count"), F.sum("total_bytes")).first() == (n // 50, n // 25)
+    report.collect()
+    leaves = report._jdf.queryExecution().executedPlan().collectLeaves()
+    assert leaves.length() == 1 and n // 50 <= leaves.apply(0).metrics().apply("numOutputRows").value() < n // 5
+
+
 @pytest.fixture
 def plain_plans(spark):
     """Plans that are not changed while they run, so that their scans can be asked for metrics."""

@@ -91,7 +91,9 @@ def test_staleness_bounds_and_quarters(spark):
     f = files(spark, *[(i, 1, 2**i, 7 if i else 8, None, at) for i, at in enumerate(times)])
     got = rows(reports.staleness({"files": f}, MAY))
     assert got == [("2000 Q1", 1, 2), ("2023 Q4", 1, 32), ("2024 Q1", 1, 64), ("2024 Q2", 1, 4)]
-    assert rows(reports.staleness({"files": f}, MAY, 8)) == []
+    of_users = inventory(spark, dirs(spark, (1, "/r", None)), f)
+    assert rows(reports.staleness(of_users, MAY, 8)) == []
+    assert rows(reports.staleness(of_users, MAY, 7)) == got
 
 
 def test_user_summary(t):
