@@ -3,10 +3,10 @@
 Every document has a signature of SLOTS minima over its set of five-word shingles. TREES orders of the
 signature give TREES sorted lists: rows are range-partitioned and sorted by the first DEPTH minima and
 then by the rest of the signature, so that the neighbours of a row share the longest prefix with it.
-A region (rows with equal first minima) of up to WINDOW + 1 rows is compared in full; a denser one is
-told apart by as many further minima as it takes, and rows are compared with the WINDOW next in that
-order. Candidates are confirmed on the full sets, best first; once two documents are known to belong
-together, further pairs between their groups need no look.
+A region (rows with equal first minima) of up to WINDOW + 1 rows is compared in full. In a denser one,
+or one that a range boundary cuts, rows are compared with the WINDOW next; rows that have further ones
+in their region go to an exact prefix-filter join. Candidates are confirmed on the full sets, best
+first; once two documents are known to belong together, further pairs between their groups need no look.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from dirgauge.llm import reach
 from dirgauge.llm import words as W
 from dirgauge.llm.components import components
+from dirgauge.llm.prefix_join import candidate_pairs
 from dirgauge.session import materialise
 
 SHINGLE = 5
@@ -87,14 +88,22 @@ def _slot(tree: int, i: int) -> int:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows at most WINDOW apart that have the same key and enough equal slots."""
-    tail = None
+    """Pairs of rows at most WINDOW apart that have the same key and enough equal slots.
+
+    A row that may have others of its key further off, here or beyond the range, is paired with itself.
+    """
+    tail = first_key = None
     for batch in batches:
         rows = pa.Table.from_batches([batch] if tail is None else [tail, batch]).combine_chunks()
         old = 0 if tail is None else tail.num_rows
         key = rows.column("key").to_numpy()
         label = np.frombuffer(b"".join(rows.column("label").to_pylist()), np.uint8).reshape(-1, SLOTS)
         found = []
+        if first_key is None and len(key):
+            first_key = key[0]
+        far = [np.flatnonzero(key[old:] == first_key) + old] if len(key) else []
+        i = np.flatnonzero(key[: -WINDOW - 1] == key[WINDOW + 1 :])
+        far += [i, i + WINDOW + 1]
         for d in range(1, min(WINDOW, len(key) - 1) + 1):
             i = np.flatnonzero(key[:-d] == key[d:])
             i = i[i + d >= old]
@@ -104,15 +113,20 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 equal = (label[part] == label[part + d]).sum(1)
                 found.append((part[equal >= EQUAL_SLOTS], d, equal[equal >= EQUAL_SLOTS]))
         node = rows.column("node").combine_chunks()
-        if found:
-            left = np.concatenate([f[0] for f in found])
-            right = np.concatenate([f[0] + f[1] for f in found])
-            yield pa.RecordBatch.from_arrays(
-                [node.take(pa.array(left)), node.take(pa.array(right)), pa.array(np.concatenate([f[2] for f in found]), pa.int64())],
-                names=["a", "b", "equal"],
-            )
-        tail = rows.slice(max(0, rows.num_rows - WINDOW)).to_batches()
+        far = np.unique(np.concatenate(far))
+        found.append((far, 0, np.full(len(far), SLOTS)))
+        left = np.concatenate([f[0] for f in found])
+        right = np.concatenate([f[0] + f[1] for f in found])
+        yield pa.RecordBatch.from_arrays(
+            [node.take(pa.array(left)), node.take(pa.array(right)), pa.array(np.concatenate([f[2] for f in found]), pa.int64())],
+            names=["a", "b", "equal"],
+        )
+        tail = rows.slice(max(0, rows.num_rows - WINDOW - 1)).to_batches()
         tail = tail[0] if tail else None
+    if tail is not None:
+        key = W.column(tail, "key").to_numpy()
+        node = W.column(tail, "node").filter(pa.array(key == key[-1]))
+        yield pa.RecordBatch.from_arrays([node, node, pa.array(np.full(len(node), SLOTS), pa.int64())], names=["a", "b", "equal"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +146,10 @@ def _name_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b, equal): pairs of neighbours in any of the sorted orders, each pair once."""
+    """(a, b, equal): pairs of neighbours in any of the sorted orders, each pair once.
+
+    (a, a) is a row that has not met all rows of a region of its.
+    """
     width = SLOTS // TREES
     turned = F.when(F.col("tree") == 0, F.col("sketch"))
     for t in range(1, TREES):
@@ -144,7 +161,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     rows = nodes.select("node", "sketch", F.posexplode("keys").alias("tree", "key")).select("key", turned.alias("label"), "node")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "key", "label").sortWithinPartitions("key", "label", "node")
-    pairs = ordered.mapInArrow(_neighbours, "a binary, b binary, equal bigint").where("a <> b")
+    pairs = ordered.mapInArrow(_neighbours, "a binary, b binary, equal bigint")
     return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("equal").alias("equal"))
 
 
@@ -181,8 +198,9 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     nodes = materialise(
         filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys")), "nodes"
     )
-    pairs = materialise(candidates(nodes), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = materialise(candidates(nodes), "pairs")
+    pairs = found.where("a <> b")
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = nodes.join(ends, "node", "left_semi").select(F.col("doc_id").alias("wanted")).distinct()
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
     sets = texts.mapInArrow(_full_sets, "node binary, shingles array<bigint>").join(ends, "node", "left_semi")
@@ -200,7 +218,11 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     links = materialise(links.unionByName(_confirmed(chosen.select("p.a", "p.b"), sets, percent)), "links")
     groups = materialise(components(links), "groups")
     rest = _cross(pairs, groups)
-    links = links.unionByName(_confirmed(rest, sets, percent))
+    links = materialise(links.unionByName(_confirmed(rest, sets, percent)), "links")
+    groups = materialise(components(links), "groups")
+    dense = sets.join(found.where("a = b").select(F.col("a").alias("node")), "node", "left_semi").join(groups, "node", "left")
+    dense = dense.select(F.col("node").alias("id"), F.coalesce("root", "node").alias("group"), F.col("shingles").alias("elements"))
+    links = links.unionByName(_confirmed(candidate_pairs(materialise(dense, "dense"), percent), sets, percent))
     groups = materialise(components(links), "groups")
 
     member = nodes.select("node", "doc_id").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))

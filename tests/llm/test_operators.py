@@ -220,6 +220,28 @@ def test_components_of_near_duplicates(spark, docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == {i: (len(s), root(i)) for i, s in sets.items()}
 
 
+def test_near_duplicates_among_many_documents_of_one_template(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(1_000):  # two words changed, and in the partner two more; the others lie under 0.85
+        text = list(words)
+        for _ in range(2):
+            for p in rng.sample(range(150), 2):
+                text[p] = f"x{i}-{len(texts)}-{p}"
+            texts.append(list(text))
+    sets = [{tuple(t[k : k + 5]) for k in range(146)} for t in texts]
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            both = len(sets[a] & sets[b])
+            if root[a] != root[b] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert dict(near_dups.near_duplicates(df).select("doc_id", "component_id").collect()) == dict(enumerate(root))
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(100)]
     out = dict(components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
