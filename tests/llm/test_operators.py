@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,25 @@ def test_shared_passages_are_found_and_clean_documents_are_not(spark):
     assert set(kept) == {r.cluster_id for r in rows} and set(kept.values()) == {1}
 
 
+def test_passages_among_many_variants_of_one_paragraph(spark):
+    rng = random.Random(6)
+    whole = lambda texts: passages._Paragraphs(pa.RecordBatch.from_pydict({"text": texts}))
+    tries = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(18)) for _ in range(20_000)]
+    found = whole(tries)
+    uncut = [tries[t] for t in found.text[found.length == 18]]
+    middle = max(uncut, key=lambda m: (whole([f"a{i} {m} z{i}" for i in range(100)]).length == 20).sum())
+    made = [f"a{i // 6} {middle} z{i}" for i in range(24_000)]
+    found = whole(made)
+    by_first = defaultdict(list)
+    for t in found.text[found.length == 20]:
+        by_first[t // 6].append(made[t])
+    texts = [t for ts in by_first.values() if len(ts) > 1 for t in ts[:2]]  # 15 of 17 shared with the partner, 14 of 18 with others
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    cluster = {r.doc_id: r.cluster_id for r in passages.repeated_passages(df).collect()}
+    assert len(texts) > 200 and set(cluster) == set(range(len(texts)))
+    assert all(cluster[i] == cluster[i + 1] for i in range(0, len(texts), 2)) and len(set(cluster.values())) == len(texts) // 2
+
+
 def test_components_of_near_duplicates(spark, docs):
     sets = {}
     for i, text in docs.select("doc_id", "text").collect():
