@@ -14,6 +14,7 @@ from dirgauge.llm import (
     passages,
     perplexity_rules,
     ppm,
+    prefix_trie,
     sharding,
     suffix_arrays,
     token_counts,
@@ -92,6 +93,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations")).drop("n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontamination,
@@ -104,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_licences,
         op9_repeated_passages,
         op10_near_duplicates,
+        op11_prefix_trie,
     )
     return {f.__name__: f for f in found}
 
@@ -144,5 +150,54 @@ FROM r
 """
 
 
+#: crc32 of the decimal conv_id is taken bit by bit, 8 steps a digit; a node is the chained hash of its turns.
+_OP11 = """
+WITH RECURSIVE c AS (
+  SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS name FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+  SELECT conv_id, name, 0 AS step, 4294967295 AS x FROM c
+  UNION ALL
+  SELECT conv_id, name, step + 1, xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END)
+  FROM (SELECT *, CASE WHEN step % 8 = 0 THEN xor(x, ascii(name[step // 8 + 1])) ELSE x END AS y
+        FROM crc WHERE step < 8 * len(name))
+), h AS (
+  SELECT conv_id, xor(x, 4294967295) % 4 AS h, conv_id - conv_id % 20 AS base FROM crc WHERE step = 8 * len(name)
+), t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), r AS (
+  SELECT h.conv_id, row_number() OVER (PARTITION BY h.conv_id ORDER BY own, pos) AS d, role, text
+  FROM h JOIN (
+    SELECT conv_id AS base, pos, role, text, unnest([0, 1]) AS own FROM t) x
+  ON CASE WHEN own = 0 THEN x.base = h.base AND pos <= h ELSE x.base = h.conv_id AND pos > h END
+), k AS (
+  SELECT conv_id, 0 AS d, '' AS node, '' AS above, CAST(0 AS BIGINT) AS words FROM h
+  UNION ALL
+  SELECT k.conv_id, k.d + 1, sha256(k.node || ' ' || sha256(r.role) || ' ' || sha256(r.text)), k.node,
+         len(regexp_extract_all(r.text, '[^\\x20\\x09-\\x0D]+'))
+  FROM k JOIN r ON r.conv_id = k.conv_id AND r.d = k.d + 1
+), n AS (
+  SELECT d, node, above, words, min(conv_id) AS conv_id, count(*) AS n_convs FROM k GROUP BY ALL
+), kids AS (
+  SELECT d - 1 AS d, above AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL
+), sub AS (
+  SELECT k.d, k.node, sum(CASE WHEN kids.node IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved
+  FROM n JOIN k ON k.conv_id = n.conv_id AND k.d <= n.d LEFT JOIN kids ON kids.d = n.d AND kids.node = n.node
+  GROUP BY ALL
+), e AS (
+  SELECT d, node, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends
+  FROM (SELECT conv_id, max(d) AS d, arg_max(node, d) AS node FROM k GROUP BY conv_id) GROUP BY ALL
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs,
+       coalesce(kids.n_children, 0) AS n_children, CAST(sub.n_leaves AS BIGINT) AS n_leaves,
+       CAST(sub.saved AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM n JOIN sub ON sub.d = n.d AND sub.node = n.node
+LEFT JOIN n up ON n.d > 0 AND up.d = n.d - 1 AND up.node = n.above
+LEFT JOIN kids ON kids.d = n.d AND kids.node = n.node
+LEFT JOIN e ON e.d = n.d AND e.node = n.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": _OP6}
+    return {"op6_mixing": _OP6, "op11_prefix_trie": _OP11}
