@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dirgauge.llm import (
+    divergence,
     licences,
     mixing,
     near_dups,
@@ -97,6 +98,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations")).drop("n_words")
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontamination,
@@ -110,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_repeated_passages,
         op10_near_duplicates,
         op11_prefix_trie,
+        op12_divergence,
     )
     return {f.__name__: f for f in found}
 
@@ -199,5 +205,47 @@ LEFT JOIN e ON e.d = n.d AND e.node = n.node
 """
 
 
+_OP12 = """
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words
+  FROM documents
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(words)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 3
+), cells AS (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(words) AS term FROM d)
+  SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), whole AS (
+  SELECT g.lang, g.source, CAST(count(k.term) AS HUGEINT) AS v, CAST(coalesce(sum(c.n), 0) AS HUGEINT) AS size
+  FROM g LEFT JOIN kept k ON k.lang = g.lang LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  GROUP BY ALL
+), p AS (
+  SELECT w.lang, w.source, k.term, coalesce(c.n, 0) AS n,
+         1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (w.size + w.v) AS p
+  FROM whole w JOIN kept k ON k.lang = w.lang
+  LEFT JOIN cells c ON c.lang = w.lang AND c.source = w.source AND c.term = k.term
+), l AS (
+  SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (sum(n) + 1)
+                         // (sum(sum(n)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q
+  FROM p GROUP BY lang, term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM u QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": _OP6, "op11_prefix_trie": _OP11}
+    return {"op6_mixing": _OP6, "op11_prefix_trie": _OP11, "op12_divergence": _OP12}
