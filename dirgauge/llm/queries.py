@@ -12,6 +12,7 @@ from dirgauge.llm import (
     licences,
     mixing,
     near_dups,
+    packing,
     passages,
     perplexity_rules,
     ppm,
@@ -102,6 +103,11 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step_group")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontamination,
@@ -116,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_near_duplicates,
         op11_prefix_trie,
         op12_divergence,
+        op13_packing,
     )
     return {f.__name__: f for f in found}
 

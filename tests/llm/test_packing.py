@@ -1,0 +1,107 @@
+"""Packed sequences against the tokens of the documents."""
+
+from __future__ import annotations
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from dirgauge.llm import packing, queries
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def check(df, rows, step=packing.STEP):
+    """Every token in one piece, sequences gapless and full but one, steps equal but one."""
+    texts = df.select("doc_id", "text").collect()
+    tokenizer = packing.tokenizer_of(None)
+    expected = Counter((r.doc_id, tuple(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + (1,)) for r in texts)
+    docs, sequences, groups = defaultdict(list), defaultdict(list), defaultdict(set)
+    for r in rows:
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(ids) == r.length > 0
+        docs[r.doc_id, r.doc_tokens].append((r.start, ids))
+        sequences[r.sequence_id].append((r.offset, r.length, r.context))
+        groups[r.step_group].add(r.sequence_id)
+    found = Counter()
+    for (doc, n), pieces in docs.items():
+        whole = defaultdict(list)  # repeated rows: any chain of pieces
+        for start, ids in sorted(pieces, key=lambda p: p[0]):
+            whole[start].append(ids)
+        while whole[0]:
+            made = []
+            while len(made) < n:
+                made += whole[len(made)].pop()
+            found[doc, tuple(made)] += 1
+        assert not any(whole.values())
+    assert found == expected
+    size = {}
+    for s, pieces in sequences.items():
+        place = 0
+        for offset, n, _ in sorted(pieces):
+            assert offset == place
+            place += n
+        size[s] = place
+        assert len({c for _, _, c in pieces}) == 1 and place <= pieces[0][2]
+    assert sum(n != pieces[0][2] for n, pieces in ((size[s], p) for s, p in sequences.items())) <= 1
+    totals = sorted(sum(size[s] for s in g) for g in groups.values())
+    assert totals[1:] == [step] * (len(totals) - 1) and totals[0] <= step
+    return groups, sequences
+
+
+def test_packing(spark, docs):
+    df = docs.repartition(3)
+    check(df, packing.pack(df).collect())
+
+
+@pytest.mark.parametrize("fan", [2, 64])
+def test_packing_over_many_chunks_and_levels(spark, docs, monkeypatch, fan):
+    monkeypatch.setattr(packing, "FAN", fan)
+    monkeypatch.setattr(packing, "CHUNK_BYTES", 20_000)
+    df = docs.repartition(7)
+    groups, sequences = check(df, packing.pack(df, (16, 32, 64, 128), 1024).collect(), 1024)
+    contexts = [Counter(sequences[s][0][2] for s in g) for g in groups.values()]
+    assert len(contexts) > 20 and sum(c[128] > 0 for c in contexts) > len(contexts) * 0.9  # all steps have long windows
+
+
+def test_packing_of_odd_rows(odd, none):
+    check(odd, packing.pack(odd).collect())
+    assert packing.pack(none).collect() == []
+
+
+def test_windows_are_full_and_use_every_token():
+    rng = random.Random(2)
+    for _ in range(200):
+        lengths = [rng.choice([1, rng.randint(1, 60), rng.randint(1, 300)]) for _ in range(rng.randint(0, 80))]
+        windows = packing.fill(lengths, (8, 16, 32, 64))
+        used = Counter()
+        for k, (tier, window) in enumerate(windows):
+            size = sum(n for _, _, n in window)
+            assert size == tier or (k == len(windows) - 1 and size < tier)
+            used.update((d, t) for d, s, n in window for t in range(s, s + n))
+        assert used == Counter((d, t) for d, n in enumerate(lengths) for t in range(n))
+
+
+def test_parts_of_a_long_text_encode_as_the_whole(monkeypatch):
+    monkeypatch.setattr(packing, "PART_BYTES", 20)
+    rng = random.Random(1)
+    tokenizer = packing.tokenizer_of(None)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "B", " ", "  ", "\n", "'s", "9", "é", " the", "　", ".", "<|endoftext|>"]) for _ in range(rng.randint(0, 200)))
+        assert "".join(packing._parts(text)) == text
+        assert packing.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_the_query_has_the_digests_of_its_pieces(spark):
+    out = queries.op13_packing(spark, SMALL)
+    assert out.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    ids = {r.doc_id: packing.encode([r.text or ""])[0] for r in docs.select("doc_id", "text").collect()}
+    for r in out.collect():
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].astype("<u4").tobytes())
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, queries.op13_packing(spark, SMALL).collect()))
+    assert out.agg(F.sum("length")).first()[0] == sum(map(len, ids.values()))
