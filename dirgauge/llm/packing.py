@@ -32,8 +32,10 @@ TIERS = (256, 512, 1024, 2048)
 #: Tokens of a step group, a multiple of the longest tier.
 STEP = 16 * 2048
 END = 1
-#: Bytes of text that are packed together, and of a part of a long text that is encoded at once.
-CHUNK_BYTES, PART_BYTES = 4 << 20, 1 << 18
+#: Bytes of text that are encoded and packed together.
+CHUNK_BYTES = 4 << 20
+#: Units of text among which each is encoded once, and bytes of them in one call.
+UNITS, PART_BYTES = 1 << 20, 1 << 18
 #: Chunks whose remains are packed together, one level up.
 FAN = 64
 
@@ -50,39 +52,102 @@ def tokenizer_of(path: str | None):
     return _TOKENIZERS[path]
 
 
-def _parts(text: str) -> Iterator[str]:
-    """The text in parts that encode as the whole does: cut before a single blank between other characters,
-    where a pre-token always begins. A text without such a place stays whole."""
-    first = 0
-    while len(text) - first > PART_BYTES:
-        at = first + PART_BYTES
-        while 0 <= (at := text.find(" ", at)) < len(text) - 1 and (text[at - 1].isspace() or text[at + 1].isspace()):
-            at += 1
-        if not 0 <= at < len(text) - 1:
-            break
-        yield text[first:at]
-        first = at
-    yield text[first:]
-
+#: Blanks, and the bytes that a character before a cut may end with.
+_BYTES = np.arange(256)
+_BLANK = (_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D))
+_PLAIN = (_BYTES >= 0x21) & (_BYTES <= 0x7E)
+_LEAD_2 = (_BYTES >= 0xC3) & (_BYTES <= 0xDF)
+_LEAD_3 = (_BYTES == 0xE0) | ((_BYTES >= 0xE4) & (_BYTES <= 0xEF))
 
-def encode(texts: list[str], path: str | None = None, end: int = END) -> list[np.ndarray]:
-    """The ids of each text and then `end`."""
-    tokenizer, out, queue, size = tokenizer_of(path), [[] for _ in texts], [], 0
 
-    def run() -> None:
-        found = tokenizer.encode_batch_fast([p for _, p in queue], add_special_tokens=False)
-        for (k, _), e in zip(queue, found):
-            out[k].append(np.array(e.ids, np.uint32))
+def _units(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where units of the texts begin, and the end: at a blank behind a character that is none.
 
-    for k, text in enumerate(texts):
-        for part in _parts(text):
-            queue.append((k, part))
-            size += len(part)
-            if size >= PART_BYTES:
-                run()
-                queue, size = [], 0
-    run()
-    return [np.concatenate([*x, np.array([end], np.uint32)]) for x in out]
+    A pre-token always begins there, so units encode on their own as they do in the text. Characters are
+    taken for none if that is sure from their bytes: ASCII ones, and those of two or three bytes whose first
+    byte no blank has. Elsewhere a unit goes on.
+    """
+    cut = np.zeros(len(raw), bool)
+    cut[1:] = _PLAIN[raw[:-1]]
+    cut[2:] |= _LEAD_2[raw[:-2]] & (raw[1:-1] >= 0x80)
+    cut[3:] |= _LEAD_3[raw[:-3]] & (raw[1:-2] >= 0x80) & (raw[2:-1] >= 0x80)
+    cut &= _BLANK[raw]
+    cut[at[:-1][at[:-1] < at[1:]]] = True
+    return np.append(np.flatnonzero(cut), len(raw))
+
+
+def _is_surely_no_blank(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the character that ends there is known not to be a blank."""
+    sure = _PLAIN[raw[ends - 1]]
+    for size, lead in ((2, _LEAD_2), (3, _LEAD_3)):
+        long = ends >= size
+        tail = np.ones(long.sum(), bool)
+        for k in range(1, size):
+            tail &= raw[ends[long] - k] >= 0x80
+        sure[long] |= tail & lead[raw[ends[long] - size]]
+    return sure
+
+
+class Encoder:
+    """Texts to ids. Every distinct unit of a run of texts is encoded once."""
+
+    def __init__(self, path: str | None = None, end: int = END):
+        self.tokenizer, self.end = tokenizer_of(path), end
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():  # a character of a token stands for a byte
+            self.bytes_of[k] = len(token)
+
+    def _run(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_units(self, units: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each unit has.
+
+        Units from a blank to a character that is none are encoded as one text, in which they stay apart as
+        they are in theirs; the bytes of the tokens tell which belong to which.
+        """
+        raw, at = W.flat(units)
+        joined = _BLANK[raw[at[:-1]]] & _is_surely_no_blank(raw, at[1:])
+        counts, where = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        ids, place = [], 0
+        if not joined.all():
+            alone = self._run(units.filter(pa.array(~joined)).to_pylist())
+            counts[~joined] = [len(x) for x in alone]
+            ids, place = alone, sum(map(len, alone))
+            where[~joined] = np.cumsum(counts[~joined]) - counts[~joined]
+        rows = np.flatnonzero(joined)
+        ends = np.cumsum((at[1:] - at[:-1])[rows])
+        for part in np.split(rows, np.searchsorted(ends, np.arange(PART_BYTES, ends[-1], PART_BYTES))) if len(rows) else []:
+            if not len(part):
+                continue
+            text, to = W.flat(units.take(pa.array(part)))
+            found = self._run([text.tobytes().decode()])[0]
+            many = np.diff(np.searchsorted(np.cumsum(self.bytes_of[found]), to, "right"), prepend=0)[1:]
+            counts[part] = many
+            where[part] = np.cumsum(many) - many + place
+            ids.append(found)
+            place += len(found)
+        return np.concatenate([*ids, np.empty(0, np.uint32)]), np.stack([where, counts])
+
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (NULL: none) and then `end`."""
+        raw, at = W.flat(column)
+        bounds = _units(raw, at)
+        data, parts, sizes = pa.py_buffer(np.ascontiguousarray(raw)), [], [np.empty(0, np.int64)]
+        for first in range(0, len(bounds) - 1, UNITS):
+            offsets = bounds[first : first + UNITS + 1].astype(np.int64)
+            coded = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), data).dictionary_encode()
+            flat, (where, counts) = self._encode_units(coded.dictionary)
+            code = coded.indices.to_numpy()
+            size = counts[code]
+            parts.append(flat[np.repeat(where[code] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
+            sizes.append(size)
+        ids = np.concatenate([*parts, np.empty(0, np.uint32)])
+        before = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        ends = before[np.searchsorted(bounds, at)]
+        last = np.array([self.end], np.uint32)
+        return [np.concatenate([ids[a:b], last]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def fill(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[tuple[int, int, int]]]]:
@@ -230,30 +295,31 @@ def pack(
     schema = T.StructType([T.StructField("doc_id", kind.dataType)] + [T.StructField(n, t) for n, t in _FIELDS])
 
     def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, chunk, number, made, names, ids, size = TaskContext.get().partitionId(), 0, 0, 0, [], [], 0
+        part, chunk, number, made, held, size = TaskContext.get().partitionId(), 0, 0, 0, [], 0
+        encode = Encoder(tokenizer_path, end)
 
         def close() -> pa.RecordBatch:
             nonlocal number, made, chunk
+            table = pa.Table.from_batches(held).combine_chunks()
+            ids = encode(table.column("text").combine_chunks())
             lengths = [len(x) for x in ids]
             groups, rest = steps(fill(lengths, tiers), step, False)
             zero, total = np.zeros(len(ids), np.int64), np.array(lengths, np.int64)
-            out = _rows(groups, rest, ids, zero, total, pa.concat_arrays(names), number, 0, part)
-            out = out.set_column(out.schema.get_field_index("step_group"), "step_group", pc.add(out.column("step_group"), made))
-            # the place within the task
-            out = out.set_column(out.schema.get_field_index("place"), "place", pc.add(out.column("place"), chunk << 40))
+            out = _rows(groups, rest, ids, zero, total, table.column("doc_id").combine_chunks(), number, 0, part)
+            for name, more in (("step_group", made), ("place", chunk << 40)):  # counted on within the task
+                at = out.schema.get_field_index(name)
+                out = out.set_column(at, name, pc.add(out.column(at), more))
             number, made, chunk = number + sum(len(g) for g in groups), made + len(groups), chunk + 1
             return out
 
         for batch in batches:
             for piece in W.pieces(batch, "text"):
-                texts = [t or "" for t in W.column(piece, "text").to_pylist()]
-                ids += encode(texts, tokenizer_path, end)
-                names.append(W.column(piece, "doc_id"))
-                size += sum(map(len, texts)) + 64 * len(texts)
+                held.append(piece)
+                size += len(W.flat(W.column(piece, "text"))[0]) + 64 * piece.num_rows
                 if size >= CHUNK_BYTES:
                     yield close()
-                    names, ids, size = [], [], 0
-        if ids:
+                    held, size = [], 0
+        if held:
             yield close()
 
     path = scratch_path(spark, "packed")

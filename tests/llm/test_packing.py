@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,21 +87,24 @@ def test_windows_are_full_and_use_every_token():
         assert used == Counter((d, t) for d, n in enumerate(lengths) for t in range(n))
 
 
-def test_parts_of_a_long_text_encode_as_the_whole(monkeypatch):
-    monkeypatch.setattr(packing, "PART_BYTES", 20)
+@pytest.mark.parametrize("part_bytes", [packing.PART_BYTES, 40])
+def test_units_encode_as_the_whole_text_does(monkeypatch, part_bytes):
+    monkeypatch.setattr(packing, "UNITS", 300)
+    monkeypatch.setattr(packing, "PART_BYTES", part_bytes)
     rng = random.Random(1)
+    signs = ["a", "B", " ", "  ", "\n", "\t", "\r\n", "'s", "9", "é", " the", "\u3000", "\u00a0", "\u0085", "\u2028", "漢", "🙂", ".", "<|endoftext|>", "\x1f", "\x00"]
     tokenizer = packing.tokenizer_of(None)
-    for _ in range(300):
-        text = "".join(rng.choice(["a", "B", " ", "  ", "\n", "'s", "9", "é", " the", "　", ".", "<|endoftext|>"]) for _ in range(rng.randint(0, 200)))
-        assert "".join(packing._parts(text)) == text
-        assert packing.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 200))) for _ in range(500)] + [None, "x" * 5_000, " " * 5_000]
+    found = packing.Encoder()(pa.array(texts))
+    for text, ids in zip(texts, found):
+        assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def test_the_query_has_the_digests_of_its_pieces(spark):
     out = queries.op13_packing(spark, SMALL)
     assert out.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    ids = {r.doc_id: packing.encode([r.text or ""])[0] for r in docs.select("doc_id", "text").collect()}
+    ids = {r.doc_id: packing.Encoder()(pa.array([r.text]))[0] for r in docs.select("doc_id", "text").collect()}
     for r in out.collect():
         assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].astype("<u4").tobytes())
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, queries.op13_packing(spark, SMALL).collect()))
