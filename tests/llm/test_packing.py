@@ -19,7 +19,7 @@ SMALL = "/root/testdata/sf0.001"
 def check(df, rows, step=packing.STEP):
     """Every token in one piece, sequences gapless and full but one, steps equal but one."""
     texts = df.select("doc_id", "text").collect()
-    tokenizer = packing.tokenizer_of(None)
+    tokenizer = packing.tokenizer_of(None)[0]
     expected = Counter((r.doc_id, tuple(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + (1,)) for r in texts)
     docs, sequences, groups = defaultdict(list), defaultdict(list), defaultdict(set)
     for r in rows:
@@ -92,14 +92,21 @@ def test_units_encode_as_the_whole_text_does(monkeypatch, part_bytes):
     monkeypatch.setattr(packing, "UNITS", 300)
     monkeypatch.setattr(packing, "PART_BYTES", part_bytes)
     rng = random.Random(1)
-    signs = ["a", "B", " ", "  ", "\n", "\t", "\r\n", "'s", "9", "é", " the", "\u3000", "\u00a0", "\u0085", "\u2028", "漢", "🙂", ".", "<|endoftext|>", "\x1f", "\x00"]
-    tokenizer = packing.tokenizer_of(None)
+    signs = ["a", "B", " ", "  ", "\n", "\t", "\r\n", "'s", "9", "é", " the", "\u3000", "\u00a0", "\u0085", "\u2028", "漢", "🙂", "ß", "×", "Ă", "ŉ", "ɐ", "́", "<|", ".", "<|endoftext|>", "\x1f", "\x00"]
+    tokenizer = packing.tokenizer_of(None)[0]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 200))) for _ in range(500)] + [None, "x" * 5_000, " " * 5_000]
     found = packing.Encoder()(pa.array(texts))
     for text, ids in zip(texts, found):
         assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
 
 
+def test_another_tokenizer_by_its_path(docs):
+    path = packing.public_tokenizers.path("byte_bpe_50k.json")
+    texts = pa.array([r.text for r in docs.select("text").limit(50).collect()])
+    assert packing.tokenizer_of(path)[1] is None
+    assert all((a == b).all() for a, b in zip(packing.Encoder(path)(texts), packing.Encoder()(texts)))
+
+
 def test_the_query_has_the_digests_of_its_pieces(spark):
     out = queries.op13_packing(spark, SMALL)
     assert out.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
