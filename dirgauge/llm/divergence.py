@@ -226,7 +226,9 @@ def divergence(documents: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TO
 
     items = F.transform("items", lambda c: F.struct(c["i"], c["n"], c["p"], c["z"]))
     patterns = placed.groupBy("lang", items.alias("items")).agg(F.count("*").alias("m")).where(F.size("items") > 1)
-    patterns = materialise(patterns, "patterns").repartitionByRange("lang", "items").sortWithinPartitions("lang", "items")
+    # ranges by the first items only: their bounds pass through the driver; a beginning that very many share is split
+    ranges = ["lang", F.slice("items", 1, 3), F.xxhash64("items")]
+    patterns = materialise(patterns, "patterns").repartitionByRange(*ranges).sortWithinPartitions("lang", "items")
     both = patterns.mapInArrow(_pair_corrections, "lang string, a bigint, b bigint, value decimal(38,0)")
 
     corrections = there.unionByName(back).unionByName(both).groupBy("lang", "a", "b").agg(F.sum("value").cast(wide).alias("more"))
