@@ -22,6 +22,7 @@ from dirgauge.llm import (
     passages,
     perplexity_rules,
     ppm,
+    prefix_join,
     queries,
     sharding,
     suffix_arrays,
@@ -262,6 +263,51 @@ def test_near_duplicates_among_many_documents_of_one_template(spark):
     assert dict(near_dups.near_duplicates(df).select("doc_id", "component_id").collect()) == dict(enumerate(root))
 
 
+def _versions(spark, n, words, changes):
+    """n texts, each one template with some words of its own in place of its."""
+    rng = random.Random(9)
+    texts = []
+    for i in range(n):
+        text = [f"w{k}" for k in range(words)]
+        for p in rng.sample(range(words), changes):
+            text[p] = f"x{i}-{p}"
+        texts.append((i, " ".join(text)))
+    return spark.createDataFrame(texts, "doc_id bigint, text string")
+
+
+def test_pairs_inside_a_group_of_copies_are_not_made(spark, monkeypatch):
+    made, whole = [], near_dups._confirmed
+    monkeypatch.setattr(near_dups, "_confirmed", lambda pairs, *more: made.append(pairs.count()) or whole(pairs, *more))
+    df = _versions(spark, 600, 300, 2)  # two texts share 0.87 to 0.98
+    assert {r.component_id for r in near_dups.near_duplicates(df).collect()} == {0}
+    assert sum(made) < 2 * 600
+
+
+def test_sets_of_a_template_that_stay_under_the_similarity_are_not_joined(spark):
+    """18 of 200 elements are a set's own; two sets share 0.835."""
+    rows = [(i, i, list(range(182)) + [1000 * (i + 1) + k for k in range(18)]) for i in range(500)]
+    sets = spark.createDataFrame(rows, "id bigint, group bigint, elements array<bigint>")
+    assert prefix_join.prefixes(sets, 85).where("most >= n").isEmpty() and prefix_join.candidate_pairs(sets, 85).isEmpty()
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_prefix_join_loses_no_pair(spark, percent):
+    rng = random.Random(percent)
+    sets = []
+    for _ in range(60):
+        base = rng.sample(range(10_000), rng.randint(1, 160))
+        for _ in range(rng.randint(2, 9)):
+            other = [e for e in base if rng.random() > 0.08] + [rng.randint(0, 300) for _ in range(rng.randint(0, 4))]
+            sets.append(set(other) or {1})
+    group = [rng.randint(0, 400) for _ in sets]
+    df = spark.createDataFrame([(i, g, sorted(s)) for i, (g, s) in enumerate(zip(group, sets))], "id bigint, group bigint, elements array<bigint>")
+    found = {tuple(r) for r in prefix_join.candidate_pairs(df, percent).collect()}
+    both = lambda a, b: len(sets[a] & sets[b])
+    reach = lambda a, b: 100 * both(a, b) >= percent * (len(sets[a]) + len(sets[b]) - both(a, b))
+    expected = {(a, b) for b in range(len(sets)) for a in range(b) if group[a] != group[b] and reach(a, b)}
+    assert len(expected) > 100 and expected <= found
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(100)]
     out = dict(components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
