@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def normal_path(path: Column) -> Column:
-    """Without trailing slashes, the root directory apart."""
-    return F.when(path.rlike(r"\A/+\z"), F.lit("/")).otherwise(F.regexp_replace(path, r"/+\z", ""))
+    """Without repeated and trailing slashes, the root directory apart."""
+    single = F.when(path.contains("//"), F.regexp_replace(path, "/+", "/")).otherwise(path)
+    return F.when(single == "/", single).when(single.endswith("/"), F.rtrim(single, F.lit("/"))).otherwise(single)
 
 
 def last_segment(path: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,12 +16,14 @@ MAX_PUSHED_IDS = 256
 def heavy_keys(df: DataFrame, key: str) -> dict:
     """{key: splits} for each value of `key` with more rows than an even task; NULL may be one.
 
-    Counts are summed before they are shuffled, so a hot key is no single task. At most two keys per
-    shuffle task can exceed an even share, which bounds what comes to the driver.
+    Counts are summed before they are shuffled, so a hot key is no single task. The total is observed in the
+    same pass. Fewer keys than there are tasks can exceed an even share, so only that many come to the driver.
     """
-    even = max(df.count() // int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    counts = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > even)
-    return {row[0]: -(-row["n"] // even) for row in counts.collect()}
+    parts, seen = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), Observation()
+    counts = df.groupBy(key).agg(F.count("*").alias("n")).observe(seen, F.sum("n").alias("total"))
+    top = counts.orderBy(F.desc("n")).limit(2 * parts).collect()
+    even = max((seen.get["total"] or 0) // parts, 1)
+    return {row[0]: -(-row["n"] // even) for row in top if row["n"] > even}
 
 
 def lookup_join(
@@ -72,3 +74,12 @@ def having_ids(df: DataFrame, key: str, few: pa.Table) -> DataFrame:
     """The rows of `df` whose `key` is among those of `few`: pushed to the scan, where Bloom filters
     and statistics skip the row groups without one."""
     return df.where(F.col(key).isin(few.column(key).to_pylist()))
+
+
+def rows_having(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of `df` whose `key` is in `keys` (one column of that name). A few keys are pushed to the scan,
+    more are broadcast to it; only beyond that are rows moved."""
+    few = if_few(keys.select(key))
+    if few is None:
+        return df.join(broadcast_if_small(keys.select(key).distinct()), key, "left_semi").select(*df.columns)
+    return having_ids(df, key, few) if few.num_rows else df.limit(0)

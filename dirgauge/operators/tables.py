@@ -1,16 +1,18 @@
-"""Inventory tables on a shared filesystem: create, clear, read, append, merge."""
+"""Inventory tables on a shared filesystem: create, clear, read, append, merge. Changes are versions."""
 
 from __future__ import annotations
 
+from contextlib import AbstractContextManager
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dirgauge.functions import file_name
+from dirgauge.operators import versions
 from dirgauge.operators.tree import max_id
 from dirgauge.schemas import DERIVED_TABLES, TABLES
-from dirgauge.session import as_of_literal, materialise
+from dirgauge.session import as_of_literal
 
 ALL_TABLES = {**TABLES, **DERIVED_TABLES}
 
@@ -20,40 +22,42 @@ LOOKUP_COLUMNS = {
     "directory_stats": ["dir_id"],
     "directory_lineage": ["dir_id"],
     "directory_closure": ["ancestor_id"],
+    "directory_paths": ["path"],
 }
 
 
-def _path(root: str, table: str) -> str:
-    return f"{root.rstrip('/')}/{table}"
-
-
-def _write_empty(spark: SparkSession, root: str, mode: str) -> None:
-    for table, schema in ALL_TABLES.items():
-        columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
-        spark.range(0).coalesce(1).select(*columns).write.mode(mode).parquet(_path(root, table))
+def commit(spark: SparkSession, root: str, run: str | None = None) -> AbstractContextManager[versions.Commit]:
+    """Changes to several tables that become visible together, at the end of the block."""
+    return versions.commit(spark, root, ALL_TABLES, lambda df, table, path: write_parquet(df, table, path, "error"), run)
 
 
 def clear_tables(spark: SparkSession, root: str) -> None:
     """Empty every table."""
-    _write_empty(spark, root, "overwrite")
+    with commit(spark, root) as changes:
+        for table in ALL_TABLES:
+            changes.clear(table)
 
 
 def create_tables(spark: SparkSession, root: str) -> None:
-    """Create the tables that do not exist yet; leave the others as they are."""
-    _write_empty(spark, root, "ignore")
-
+    """Create the tables that do not exist yet; leave the others as they are. The tables of an inventory
+    from before versions are taken over from their folders."""
+    with commit(spark, root) as changes:
+        for table in ALL_TABLES:
+            if table not in changes.tables:
+                changes.clear(table)
+                if versions.names_in(spark, f"{changes.root}/{table}"):
+                    changes.tables[table] = [{"folder": f"{changes.root}/{table}", "without": []}]
 
-def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.schema(ALL_TABLES[table]).parquet(_path(root, table))
 
+def read_table(spark: SparkSession, root: str, table: str, version: int | None = None) -> DataFrame:
+    """A table as of a version, the latest if none is given."""
+    return versions.read_parts(spark, ALL_TABLES[table], versions.version(spark, root, version)["tables"].get(table, []))
 
-def open_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {table: read_table(spark, root, table) for table in ALL_TABLES}
 
-
-def _conform(df: DataFrame, table: str) -> DataFrame:
-    """Columns of the table, in its order and types. ANSI casts raise rather than wrap."""
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in ALL_TABLES[table].fields])
+def open_tables(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
+    """All tables as of one version, the latest if none is given."""
+    found = versions.version(spark, root, version)["tables"]
+    return {table: versions.read_parts(spark, schema, found.get(table, [])) for table, schema in ALL_TABLES.items()}
 
 
 def write_parquet(df: DataFrame, table: str, path: str, mode: str) -> None:
@@ -64,30 +68,37 @@ def write_parquet(df: DataFrame, table: str, path: str, mode: str) -> None:
 
 
 def overwrite_table(df: DataFrame, root: str, table: str) -> None:
-    """Replace a table. `df` must not read the same table: see `replace_from_itself`."""
-    write_parquet(_conform(df, table), table, _path(root, table), "overwrite")
+    """Replace a table, also with rows computed from itself: its folders stay until then."""
+    with commit(df.sparkSession, root) as changes:
+        changes.overwrite(df, table)
 
 
-def replace_from_itself(df: DataFrame, root: str, table: str) -> None:
-    """Replace a table with rows computed from it: store them first, then overwrite."""
-    overwrite_table(materialise(_conform(df, table), table), root, table)
+replace_from_itself = overwrite_table
 
 
 def append_table(df: DataFrame, root: str, table: str) -> None:
-    write_parquet(_conform(df, table), table, _path(root, table), "append")
+    with commit(df.sparkSession, root) as changes:
+        changes.append(df, table)
 
 
 def append_inventory(
-    root: str, directories: DataFrame, files: DataFrame, as_of: str | datetime
-) -> None:
-    """Append resolved directories, then files, all stamped with one `last_seen`. The file's path is
-    reduced to its last component."""
+    changes: versions.Commit, directories: DataFrame, files: DataFrame, as_of: str | datetime
+) -> tuple[DataFrame, DataFrame]:
+    """Append resolved directories, then files, all stamped with one `last_seen`, and the paths of the
+    directories. The file's path is reduced to its last component. Returns both as stored."""
     seen = as_of_literal(as_of)
     # Children of one parent come out of the parent lookup together: sorted, they are also stored so.
     stamped = directories.withColumn("last_seen", seen).sortWithinPartitions("parent_id")
-    append_table(stamped, root, "directories")
+    known = changes.append(stamped, "directories")
+    changes.append(paths_of(directories), "directory_paths")
     named = files.withColumn("filename", file_name(F.col("path")))
-    append_table(named.withColumn("last_seen", seen), root, "files")
+    return known, changes.append(named.withColumn("last_seen", seen), "files")
+
+
+def paths_of(directories: DataFrame) -> DataFrame:
+    """The path index of directories, by hash of the path so that one path lies in few row groups."""
+    of = F.col("filesystem") if "filesystem" in directories.columns else F.lit("")
+    return directories.select(of.alias("filesystem"), "path", "dir_id").sortWithinPartitions(F.xxhash64("path"))
 
 
 def log_run(spark: SparkSession, root: str, as_of: str | datetime) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dirgauge.functions import parent_path
-from dirgauge.operators.joins import heavy_keys, lookup_join
+from dirgauge.operators.joins import broadcast_if_small, heavy_keys, lookup_join, rows_having
 from dirgauge.session import materialise, scratch_path
 
 
@@ -59,22 +59,58 @@ def next_ids(max_seen: int) -> Column:
 
 def _key(df: DataFrame, path: Column) -> Column:
     """What a path is known by: itself, or with its filesystem where the listing names one."""
-    if "filesystem" not in df.columns:
+    if not _is_named(df):
         return path
     return F.concat(F.coalesce("filesystem", F.lit("")), F.lit("\0"), path)
 
 
-def _with_parent(entries: DataFrame) -> DataFrame:
+def with_parent(entries: DataFrame) -> DataFrame:
+    """Entries with the path of their parent, and what it is known by."""
     above = parent_path(F.col("path"))
     return entries.withColumn("_above", above).withColumn("_parent", _key(entries, above))
 
 
+def number_rows(stored: DataFrame, column: str, max_seen: int) -> DataFrame:
+    """Number the rows of a stored Parquet table max_seen+1, max_seen+2, ... without gaps, in one pass.
+
+    A row's place in its file is known to the scan; a table with one row per file gives the offset of the file.
+    """
+    rows = stored.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    per_file = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    offsets = materialise(per_file.select("_file", before), "offsets")
+    numbered = rows.join(F.broadcast(offsets), "_file")
+    return numbered.withColumn(column, F.lit(max_seen + 1) + F.col("_before") + F.col("_index")).drop("_file", "_before", "_index")
+
+
 def _stored_parents(entries: list[DataFrame], listed: DataFrame, stored: DataFrame) -> DataFrame:
-    """(_parent, _parent_id) of parents that are not listed but stored, the latest row of a path."""
+    """(_parent, _parent_id) of parents that are not listed but stored, the latest row of a path.
+
+    `stored` is the path index (filesystem, path, dir_id). It is read for the missing paths only: a few
+    are pushed to its scan, more are broadcast to it, and only a number beyond that moves it.
+    """
     wanted = reduce(DataFrame.unionByName, [e.select("_parent", "_above") for e in entries])
     missing = wanted.where("_parent IS NOT NULL").distinct().join(listed, "_parent", "left_anti")
-    known = stored.groupBy(F.col("path").alias("_above")).agg(F.max("dir_id").alias("_parent_id"))
-    return materialise(missing.join(known, "_above").select("_parent", "_parent_id"), "parents")
+    missing = materialise(missing, "missing-parents")
+    key = _key(stored, F.col("path")) if _is_named(entries[0]) else F.col("path")
+    if not _is_named(entries[0]):
+        stored = stored.where("filesystem = ''")
+    stored = rows_having(stored, "path", missing.select(F.col("_above").alias("path")).distinct())
+    found = stored.select(key.alias("_parent"), "dir_id").join(broadcast_if_small(missing.select("_parent")), "_parent", "left_semi")
+    return materialise(found.groupBy("_parent").agg(F.max("dir_id").alias("_parent_id")), "parents")
+
+
+def parents_of(entries: list[DataFrame], listed: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """(_parent, _parent_id): the listed directories, and what the path index has of the other parents."""
+    by_path = listed.select(_key(listed, F.col("path")).alias("_parent"), F.col("dir_id").alias("_parent_id"))
+    if stored is None:
+        return by_path
+    return by_path.unionByName(_stored_parents(entries, by_path, stored))
+
+
+def _is_named(entries: DataFrame) -> bool:
+    return "filesystem" in entries.columns
 
 
 def resolve_tree(
@@ -87,20 +123,19 @@ def resolve_tree(
 ) -> tuple[DataFrame, DataFrame]:
     """Give every listed directory an id and its parent's id, every file an id and its directory's.
 
-    Parents are looked up among the listed directories, which have one row per path, and then among
-    the `stored` ones. A directory whose parent is in neither is a root (parent NULL), and so is one
+    Parents are looked up among the listed directories, which have one row per path, and then in the path
+    index `stored` (filesystem, path, dir_id). A directory whose parent is in neither is a root (parent NULL), and so is one
     given in `roots` wherever it lies; a file without parent has dir_id NULL. With a `filesystem`
-    column, listed paths are told apart by it. A directory may hold any share of all entries: such
+    column, paths are told apart by it; without one they belong to the filesystem ''. Files may have
+    their ids already. A directory may hold any share of all entries: such
     parents are split over tasks.
     """
-    ids = _with_parent(assign_ids(dirs, "dir_id", max_dir_id))
+    ids = with_parent(assign_ids(dirs, "dir_id", max_dir_id))
     if given := [r.rstrip("/") or "/" for r in roots]:
         inner = ~F.col("path").isin(given)
         ids = ids.withColumn("_parent", F.when(inner, F.col("_parent")))
-    placed = _with_parent(files)
-    by_path = ids.select(_key(ids, F.col("path")).alias("_parent"), F.col("dir_id").alias("_parent_id"))
-    if stored is not None:
-        by_path = by_path.unionByName(_stored_parents([ids, placed], by_path, stored))
+    placed = with_parent(files)
+    by_path = parents_of([ids, placed], ids, stored)
 
     directories = lookup_join(ids, by_path, "_parent", heavy_keys(ids, "_parent"), "left", "path").select(
         "dir_id",
@@ -108,11 +143,12 @@ def resolve_tree(
         F.col("_parent_id").alias("parent_id"),
         F.col("uid").alias("owner_uid"),
         "mtime",
+        *(["filesystem"] if _is_named(dirs) else []),
     )
 
     heavy = heavy_keys(placed, "_parent")
     resolved = lookup_join(placed, by_path, "_parent", heavy, "left", "path").select(
-        next_ids(max_file_id).alias("file_id"),
+        F.col("file_id") if "file_id" in files.columns else next_ids(max_file_id).alias("file_id"),
         F.col("_parent_id").alias("dir_id"),
         "path",
         "size_bytes",

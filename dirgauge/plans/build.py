@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dirgauge.operators import rollups, tables
-from dirgauge.operators.tree import build_lineage, closure_of, max_id, resolve_tree
-from dirgauge.session import as_of_literal, materialise
-from dirgauge.sources.listing import classify, split_errors, split_malformed, split_repeated
+from dirgauge.operators.tree import build_lineage, closure_of, max_id, number_rows, resolve_tree
+from dirgauge.operators.versions import Commit
+from dirgauge.schemas import INGEST_LEDGER
+from dirgauge.session import as_of_literal, materialise, scratch_path
+from dirgauge.sources.listing import split_repeated, split_repeated_files, stage_entries
 
 
 def ingest(
@@ -21,27 +23,53 @@ def ingest(
     listing: DataFrame,
     as_of: str | datetime,
     roots: Iterable[str] = (),
+    run: str | None = None,
 ) -> DataFrame:
     """Resolve a listing, append it to the tables and return the entries that are not stored.
 
-    Their kinds are those of the scan, and NoPath, NoSize, Repeated (a directory listed before) and
-    NoParent (a file whose directory is neither listed nor stored).
+    Their kinds are those of the scan, and NoPath, BadType, NoSize, Repeated (listed before) and NoParent (a
+    file whose directory is neither listed nor stored). They are kept in `ingest_errors`, the numbers of
+    entries in `ingest_ledger`, both in the same version as the rows: listed = directories + files + failed
+    + skipped. A `run` that the ledger has is not taken in again.
     """
-    entries, errors = split_errors(listing)
-    entries, malformed = split_malformed(entries)
-    dirs, files = classify(entries)
-    dirs, repeated = split_repeated(dirs)
-    directories, resolved = resolve_tree(
-        dirs,
-        files,
-        max_id(tables.read_table(spark, root, "directories"), "dir_id"),
-        max_id(tables.read_table(spark, root, "files"), "file_id"),
-        tables.read_table(spark, root, "directories"),
-        roots,
-    )
+    if run is not None:
+        stored = tables.open_tables(spark, root)
+        if not stored["ingest_ledger"].where(F.col("run") == run).isEmpty():
+            return stored["ingest_errors"].where(F.col("run") == run).select("path", "error_kind")
+    with tables.commit(spark, root, run) as changes:
+        failed, counts = take_in(changes, listing, as_of, roots, run)
+        changes.append(ledger_rows(spark, [{"run": run, **counts}]), "ingest_ledger")
+    return failed.select("path", "error_kind")
+
+
+def ledger_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    fields = INGEST_LEDGER.fields
+    return spark.createDataFrame([tuple(r.get(f.name) for f in fields) for r in rows], INGEST_LEDGER).coalesce(1)
+
+
+def take_in(
+    changes: Commit, listing: DataFrame, as_of: str | datetime, roots: Iterable[str], run: str | None
+) -> tuple[DataFrame, dict]:
+    """Add a listing to a commit; returns the entries that are not stored and the numbers of all."""
+    spark = changes.spark
+    entries, seen = stage_entries(listing, scratch_path(spark, "entries"))
+
+    def part(name: str) -> DataFrame:
+        return entries.where(F.col("part") == name).drop("part", "kind")
+
+    dirs, repeated = split_repeated(part("d"))
+    files = number_rows(part("f"), "file_id", max_id(changes.read("files"), "file_id"))
+    files, again = split_repeated_files(files)
+    paths = changes.read("directory_paths")
+    directories, resolved = resolve_tree(dirs, files, max_id(changes.read("directories"), "dir_id"), 0, paths, roots)
+    resolved = materialise(resolved, "resolved") if seen["f"] else resolved
     lost = resolved.where("dir_id IS NULL").select("path", F.lit("NoParent").alias("error_kind"))
-    tables.append_inventory(root, directories, resolved.where("dir_id IS NOT NULL"), as_of)
-    return reduce(DataFrame.unionByName, [errors, malformed, repeated, lost])
+    known, found = tables.append_inventory(changes, directories, resolved.where("dir_id IS NOT NULL"), as_of)
+    bad = entries.where("part = 'failed'").select("path", F.col("kind").alias("error_kind"))
+    failed = reduce(DataFrame.unionByName, [bad, repeated, again, lost]).withColumn("run", F.lit(run).cast("string"))
+    failed = changes.append(failed, "ingest_errors")
+    counts = {"listed": seen["listed"], "directories": known.count(), "files": found.count(), "failed": failed.count(), "skipped": seen["skipped"]}
+    return failed, counts
 
 
 def usage_layout(files: DataFrame, lineage: DataFrame) -> DataFrame:

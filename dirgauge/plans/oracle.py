@@ -99,6 +99,30 @@ fx_user_stats AS (
   WHERE r.parent_id IS NULL AND c.ancestor_id = r.dir_id AND f.dir_id = c.descendant_id
   GROUP BY 1, 2)"""
 
+# The inventory after a scan of every third customer: rows gone, grown, with another owner, new.
+_RESCAN = """
+dx_directories AS (
+  SELECT dir_id, path, parent_id FROM fx_directories
+  WHERE NOT (dir_id >= 4000000000 AND (parent_id - 3000000000) % 3 = 0 AND (dir_id - 4000000000) % 5 = 0)
+  UNION ALL
+  SELECT dir_id + 2000000000, concat(path, '/new'), dir_id FROM fx_directories
+  WHERE dir_id >= 3000000000 AND dir_id < 4000000000 AND (dir_id - 3000000000) % 3 = 0),
+dx_files AS (
+  SELECT f.dir_id,
+         CASE WHEN scanned AND file_id % 1000 % 4 = 1 THEN size_bytes * 2 + 1 ELSE size_bytes END AS size_bytes,
+         CASE WHEN scanned AND file_id % 1000 % 4 = 1 THEN 999 ELSE owner_uid END AS owner_uid
+  FROM fx_files f
+  JOIN (SELECT dir_id, (parent_id - 3000000000) % 3 = 0 AS scanned FROM dx_directories) d ON d.dir_id = f.dir_id
+  WHERE NOT (scanned AND file_id % 1000 % 4 = 0)
+  UNION ALL
+  SELECT dir_id, dir_id - 5000000000, 1000003 FROM dx_directories WHERE dir_id >= 5000000000),
+dx_closure AS (
+  SELECT dir_id AS descendant_id, dir_id AS ancestor_id, 0 AS depth FROM dx_directories
+  UNION ALL
+  SELECT c.descendant_id, p.parent_id, c.depth + 1
+  FROM dx_closure c, dx_directories p
+  WHERE p.dir_id = c.ancestor_id AND p.parent_id IS NOT NULL)"""
+
 _RUNS = """
 fx_runs AS (
   SELECT min(o_orderkey) AS id, o_orderdate AS finished_at FROM orders GROUP BY o_orderdate)"""
@@ -127,6 +151,8 @@ def _fmt(even: bool, units: list[tuple[str, str]], rest: str) -> str:
     return f"CASE {cases} ELSE {rest} END"
 
 
+_STORED = """SELECT d.path, filename, size_bytes, f.owner_uid FROM fx_files f
+JOIN fx_directories d ON d.dir_id = f.dir_id"""
 _KB, _MB, _GB, _TB = "1024", "1048576", "1073741824", "1099511627776"
 _FMT_BYTES = _fmt(True, [("GB", _GB), ("MB", _MB), ("KB", _KB)], "concat(CAST(size AS VARCHAR), ' B')")
 _FMT_BYTES_TB = _fmt(
@@ -213,7 +239,7 @@ def oracle_sql() -> dict[str, str]:
         "delta_filter": _sql(
             _BASE + "," + _LISTING,
             """SELECT path, entry_type, mtime FROM fx_listing
-               WHERE mtime >= TIMESTAMP '2000-01-01 00:00:00'""",
+               WHERE mtime IS NULL OR mtime >= TIMESTAMP '2000-01-01 00:00:00'""",
         ),
         "delta_by_directory": _sql(
             _BASE,
@@ -254,6 +280,55 @@ def oracle_sql() -> dict[str, str]:
                       TIMESTAMP '2001-06-30 00:00:00' AS last_seen
                FROM fx_files f JOIN fx_directories d ON d.dir_id = f.dir_id""",
         ),
+        "ingest_retry": _sql(_BASE, _STORED),
+        "ingest_balance": _sql(
+            _BASE + "," + _LISTING,
+            """SELECT * FROM (
+                 SELECT 'directories' AS outcome, count(*) AS n FROM fx_directories
+                 UNION ALL SELECT 'files', count(*) FROM fx_files
+                 UNION ALL SELECT 'skipped', count(*) + (SELECT count(*) FROM region) FROM fx_listing
+                           WHERE entry_type = 'l' AND error_kind IS NULL
+                 UNION ALL SELECT error_kind, count(*) FROM fx_listing WHERE error_kind IS NOT NULL GROUP BY 1
+                 UNION ALL SELECT 'Repeated', count(*) + (SELECT count(*) FROM region) FROM fx_files WHERE inode % 50 = 0
+                 UNION ALL SELECT 'BadType', count(*) FROM part WHERE p_partkey % 10 = 0
+                 UNION ALL SELECT 'NoPath', count(*) FROM supplier
+                 UNION ALL SELECT 'NoSize', count(*) FROM customer
+                 UNION ALL SELECT 'NoParent', count(*) FROM nation
+                 UNION ALL
+                 SELECT 'failed', (SELECT count(*) FROM fx_files WHERE inode % 50 = 0) + (SELECT count(*) FROM region)
+                   + (SELECT count(*) FROM part WHERE p_partkey % 10 = 0) + (SELECT count(*) FROM supplier)
+                   + (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation)
+                   + (SELECT count(error_kind) FROM fx_listing)
+                 UNION ALL
+                 SELECT 'listed', (SELECT count(*) FROM fx_listing) + (SELECT count(*) FROM fx_files WHERE inode % 50 = 0)
+                   + (SELECT 2 * count(*) FROM region) + (SELECT count(*) FROM part WHERE p_partkey % 10 = 0)
+                   + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation)
+               ) WHERE n > 0""",
+        ),
+        "late_file_of_filesystem": _sql(
+            _BASE,
+            """SELECT filesystem, path, count(size) AS files, CAST(sum(size) AS BIGINT) AS bytes
+               FROM (SELECT filesystem, path, CASE WHEN dir_id >= 2000000000 AND (filesystem = 'one' OR dir_id % 2 = 0)
+                                                   THEN dir_id - 2000000000 END AS size
+                     FROM fx_directories, (SELECT unnest(['one', 'two']) AS filesystem) WHERE dir_id < 3000000000)
+               GROUP BY ALL""",
+        ),
+        "delta_apply": _sql(
+            _BASE + "," + _RESCAN,
+            """SELECT path, CAST(coalesce(sum(CASE depth WHEN 0 THEN size_bytes END), 0) AS BIGINT) AS direct_bytes,
+                      CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS subtree_bytes,
+                      count(CASE WHEN depth = 0 AND size_bytes IS NOT NULL THEN 1 END) AS file_count,
+                      count(size_bytes) AS subtree_count
+               FROM dx_directories d JOIN dx_closure c ON c.ancestor_id = d.dir_id
+               LEFT JOIN dx_files f ON f.dir_id = c.descendant_id GROUP BY d.dir_id, path""",
+        ),
+        "delta_users": _sql(
+            _BASE + "," + _RESCAN,
+            """SELECT owner_uid AS uid, path, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, count(*) AS file_count
+               FROM dx_directories r JOIN dx_closure c ON c.ancestor_id = r.dir_id
+               JOIN dx_files f ON f.dir_id = c.descendant_id
+               WHERE r.parent_id IS NULL GROUP BY 1, 2""",
+        ),
         "report_table": _sql(
             _BASE,
             """SELECT path, size_bytes / 1024.0::DOUBLE AS size, owner_uid AS uid,
@@ -507,11 +582,8 @@ def oracle_sql() -> dict[str, str]:
                FROM fx_directories""",
         ),
         # Streaming
-        "stream_ingest": _sql(
-            _BASE,
-            """SELECT d.path, filename, size_bytes, f.owner_uid FROM fx_files f
-               JOIN fx_directories d ON d.dir_id = f.dir_id""",
-        ),
+        "stream_ingest": _sql(_BASE, _STORED),
+        "stream_late": _sql(_BASE, _STORED),
         "stream_totals": _sql(
             _BASE + "," + _LISTING,
             """SELECT count(CASE WHEN entry_type = 'f' AND error_kind IS NULL THEN 1 END) AS files,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +13,17 @@ from dirgauge.operators import rollups, tables
 from dirgauge.operators.audit import audit
 from dirgauge.operators.tree import assign_ids, build_closure, max_id, resolve_tree
 from dirgauge.plans import build, reports
+from dirgauge.plans.delta import apply_delta
+from dirgauge.schemas import LISTING
 from dirgauge.session import as_of_literal, materialise, scratch_path
 from dirgauge.sources import listing as listings
 from dirgauge.sources.accounts import load_accounts
 from dirgauge.sources.order_tree import (
     AS_OF,
+    CUSTOMER_BASE,
     DEEP_DIR_ID,
     DIR_ID,
+    NATION_BASE,
     NTZ,
     ORDER_BASE,
     REGION_BASE,
@@ -178,6 +183,129 @@ def append_inventory(t: OrderTree) -> DataFrame:
     return _wall_clock(stored["files"].join(paths, "dir_id").drop("file_id", "dir_id"))
 
 
+def _by_directory(stored: dict[str, DataFrame]) -> DataFrame:
+    paths = stored["directories"].select("dir_id", "path")
+    return stored["files"].join(paths, "dir_id").select("path", "filename", "size_bytes", "owner_uid")
+
+
+def ingest_retry(t: OrderTree) -> DataFrame:
+    """A run that is broken before its last step, then made, then made again."""
+    root, listing = _new_root(t), listings.load_listing(t.spark, _listing_files(t))
+    try:
+        with tables.commit(t.spark, root, "scan") as changes:
+            build.take_in(changes, listing, AS_OF, (), "scan")
+            raise InterruptedError
+    except InterruptedError:
+        pass
+    for _ in range(2):
+        build.ingest(t.spark, root, listing, AS_OF, run="scan")
+    return _by_directory(tables.open_tables(t.spark, root))
+
+
+def _entries(df: DataFrame, **values) -> DataFrame:
+    """Listing rows with these columns; the others are NULL."""
+    return df.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in LISTING.fields])
+
+
+def ingest_balance(t: OrderTree) -> DataFrame:
+    """Entries by what became of them, of a listing with every fault: entries listed twice, types that are
+    not known, no path, no size, no directory."""
+    root, listing = _new_root(t), listings.load_listing(t.spark, _listing_files(t))
+    one = F.lit(1)
+    region = t["directories"].where("parent_id IS NULL")
+    customer = t["directories"].where(f"dir_id BETWEEN {CUSTOMER_BASE} AND {ORDER_BASE - 1}")
+    faults = [
+        listing.where("entry_type = 'f' AND inode % 50 = 0"),
+        _entries(region, path=F.concat("path", F.lit("//")), entry_type=F.lit("d")),
+        _entries(region, path=F.concat("path", F.lit("/.")), entry_type=F.lit("d")),
+        _entries(
+            t.raw("part").where("p_partkey % 10 = 0"),
+            path=F.concat(F.lit("/ASIA/odd-"), "p_partkey"),
+            entry_type=F.when(F.col("p_partkey") % 20 == 0, "file"),
+            size_bytes=one,
+        ),
+        _entries(t.raw("supplier"), entry_type=F.lit("f"), size_bytes=one),
+        _entries(customer, path=F.concat("path", F.lit("/sizeless")), entry_type=F.lit("f")),
+        _entries(t.raw("nation"), path=F.concat(F.lit("/lost/"), "n_name"), entry_type=F.lit("f"), size_bytes=one),
+    ]
+    for more in faults:
+        listing = listing.unionByName(more)
+    build.ingest(t.spark, root, listing, AS_OF)
+    stored = tables.open_tables(t.spark, root)
+    counts = [F.struct(F.lit(c).alias("outcome"), F.col(c).alias("n")) for c in ("listed", "directories", "files", "failed", "skipped")]
+    outcomes = stored["ingest_ledger"].select(F.explode(F.array(*counts)).alias("o")).select("o.*")
+    return outcomes.unionByName(listings.error_counts(stored["ingest_errors"]).withColumnRenamed("error_kind", "outcome"))
+
+
+def late_file_of_filesystem(t: OrderTree) -> DataFrame:
+    """Two filesystems with the same paths; files that come later go to the tree of their own."""
+    root, nations = _new_root(t), t["directories"].where(f"dir_id < {CUSTOMER_BASE}")
+    dirs = _entries(nations, path=F.col("path"), entry_type=F.lit("d"), uid=F.lit(1))
+    both = [dirs.withColumn("filesystem", F.lit(name)) for name in ("one", "two")]
+    build.ingest(t.spark, root, both[0].unionByName(both[1]), AS_OF)
+    late = nations.where(f"dir_id >= {NATION_BASE}").withColumn("n", F.col("dir_id") - NATION_BASE)
+    late = _entries(late, path=F.concat("path", F.lit("/late")), entry_type=F.lit("f"), size_bytes=F.col("n"), uid=F.lit(2))
+    build.ingest(t.spark, root, late.withColumn("filesystem", F.lit("one")), AS_OF)
+    build.ingest(t.spark, root, late.where("size_bytes % 2 = 0").withColumn("filesystem", F.lit("two")), AS_OF)
+    stored = tables.open_tables(t.spark, root)
+    found = stored["directory_paths"].join(stored["files"].select("dir_id", "size_bytes"), "dir_id", "left")
+    return found.groupBy("filesystem", "path").agg(F.count("size_bytes").alias("files"), F.sum("size_bytes").alias("bytes"))
+
+
+def _rescan(t: OrderTree) -> DataFrame:
+    """Every third customer scanned again: every fifth order is gone, in the others every fourth file, another
+    fourth has grown and changed its owner; a directory with a file is new."""
+    dirs = t["directories"]
+    customer = dirs.where(f"dir_id BETWEEN {CUSTOMER_BASE} AND {ORDER_BASE - 1} AND (dir_id - {CUSTOMER_BASE}) % 3 = 0")
+    order = dirs.where(f"dir_id >= {ORDER_BASE} AND (parent_id - {CUSTOMER_BASE}) % 3 = 0 AND (dir_id - {ORDER_BASE}) % 5 <> 0")
+    file = t["files"].join(order.select("dir_id", "path"), "dir_id").withColumn("k", F.col("file_id") % 1000 % 4).where("k <> 0")
+    grown, moment = F.col("k") == 1, {c: F.col(c) for c in ("atime", "mtime", "ctime")}
+    new = F.concat("path", F.lit("/new"))
+    parts = [
+        _entries(customer.unionByName(order), path=F.col("path"), entry_type=F.lit("d"), uid=F.col("owner_uid"), mtime=F.col("mtime")),
+        _entries(
+            file,
+            path=F.concat_ws("/", "path", "filename"),
+            entry_type=F.lit("f"),
+            size_bytes=F.when(grown, F.col("size_bytes") * 2 + 1).otherwise(F.col("size_bytes")),
+            uid=F.when(grown, F.lit(999)).otherwise(F.col("owner_uid")),
+            inode=F.col("inode"),
+            nlink=F.col("hardlink_count"),
+            **moment,
+        ),
+        _entries(customer, path=new, entry_type=F.lit("d"), uid=F.lit(1_000_003)),
+        _entries(
+            customer, path=F.concat(new, F.lit("/n")), entry_type=F.lit("f"), size_bytes=F.col("dir_id") - CUSTOMER_BASE, uid=F.lit(1_000_003)
+        ),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _after_delta(t: OrderTree) -> dict[str, DataFrame]:
+    """The finished inventory after the scan of part of it."""
+    if not hasattr(t, "_delta_root"):
+        root = _new_root(t)
+        with tables.commit(t.spark, root) as changes:
+            for name in ("directories", "files"):
+                changes.append(t[name], name)
+            changes.append(tables.paths_of(t["directories"]), "directory_paths")
+        build.finish(t.spark, root, AS_OF)
+        apply_delta(t.spark, root, materialise(_rescan(t), "rescan"), AS_OF, run="rescan")
+        t._delta_root = root
+    return tables.open_tables(t.spark, t._delta_root)
+
+
+def delta_apply(t: OrderTree) -> DataFrame:
+    stored = _after_delta(t)
+    paths = stored["directories"].select("dir_id", "path")
+    return stored["directory_stats"].join(paths, "dir_id").drop("dir_id", "last_computed")
+
+
+def delta_users(t: OrderTree) -> DataFrame:
+    stored = _after_delta(t)
+    return stored["user_stats"].join(stored["directories"].select("dir_id", "path"), "dir_id").drop("dir_id")
+
+
 def _file_entries(t: OrderTree) -> DataFrame:
     entries, _ = listings.split_errors(t["listing"])
     return listings.classify(entries)[1].withColumnRenamed("uid", "owner_uid")
@@ -345,12 +473,20 @@ def stream_ingest(t: OrderTree) -> DataFrame:
     stream = read_stream(t.spark, _listing_files(t), files_per_trigger=2)
     stage_listing(stream, staging, checkpoint).awaitTermination()
     finish_ingest(t.spark, staging, root, AS_OF)
-    stored = tables.open_tables(t.spark, root)
-    return (
-        stored["files"]
-        .join(stored["directories"].select("dir_id", "path"), "dir_id")
-        .select("path", "filename", "size_bytes", "owner_uid")
-    )
+    return _by_directory(tables.open_tables(t.spark, root))
+
+
+def stream_late(t: OrderTree) -> DataFrame:
+    """Half of the files arrive after the first half was taken in; the last call finds nothing new."""
+    root, staging, checkpoint = _new_root(t), scratch_path(t.spark, "staging"), scratch_path(t.spark, "offsets")
+    arrived, listing = scratch_path(t.spark, "arrived"), listings.load_listing(t.spark, _listing_files(t))
+    late = "entry_type = 'f' AND inode % 2 = 1"
+    for part in (listing.where(f"NOT coalesce({late}, false)"), listing.where(late)):
+        part.write.mode("append").parquet(arrived)
+        stage_listing(read_stream(t.spark, arrived, files_per_trigger=4), staging, checkpoint).awaitTermination()
+        finish_ingest(t.spark, staging, root, AS_OF)
+    finish_ingest(t.spark, staging, root, AS_OF)
+    return _by_directory(tables.open_tables(t.spark, root))
 
 
 def stream_totals_query(t: OrderTree) -> DataFrame:
@@ -392,6 +528,11 @@ def _queries() -> dict[str, Callable[[OrderTree], DataFrame]]:
         "account_source": account_source,
         "table_counts": reports.table_counts,
         "append_inventory": append_inventory,
+        "ingest_retry": ingest_retry,
+        "ingest_balance": ingest_balance,
+        "late_file_of_filesystem": late_file_of_filesystem,
+        "delta_apply": delta_apply,
+        "delta_users": delta_users,
         "report_table": lambda t: reports.file_report(_file_entries(t)),
         "report_text": _text_report("path", "KB"),
         "report_text_by_size": _text_report("size", "MB"),
@@ -455,6 +596,7 @@ def _queries() -> dict[str, Callable[[OrderTree], DataFrame]]:
         "fmt_mtime": fmt_mtime,
         "base_name": base_name,
         "stream_ingest": stream_ingest,
+        "stream_late": stream_late,
         "stream_totals": stream_totals_query,
     }
 

@@ -82,7 +82,7 @@ TABLES = {
     "crawl_runs": CRAWL_RUNS,
 }
 
-# Three derived tables kept beside them. The lineage is the closure with one row per directory: its
+# Derived tables kept beside them. The lineage is the closure with one row per directory: its
 # ancestors from itself up to the top, its root, and the totals of its own files (NULL if none). The
 # usage is `files` pre-aggregated to (directory, owner), with the directory's ancestors and root. The
 # access usage is `files` pre-aggregated to (owner, time of last access).
@@ -117,10 +117,36 @@ ACCESS_USAGE = T.StructType(
     ]
 )
 
+# What ingest keeps: the directories by filesystem and path, the entries that were not stored, and what was
+# taken in (a run, or a batch of a staging folder with a fingerprint of its files).
+DIRECTORY_PATHS = T.StructType(
+    [T.StructField("filesystem", STR), T.StructField("path", STR), T.StructField("dir_id", LONG)]
+)
+
+INGEST_ERRORS = T.StructType(
+    [T.StructField("path", STR), T.StructField("error_kind", STR), T.StructField("run", STR)]
+)
+
+INGEST_LEDGER = T.StructType(
+    [
+        T.StructField("run", STR),
+        T.StructField("batch_id", LONG),
+        T.StructField("fingerprint", LONG),
+        T.StructField("listed", LONG),
+        T.StructField("directories", LONG),
+        T.StructField("files", LONG),
+        T.StructField("failed", LONG),
+        T.StructField("skipped", LONG),
+    ]
+)
+
 DERIVED_TABLES = {
     "directory_lineage": DIRECTORY_LINEAGE,
     "directory_usage": DIRECTORY_USAGE,
     "access_usage": ACCESS_USAGE,
+    "directory_paths": DIRECTORY_PATHS,
+    "ingest_errors": INGEST_ERRORS,
+    "ingest_ledger": INGEST_LEDGER,
 }
 
 PRIMARY_KEYS = {

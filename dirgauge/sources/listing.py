@@ -5,13 +5,14 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dirgauge.functions import last_segment, normal_path, parent_path
-from dirgauge.operators.joins import heavy_keys, lookup_join
+from dirgauge.operators.joins import broadcast_if_small, heavy_keys, lookup_join
 from dirgauge.schemas import LISTING
-from dirgauge.session import as_of_literal
+from dirgauge.session import as_of_literal, materialise
 
 
 def load_listing(spark: SparkSession, paths: str | list[str], fmt: str = "parquet") -> DataFrame:
@@ -65,24 +66,64 @@ def error_counts(errors: DataFrame) -> DataFrame:
     return errors.groupBy("error_kind").agg(F.count("*").alias("n"))
 
 
-def split_malformed(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entries that can be stored, the others with path and kind): those without a path, and regular
-    files without a size, such as a size in CSV that is no number."""
-    kind = F.when(F.col("path").isNull(), "NoPath").when(
-        (F.col("entry_type") == "f") & F.col("size_bytes").isNull(), "NoSize"
-    )
-    checked = entries.withColumn("_kind", kind)
+#: Entry types: directories and regular files are stored, links and special files are not.
+ENTRY_TYPES = ("d", "f", "l", "s")
+
+
+def failure(listing: DataFrame) -> Column:
+    """Why an entry cannot be stored, NULL if it can: the scan's error, or NoPath, BadType (not one of
+    ENTRY_TYPES), NoSize (a regular file without a size, such as one in CSV that is no number)."""
+    kind = F.col("entry_type")
     return (
-        checked.where("_kind IS NULL").drop("_kind"),
-        checked.where("_kind IS NOT NULL").select("path", F.col("_kind").alias("error_kind")),
+        F.when(F.col("error_kind").isNotNull(), F.col("error_kind"))
+        .when(F.col("path").isNull(), "NoPath")
+        .when(kind.isNull() | ~kind.isin(*ENTRY_TYPES), "BadType")
+        .when((kind == "f") & F.col("size_bytes").isNull(), "NoSize")
     )
 
 
-def split_repeated(dirs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one row per directory, an error for each further row of the same path and filesystem).
+def _is_self(path: Column) -> Column:
+    """Whether a path is the '.' or '..' entry of a directory; a root may be given by such a name."""
+    name = last_segment(path)
+    return name.isin(".", "..") & (name != path)
+
 
-    The least of the rows stays. Files are not looked at: one listed twice counts twice.
+def stage_entries(listing: DataFrame, path: str) -> tuple[DataFrame, Row]:
+    """Store a listing in one pass and return it with the numbers of its entries.
+
+    `part` is 'd' or 'f' for what goes on, 'failed' (`kind` says why) or 'skipped' (links, special files, '.'
+    and '..'); it is a partition of the stored table, so that each part is read alone.
     """
+    tidy = normal_path(F.col("path"))
+    part = F.when(F.col("kind").isNotNull(), "failed").when(F.col("entry_type").isin("l", "s") | _is_self(tidy), "skipped")
+    seen = Observation()
+    parts = ("d", "f", "failed", "skipped")
+    rows = listing.withColumn("kind", failure(listing)).withColumn("part", part.otherwise(F.col("entry_type")))
+    rows = rows.withColumn("path", F.when(F.col("kind").isNull(), tidy).otherwise(F.col("path"))).drop("error_kind")
+    rows = rows.observe(seen, F.count("*").alias("listed"), *[F.count_if(F.col("part") == p).alias(p) for p in parts])
+    schema = T.StructType(rows.schema.fields)
+    rows.write.partitionBy("part").parquet(path)
+    return listing.sparkSession.read.schema(schema).parquet(path), Row(**seen.get)
+
+
+def split_repeated_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row per file, an error for each further row of the same path and filesystem), from files with
+    unique file_id; the least file_id stays. Only hashes of paths are shuffled unless some repeat."""
+    keys = [c for c in ("filesystem", "path") if c in files.columns]
+    hashed = F.xxhash64(*keys).alias("_hash")
+    twice = materialise(files.groupBy(hashed).agg(F.count("*").alias("n")).where("n > 1").select("_hash"), "repeated")
+    if twice.isEmpty():
+        return files, files.sparkSession.range(0).select(F.lit("").alias("path"), F.lit("").alias("error_kind"))
+    some = files.select(*keys, "file_id", hashed).join(broadcast_if_small(twice), "_hash", "left_semi")
+    first = some.groupBy(*keys).agg(F.min("file_id").alias("file_id"))
+    again = materialise(some.select("path", "file_id").join(first.select("file_id"), "file_id", "left_anti"), "repeated-files")
+    once = files.join(broadcast_if_small(again.select("file_id")), "file_id", "left_anti")
+    return once, again.select("path", F.lit("Repeated").alias("error_kind"))
+
+
+def split_repeated(dirs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row per directory, an error for each further row of the same path and filesystem). The least
+    of the rows stays."""
     keys = [c for c in ("filesystem", "path") if c in dirs.columns]
     row = F.struct(*[c for c in dirs.columns if c not in keys])
     found = dirs.groupBy(*keys).agg(F.min(row).alias("row"), F.count("*").alias("n"))
@@ -94,16 +135,16 @@ def split_repeated(dirs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def classify(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(directories, regular files). Symlinks, special files and the '.' and '..' entries of a
-    directory go; a root may be given by such a name. Paths lose trailing slashes."""
+    directory go; a root may be given by such a name. Paths lose repeated and trailing slashes."""
     entries = entries.withColumn("path", normal_path(F.col("path")))
-    name = last_segment(F.col("path"))
-    real = entries.where(~name.isin(".", "..") | (name == F.col("path")))
+    real = entries.where(~_is_self(F.col("path")))
     return real.where("entry_type = 'd'"), real.where("entry_type = 'f'")
 
 
 def delta(listing: DataFrame, last_seen: str | datetime) -> DataFrame:
-    """Entries not older than `last_seen`."""
-    return listing.where(F.col("mtime") >= as_of_literal(last_seen, listing.schema["mtime"].dataType))
+    """Entries not older than `last_seen`; those without a time are kept."""
+    mtime = F.col("mtime")
+    return listing.where(mtime.isNull() | (mtime >= as_of_literal(last_seen, listing.schema["mtime"].dataType)))
 
 
 def delta_by_directory(listing: DataFrame, seen: DataFrame) -> DataFrame:
@@ -114,6 +155,6 @@ def delta_by_directory(listing: DataFrame, seen: DataFrame) -> DataFrame:
     heavy = heavy_keys(entries, "_parent")
     return (
         lookup_join(entries, marks, "_parent", heavy, "left", "path")
-        .where(F.col("last_seen_mtime").isNull() | (F.col("mtime") >= F.col("last_seen_mtime")))
+        .where("last_seen_mtime IS NULL OR mtime IS NULL OR mtime >= last_seen_mtime")
         .drop("_parent", "last_seen_mtime")
     )

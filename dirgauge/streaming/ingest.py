@@ -11,22 +11,13 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from dirgauge.plans.build import ingest
+from dirgauge.operators import tables
+from dirgauge.operators.versions import names_in
+from dirgauge.plans.build import ledger_rows, take_in
 from dirgauge.schemas import LISTING
-
-
-_STAGED = T.StructType([*LISTING.fields, T.StructField("batch_id", T.LongType())])
-_MARKS = T.StructType(
-    [
-        T.StructField("staging", T.StringType()),
-        T.StructField("batch_id", T.LongType()),
-        T.StructField("n", T.LongType()),
-    ]
-)
-
+from dirgauge.session import materialise
 
 def read_stream(
     spark: SparkSession, path: str, fmt: str = "parquet", files_per_trigger: int | None = None
@@ -51,29 +42,43 @@ def stage_listing(stream: DataFrame, staging: str, checkpoint: str) -> Streaming
     )
 
 
+def _staged_files(spark: SparkSession, staging: str) -> DataFrame:
+    """batch_id, folder and a fingerprint of the names and sizes of its files, per staged batch. The
+    files are listed as a job; none is opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(staging)
+    folder = F.regexp_extract("path", r"\A(.*/batch_id=(\d+))/[^/]+\z", 1)
+    batch = F.regexp_extract("path", r"/batch_id=(\d+)/[^/]+\z", 1)
+    files = listed.select(batch.alias("batch_id"), folder.alias("folder"), F.xxhash64("path", "length").alias("hash"))
+    # a sum that cannot overflow
+    return files.groupBy(F.col("batch_id").cast("bigint").alias("batch_id"), "folder").agg(F.sum(F.shiftright("hash", 24)).alias("now"))
+
+
 def finish_ingest(spark: SparkSession, staging: str, root: str, as_of: str | datetime) -> DataFrame:
     """Resolve what was staged since the last call, append it to the tables, return the failed entries.
 
-    Batches are marked in the table `staged_batches` once they are appended, with their number of
-    rows. A marked batch that has changed since, because its checkpoint was lost, is an error: stage
-    into a new folder then. A failure between the append and the mark leaves the batch unmarked.
+    The batches come into the ledger in the same version as their rows, so each is taken in once, wherever a
+    run is interrupted. A batch of the ledger whose files have changed since, because its checkpoint was
+    lost, is an error: stage into a new folder then. Only names of new batches come to the driver. Nothing
+    staged, or nothing new, is no error.
     """
-    done = f"{root.rstrip('/')}/staged_batches"
-    empty = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in _MARKS.fields])
-    empty.coalesce(1).write.mode("ignore").parquet(done)
-    marked = spark.read.schema(_MARKS).parquet(done).where(F.col("staging") == staging).collect()  # one row per batch
-    before = {row["batch_id"]: row["n"] for row in marked}
-
-    staged = spark.read.schema(_STAGED).option("basePath", staging).parquet(f"{staging}/batch_id=*")
-    now = {row["batch_id"]: row["count"] for row in staged.groupBy("batch_id").count().collect()}
-    if changed := sorted(b for b, n in before.items() if now.get(b, n) != n):
-        raise ValueError(f"batches {changed} of {staging} were ingested before with other rows")
-    fresh = staged.where(~F.col("batch_id").isin(list(before))) if before else staged
-    failed = ingest(spark, root, fresh.drop("batch_id"), as_of)
-    marks = [(staging, b, n) for b, n in now.items() if b not in before]
-    if marks:
-        spark.createDataFrame(marks, _MARKS).coalesce(1).write.mode("append").parquet(done)
-    return failed
+    staging, run = staging.rstrip("/"), f"staging:{staging.rstrip('/')}"
+    nothing = spark.range(0).select(F.lit("").alias("path"), F.lit("").alias("error_kind"))
+    if not any(n.startswith("batch_id=") for n in names_in(spark, staging)):
+        return nothing
+    with tables.commit(spark, root, run) as changes:
+        done = changes.read("ingest_ledger").where(F.col("run") == run).select("batch_id", "fingerprint")
+        found = materialise(_staged_files(spark, staging).join(done, "batch_id", "left"), "staged")
+        changed = found.where("fingerprint <> now").agg(F.count("*").alias("n"), F.min("batch_id").alias("first")).first()
+        if changed["n"]:
+            raise ValueError(f"{changed['n']} batches of {staging}, from {changed['first']} on, were ingested before with other rows")
+        fresh = found.where("fingerprint IS NULL").orderBy("batch_id").collect()  # what arrived since the last call
+        if not fresh:
+            return nothing
+        listing = spark.read.schema(LISTING).parquet(*[r["folder"] for r in fresh])
+        failed, counts = take_in(changes, listing, as_of, (), run)
+        marks = [{"run": run, "batch_id": r["batch_id"], "fingerprint": r["now"]} for r in fresh]
+        changes.append(ledger_rows(spark, [marks[0] | counts, *marks[1:]]), "ingest_ledger")
+    return failed.select("path", "error_kind")
 
 
 def stream_totals(stream: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from dirgauge.operators import joins
 from dirgauge.operators.joins import broadcast_if_small
 from dirgauge.plans import build, registry, reports
 from dirgauge.sources.order_tree import AS_OF, DEEP_DIR_ID, DIR_ID, UID, OrderTree
@@ -140,6 +141,16 @@ def test_broadcast_only_below_the_limit(spark, no_automatic_broadcast):
     assert "BroadcastHashJoin" not in plan_of(big.join(broadcast_if_small(few, 49), "id"))
 
 
+def test_the_path_index_is_not_shuffled_to_find_parents(t, no_automatic_broadcast, monkeypatch):
+    index = t["directories"].select("path", "dir_id")
+    keys = index.where("dir_id % 7 = 0").select("path")
+    assert "hashpartitioning(path" not in plan_of(joins.rows_having(index, "path", keys)).split("BroadcastExchange")[0]
+    few = plan_of(joins.rows_having(index, "path", keys.limit(3)))
+    assert "Join" not in few and "Exchange" not in few
+    monkeypatch.setattr(joins, "if_few", lambda df: None)
+    assert "BroadcastHashJoin" in plan_of(joins.rows_having(index, "path", keys))
+
+
 def test_scans_read_only_the_columns_needed(t):
     plan = plan_of(reports.staleness(t, AS_OF))
     assert "ReadSchema: struct<size_bytes:bigint,atime:timestamp_ntz>" in plan
