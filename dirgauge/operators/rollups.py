@@ -25,6 +25,17 @@ def build_access(files: DataFrame) -> DataFrame:
     )
 
 
+def access_times(access: DataFrame) -> DataFrame:
+    """The access usage of all owners together."""
+    return access.groupBy("atime").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+
+
+def access_hours(times: DataFrame) -> DataFrame:
+    """Access times summed per hour."""
+    hour = F.date_trunc("hour", "atime").cast(times.schema["atime"].dataType).alias("hour")
+    return times.groupBy(hour).agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+
+
 def build_users(files: DataFrame, directories: DataFrame) -> DataFrame:
     """Every uid that owns a file or a directory. `files` may also be the usage."""
     owners = files.select("owner_uid").unionByName(directories.select("owner_uid"))

@@ -23,6 +23,7 @@ LOOKUP_COLUMNS = {
     "directory_lineage": ["dir_id"],
     "directory_closure": ["ancestor_id"],
     "directory_paths": ["path"],
+    "directory_intervals": ["dir_id"],
 }
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dirgauge.operators import rollups, tables
+from dirgauge.operators.intervals import build_intervals
 from dirgauge.operators.tree import build_lineage, closure_of, max_id, number_rows, resolve_tree
 from dirgauge.operators.versions import Commit
 from dirgauge.schemas import INGEST_LEDGER
@@ -84,6 +85,16 @@ def access_layout(files: DataFrame) -> DataFrame:
     return access.sortWithinPartitions("owner_uid", "atime")
 
 
+def times_layout(access: DataFrame) -> DataFrame:
+    """`access_times`, stored by time, so that an hour is in few row groups."""
+    return rollups.access_times(access).repartitionByRange("atime").sortWithinPartitions("atime")
+
+
+def intervals_layout(lineage: DataFrame) -> DataFrame:
+    """`directory_intervals`, stored by number: a subtree is a run of rows."""
+    return build_intervals(lineage).repartitionByRange("pre").sortWithinPartitions("pre")
+
+
 def lineage_layout(lineage: DataFrame, usage: DataFrame) -> DataFrame:
     """`directory_lineage`, stored in tree order."""
     return rollups.in_tree_order(rollups.with_direct_stats(lineage, usage))
@@ -109,6 +120,10 @@ def finish(spark: SparkSession, root: str, as_of: str | datetime) -> None:
     tables.overwrite_table(usage_layout(stored("files"), lineage), root, "directory_usage")
     tables.overwrite_table(access_layout(stored("files")), root, "access_usage")
 
+    with tables.commit(spark, root) as changes:
+        changes.overwrite(times_layout(changes.read("access_usage")), "access_times")
+        changes.overwrite(rollups.access_hours(changes.read("access_times")), "access_hours")
+
     owners = rollups.build_users(stored("directory_usage"), stored("directories"))
     # Known users keep their rows: the new ones are appended, nothing is rewritten.
     tables.append_table(tables.absent_rows(stored("users"), owners, ["uid"]), root, "users")
@@ -117,6 +132,7 @@ def finish(spark: SparkSession, root: str, as_of: str | datetime) -> None:
         lineage_layout(lineage, stored("directory_usage")), root, "directory_lineage"
     )
     tables.overwrite_table(closure_layout(stored("directory_lineage")), root, "directory_closure")
+    tables.overwrite_table(intervals_layout(stored("directory_lineage")), root, "directory_intervals")
 
     stats = rollups.directory_stats(stored("directory_lineage"), as_of_literal(as_of))
     tables.overwrite_table(stats, root, "directory_stats")

@@ -117,7 +117,7 @@ def apply_delta(spark: SparkSession, root: str, listing: DataFrame, as_of: str |
 
     Every listed directory was read anew: its stored entries that are not listed are removed, directories with
     all below them. What failed keeps its stored state. Files of directories that are not listed are
-    added or changed only. Known paths keep their ids, and a known directory its parent; unchanged rows keep
+    added or changed only. The numbers of directories in tree order are left to the next `finish`. Known paths keep their ids, and a known directory its parent; unchanged rows keep
     their `last_seen`. The result is that of a full build on the merged listing, in one version. A `run` that
     the ledger has is not applied again. Files without owner are an error, as in `finish`.
     """
@@ -200,12 +200,17 @@ def _apply(changes: Commit, listing: DataFrame, seen: Column) -> tuple[DataFrame
     access = materialise(signed_sums(changed, "owner_uid", "atime").where("atime IS NOT NULL AND (bytes <> 0 OR files <> 0)"), "access")
     _replace_sums(changes, "access_usage", ["owner_uid", "atime"], {"files": "files", "bytes": "bytes"}, access)
 
+    times = materialise(rollups.access_times(access), "times")
+    _replace_sums(changes, "access_times", ["atime"], {"files": "files", "bytes": "bytes"}, times)
+    _replace_sums(changes, "access_hours", ["hour"], {"files": "files", "bytes": "bytes"}, materialise(rollups.access_hours(times), "hours"))
+
     # the rows of the directories concerned: usage from their files, lists with their own totals
     left = all_files.where("op <> 'remove'").select("dir_id", F.coalesce("now", "was").alias("f")).select("dir_id", "f.*")
     usage = materialise(rollups.build_usage(left), "usage")
     own = materialise(rows_having(changes.read("directory_lineage"), "dir_id", touched).select("dir_id", "ancestors", "root_id").join(broadcast_if_small(removed), "dir_id", "left_anti").unionByName(new_lists), "own-lineage")
     changes.replace("directory_usage", touched, rollups.locate_usage(usage, own))
     changes.replace("directory_lineage", touched, rollups.with_direct_stats(own, usage))
+    changes.clear("directory_intervals")  # numbers of all later directories move: `finish` makes them anew
     changes.replace("directory_closure", removed.select(F.col("dir_id").alias("descendant_id")), closure_of(new_lists))
     uids = rollups.build_users(usage, now)
     changes.append(tables.absent_rows(changes.read("users"), uids, ["uid"]), "users")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dirgauge import functions as fx
 from dirgauge.operators import rollups, tables
 from dirgauge.operators.audit import audit
+from dirgauge.operators.intervals import subtree_sums
 from dirgauge.operators.tree import assign_ids, build_closure, max_id, resolve_tree
 from dirgauge.plans import build, reports
 from dirgauge.plans.delta import apply_delta
@@ -547,9 +548,7 @@ def _queries() -> dict[str, Callable[[OrderTree], DataFrame]]:
         "users_build": lambda t: rollups.build_users(t["files"], t["directories"]),
         "closure_build": lambda t: build_closure(t["directories"]),
         "direct_stats": lambda t: rollups.direct_stats(rollups.build_usage(t["files"])),
-        "subtree_stats": lambda t: rollups.subtree_stats(
-            t["ancestors"], rollups.build_usage(t["files"])
-        ),
+        "subtree_stats": lambda t: subtree_sums(t["directory_intervals"]),
         "directory_stats": lambda t: rollups.directory_stats(
             rollups.with_direct_stats(t["ancestors"], rollups.build_usage(t["files"])),
             as_of_literal(AS_OF, NTZ),

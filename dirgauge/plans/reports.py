@@ -201,13 +201,17 @@ def _by_quarter(access: DataFrame, as_of: str | datetime) -> DataFrame:
 def staleness(t: Tables, as_of: str | datetime, uid: int | None = None) -> DataFrame:
     """Files and bytes per quarter of last access, oldest first; of one user if `uid` is given.
 
-    All users: `files` as it is now. One user: the user's rows of `access_usage`, as of the last
-    `finish`; its times are exact, so the bounds are too.
+    As of the last `finish` or delta. One user: the user's rows of `access_usage`, whose times are exact. All
+    users: sums per hour, and exact times for the two hours that the bounds lie in; quarters begin with an hour.
     """
     if uid is not None:
         return _by_quarter(t["access_usage"].where(F.col("owner_uid") == uid), as_of)
-    files = t["files"].select("atime", F.lit(1).alias("files"), F.col("size_bytes").alias("bytes"))
-    return _by_quarter(files, as_of)
+    kind = t["access_times"].schema["atime"].dataType
+    first = F.date_trunc("hour", as_of_literal(EARLIEST_ATIME, kind)).cast(kind)
+    last = F.date_trunc("hour", as_of_literal(as_of, kind) + F.expr("INTERVAL 1 DAY")).cast(kind)
+    inside = t["access_hours"].where((F.col("hour") > first) & (F.col("hour") < last))
+    at_edge = (F.col("atime") < first + F.expr("INTERVAL 1 HOUR")) | (F.col("atime") >= last)
+    return _by_quarter(inside.withColumnRenamed("hour", "atime").unionByName(t["access_times"].where(at_edge)), as_of)
 
 
 def chart(points: DataFrame) -> DataFrame:
@@ -241,7 +245,14 @@ def user_summary(t: Tables, uid: int) -> DataFrame:
 
 
 def descendants(t: Tables, dir_id: int) -> DataFrame:
-    """Every directory at or below `dir_id` with its depth there."""
+    """Every directory at or below `dir_id` with its depth there: a range of the directories in tree order. Where
+    they are not numbered (after a delta), the closure pairs of `dir_id`."""
+    numbered = t["directory_intervals"]
+    own = numbered.where(F.col("dir_id") == dir_id).select("pre", "last", "depth").toArrow().to_pylist()  # one row or none
+    if own:
+        row = own[0]
+        below = numbered.where((F.col("pre") >= row["pre"]) & (F.col("pre") <= row["last"]))
+        return below.select("dir_id", (F.col("depth") - row["depth"]).cast("int").alias("depth"))
     return t["directory_closure"].where(F.col("ancestor_id") == dir_id).select(
         F.col("descendant_id").alias("dir_id"), "depth"
     )

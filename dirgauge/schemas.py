@@ -117,6 +117,21 @@ ACCESS_USAGE = T.StructType(
     ]
 )
 
+# The directories numbered in tree order (`operators/intervals.py`), and the access usage of all owners by exact
+# time and by hour.
+DIRECTORY_INTERVALS = T.StructType(
+    [T.StructField("dir_id", LONG), T.StructField("pre", LONG), T.StructField("last", LONG), T.StructField("depth", INT)]
+    + [T.StructField(c, LONG) for c in ("bytes_before", "bytes_through", "files_before", "files_through")]
+)
+
+ACCESS_TIMES = T.StructType(
+    [T.StructField("atime", TS), T.StructField("files", LONG), T.StructField("bytes", LONG)]
+)
+
+ACCESS_HOURS = T.StructType(
+    [T.StructField("hour", TS), T.StructField("files", LONG), T.StructField("bytes", LONG)]
+)
+
 # What ingest keeps: the directories by filesystem and path, the entries that were not stored, and what was
 # taken in (a run, or a batch of a staging folder with a fingerprint of its files).
 DIRECTORY_PATHS = T.StructType(
@@ -144,6 +159,9 @@ DERIVED_TABLES = {
     "directory_lineage": DIRECTORY_LINEAGE,
     "directory_usage": DIRECTORY_USAGE,
     "access_usage": ACCESS_USAGE,
+    "access_times": ACCESS_TIMES,
+    "access_hours": ACCESS_HOURS,
+    "directory_intervals": DIRECTORY_INTERVALS,
     "directory_paths": DIRECTORY_PATHS,
     "ingest_errors": INGEST_ERRORS,
     "ingest_ledger": INGEST_LEDGER,

@@ -76,6 +76,9 @@ class OrderTree(Mapping[str, DataFrame]):
             "ancestors": lambda: build_lineage(self["directories"]),
             "directory_usage": lambda: build.usage_layout(self["files"], self["ancestors"]),
             "access_usage": lambda: build.access_layout(self["files"]),
+            "access_times": lambda: build.times_layout(self["access_usage"]),
+            "access_hours": lambda: rollups.access_hours(self["access_times"]),
+            "directory_intervals": lambda: build.intervals_layout(self["directory_lineage"]),
             "directory_lineage": lambda: build.lineage_layout(
                 self["ancestors"], self["directory_usage"]
             ),

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from dirgauge.operators import rollups
+from dirgauge.operators.intervals import build_intervals
 from dirgauge.operators.tree import build_lineage, closure_of
 from dirgauge.schemas import DIRECTORIES, FILES, LISTING, USERS
 from dirgauge.session import as_of_literal
@@ -73,6 +74,13 @@ def listing(spark, *rows):
     return frame(spark, LISTING, [{"mtime": NOW, "nlink": 1, **dict(zip(names, r))} for r in rows])
 
 
+def aged(file_rows):
+    """The tables of times of last access."""
+    access = rollups.build_access(file_rows)
+    times = rollups.access_times(access)
+    return {"access_usage": access, "access_times": times, "access_hours": rollups.access_hours(times)}
+
+
 def inventory(spark, directories, file_rows, user_rows=None, runs=None):
     """All tables, the derived ones computed in memory."""
     ancestors = build_lineage(directories)
@@ -87,7 +95,8 @@ def inventory(spark, directories, file_rows, user_rows=None, runs=None):
         ),
         "directory_lineage": lineage,
         "directory_usage": usage,
-        "access_usage": rollups.build_access(file_rows),
+        **aged(file_rows),
+        "directory_intervals": build_intervals(lineage),
         "directory_closure": closure_of(lineage),
         "directory_stats": rollups.directory_stats(lineage, as_of_literal(AS_OF)),
         "user_stats": rollups.user_stats(usage),

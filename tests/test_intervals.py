@@ -1,0 +1,49 @@
+"""Numbers of directories in tree order against the lists of their ancestors."""
+
+import random
+from collections import defaultdict
+
+import pytest
+from helpers import AS_OF, dirs, files, inventory, rows
+
+from dirgauge.operators import intervals
+from dirgauge.plans import reports
+
+
+@pytest.mark.parametrize("block", [intervals.BLOCK, 7])
+def test_a_subtree_is_a_range_and_its_size_a_difference(spark, monkeypatch, block):
+    monkeypatch.setattr(intervals, "BLOCK", block)
+    rng = random.Random(block)
+    n = 150
+    parent = {i: None if i in (1, 60) else 999_999 if i == 90 else rng.randint(max(1, i - 12), i - 1) for i in range(1, n)}
+    parent[2] = 1
+    chain = {n + k: n + k - 1 if k else 5 for k in range(40)}
+    parent |= chain
+    sizes = [(k, rng.choice(list(parent)), rng.randint(0, 50), 1) for k in range(400)]
+    t = inventory(spark, dirs(spark, *[(i, f"/{i}", p) for i, p in parent.items()]), files(spark, *sizes))
+
+    def up(i):
+        while i in parent:
+            yield i
+            i = parent[i]
+
+    total, below = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for i in parent:
+        for depth, a in enumerate(up(i)):
+            below[a].add((i, depth))
+    for _, d, size, _ in sizes:
+        for a in up(d):
+            total[a][0] += size
+            total[a][1] += 1
+    numbered = rows(t["directory_intervals"], "dir_id", "pre", "last")
+    assert sorted(p for _, p, _ in numbered) == list(range(1, len(parent) + 1))
+    place = {d: p for d, p, _ in numbered}
+    assert {d: {x for x in place if p <= place[x] <= q} for d, p, q in numbered} == {a: {x for x, _ in s} for a, s in below.items()}
+    assert {d: [b, c] for d, b, c in rows(intervals.subtree_sums(t["directory_intervals"]))} == dict(total)
+    assert set(rows(reports.descendants(t, 5))) == below[5]
+
+
+def test_no_directories(spark):
+    t = inventory(spark, dirs(spark), files(spark))
+    assert t["directory_intervals"].isEmpty() and reports.descendants(t, 1).isEmpty()
+    assert reports.staleness(t, AS_OF).isEmpty()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from dirgauge.operators import joins
 from dirgauge.operators.joins import broadcast_if_small
+from dirgauge.operators.intervals import subtree_sums
 from dirgauge.plans import build, registry, reports
 from dirgauge.sources.order_tree import AS_OF, DEEP_DIR_ID, DIR_ID, UID, OrderTree
 
@@ -44,7 +45,8 @@ def test_no_products_and_no_python_in_plans(spark, no_automatic_broadcast, name)
         (lambda t: reports.user_dir_children(t, UID, DIR_ID), f"EqualTo(parent_id,{DIR_ID})"),
         (lambda t: reports.dir_children(t, DIR_ID), f"EqualTo(parent_id,{DIR_ID})"),
         (lambda t: reports.filesystems(t), "IsNull(parent_id)"),
-        (lambda t: reports.descendants(t, DIR_ID), f"EqualTo(ancestor_id,{DIR_ID})"),
+        (lambda t: reports.descendants(t, DIR_ID), "LessThanOrEqual(pre,"),
+        (lambda t: reports.descendants({**t, "directory_intervals": t["directory_intervals"].limit(0)}, DIR_ID), f"EqualTo(ancestor_id,{DIR_ID})"),
         (lambda t: reports.breadcrumb(t, DIR_ID), f"EqualTo(dir_id,{DIR_ID})"),
         (lambda t: reports.user_breakdown(t, UID), "EqualTo(uid,7)"),
         (lambda t: reports.user_summary(t, UID), "EqualTo(uid,7)"),
@@ -128,6 +130,12 @@ def test_point_lookups_skip_row_groups(spark, tmp_path, plain_plans):
     assert len(read) == 1 and 0 < read[0] < 0.9 * n, read
 
 
+def test_subtrees_are_ranges_without_pairs(t):
+    for df in (subtree_sums(t["directory_intervals"]), reports.descendants(t, DIR_ID)):
+        plan = plan_of(df)
+        assert "Generate" not in plan and "Exchange" not in plan and "Join" not in plan
+
+
 def test_closure_is_written_without_a_shuffle(t):
     from dirgauge.plans.build import closure_layout
 
@@ -153,6 +161,6 @@ def test_the_path_index_is_not_shuffled_to_find_parents(t, no_automatic_broadcas
 
 def test_scans_read_only_the_columns_needed(t):
     plan = plan_of(reports.staleness(t, AS_OF))
-    assert "ReadSchema: struct<size_bytes:bigint,atime:timestamp_ntz>" in plan
+    assert "inode" not in plan and "file_id" not in plan and "owner_uid" not in plan  # `files` is not read
     users = plan_of(reports.users(t).select(F.col("uid")))
     assert "last_mtime" not in users and "ancestors" not in users

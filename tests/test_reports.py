@@ -1,7 +1,7 @@
 from datetime import datetime
 
 import pytest
-from helpers import as_set, dirs, files, inventory, listing, rows, users
+from helpers import aged, as_set, dirs, files, inventory, listing, rows, users
 
 from dirgauge.plans import reports
 from dirgauge.sources.listing import classify, split_errors
@@ -89,7 +89,7 @@ def test_staleness_bounds_and_quarters(spark):
         datetime(2024, 1, 1),                       # in
     ]
     f = files(spark, *[(i, 1, 2**i, 7 if i else 8, None, at) for i, at in enumerate(times)])
-    got = rows(reports.staleness({"files": f}, MAY))
+    got = rows(reports.staleness(aged(f), MAY))
     assert got == [("2000 Q1", 1, 2), ("2023 Q4", 1, 32), ("2024 Q1", 1, 64), ("2024 Q2", 1, 4)]
     of_users = inventory(spark, dirs(spark, (1, "/r", None)), f)
     assert rows(reports.staleness(of_users, MAY, 8)) == []
