@@ -1,4 +1,4 @@
-"""Counting numbered n-grams per group, and cutting the counts to a bounded size."""
+"""Counting numbered n-grams per group."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from dirgauge.llm import words as W
 
@@ -44,15 +42,3 @@ def counter(grams: Callable[[pa.RecordBatch], np.ndarray]):
         yield from out()
 
     return run
-
-
-def cut_back(counts: DataFrame, most: int) -> DataFrame:
-    """The rows of `counts` whose n is at least the smallest power of two that leaves `most` at most."""
-    levels = counts.groupBy(F.floor(F.log2("n")).alias("level")).count().orderBy(F.desc("level")).collect()
-    total, least = 0, 1
-    for level, rows in levels:
-        if total + rows > most:
-            least = 2 ** (level + 1)
-            break
-        total += rows
-    return counts.where(F.col("n") >= least)

@@ -3,7 +3,7 @@
 A code point is one of 64 classes: lower-cased ASCII letters, digits together, blanks, a few marks one
 by one, the rest of ASCII together, other code points dealt to what is left. A model has the n-grams of
 ORDER classes and all shorter ones. Spark counts them and joins counts, context sums and lower
-probabilities shard by shard; 64 ** ORDER bounds what a language can have, MOST what is kept in all.
+probabilities shard by shard. 64 ** ORDER bounds what a language can have; no count is left out.
 """
 
 from __future__ import annotations
@@ -17,12 +17,10 @@ from pyspark.sql import functions as F
 
 from dirgauge.llm import reach
 from dirgauge.llm import words as W
-from dirgauge.llm.grams import counter, cut_back
+from dirgauge.llm.grams import counter
 from dirgauge.session import materialise
 
 ORDER, CLASSES, BITS = 4, 64, 6
-#: Most n-grams of the highest order in all models together.
-MOST = 2_000_000
 
 _ALONE = " \n.,#*$%&|<>"
 _OTHER = 26 + len(_ALONE) + 2
@@ -63,12 +61,12 @@ def grams(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def count(docs: DataFrame, most: int = MOST) -> DataFrame:
+def count(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) over all rows of `docs` (lang, text); NULL texts are left out, a NULL lang is ''."""
     reach(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text").where("text IS NOT NULL")
     parts = rows.mapInArrow(counter(lambda piece: grams(piece)[0]), "lang string, gram bigint, n bigint")
-    return cut_back(materialise(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ngrams"), most)
+    return materialise(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ngrams")
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -182,8 +180,8 @@ class SortedHashes:
 
 
 def share(model: DataFrame):
-    """A function that gives tasks the model. At most MOST rows of the highest order, and no more of any
-    lower, nor contexts, go through the driver and to each worker."""
+    """A function that gives tasks the model. At most CLASSES ** ORDER rows a language of the highest order, and
+    no more of any lower, nor contexts, go through the driver and to each worker."""
     spark = reach(model.sparkSession)
     held = spark.sparkContext.broadcast(model.toArrow())
     return lambda: SortedHashes(held.value)

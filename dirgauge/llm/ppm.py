@@ -20,12 +20,10 @@ from pyspark.sql import types as T
 
 from dirgauge.llm import reach
 from dirgauge.llm import words as W
-from dirgauge.llm.grams import counter, cut_back
+from dirgauge.llm.grams import counter
 from dirgauge.session import materialise
 
 ORDER = 3
-#: Most counts (context and byte) of all trees together, 12 bytes each: what every task holds.
-MAX_NODES = 4_000_000
 
 
 def _grams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,17 +38,13 @@ def _grams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grams, place
 
 
-def train(docs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
-    """Counts (lang, gram, n) over all rows of `docs` (text, lang) without NULL in either.
-
-    If there are more than `max_nodes`, the trees are cut back to the counts of at least the smallest
-    power of two that leaves so few; shorter contexts are made from what is left.
-    """
+def train(docs: DataFrame) -> DataFrame:
+    """Counts (lang, gram, n) over all rows of `docs` (text, lang) without NULL in either; none is left out."""
     reach(docs.sparkSession)
     rows = docs.select("text", F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     count = counter(lambda piece: _grams(*W.flat(W.column(piece, "text")))[0])
     parts = rows.mapInArrow(count, "lang string, gram bigint, n bigint")
-    return cut_back(materialise(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ppm"), max_nodes)
+    return materialise(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ppm")
 
 
 class Coder:
@@ -165,18 +159,18 @@ def _code(tree: list[dict[str, np.ndarray]], grams: np.ndarray) -> np.ndarray:
     return (bits + np.where(open_, np.log2(max(1, 256 - root)), 0)).astype(np.float32)
 
 
-def predict(docs: DataFrame, counts: DataFrame, keep: list[str], max_nodes: int = MAX_NODES) -> DataFrame:
+def predict(docs: DataFrame, counts: DataFrame, keep: list[str]) -> DataFrame:
     """One row per row of `docs` (text): `row` (a struct of the columns in `keep`), lang_pred, score, bits.
 
     score: the share of the winner's probability among all languages; ties go to the first by code
     point. Texts that are NULL or have no letter, and all texts if nothing was learned, are `und` with
     score 0. bits: code length per byte with the winner.
+
+    All counts go to every task, 12 bytes for each run of ORDER + 1 bytes that a language has. Their number
+    grows more slowly than the text, towards what a language spells; it is not cut.
     """
     spark = reach(docs.sparkSession)
-    table = counts.limit(max_nodes + 1).toArrow()
-    if table.num_rows > max_nodes:
-        raise ValueError(f"the trees have more than {max_nodes} counts")
-    held = spark.sparkContext.broadcast(table)
+    held = spark.sparkContext.broadcast(counts.toArrow())
     both = list(dict.fromkeys([*keep, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -120,6 +120,17 @@ def test_code_lengths_are_those_of_partial_matching(spark, docs):
         assert r.lang_pred == best and r.bits == pytest.approx(lengths[best] / len(data), rel=1e-4)
 
 
+def test_a_rare_language_keeps_its_counts(spark):
+    """Three French texts beside many English and German ones, with more counts than a bound of 5,000 would leave."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL")
+    few = docs.where("lang = 'fr'").orderBy("doc_id").limit(3)
+    trees = ppm.train(docs.where("lang IN ('en', 'de')").unionByName(few))
+    assert trees.count() > 5_000
+    rest = docs.where("lang = 'fr'").join(few.select("doc_id"), "doc_id", "left_anti")
+    found = ppm.predict(rest, trees, ["doc_id"])
+    assert found.where("lang_pred = 'fr'").count() > 0.9 * rest.count()
+
+
 def test_probabilities_of_a_context_sum_to_one(spark, docs):
     table = kneser_ney.fit(kneser_ney.count(docs)).toArrow()
     model = kneser_ney.SortedHashes(table)
