@@ -68,17 +68,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    docs = _table(spark, sf_dir, "documents").select(
-        "doc_id", sharding.text_bytes(text).alias("size"), sharding.text_crc32(text).alias("text_crc32")
-    )
-    placed = sharding.shuffle(docs, F.col("size"), F.xxhash64("size", "text_crc32"))
-    return placed.select(
-        "row.*",
+    sharded = sharding.shard(_table(spark, sf_dir, "documents"))
+    return sharded.select(
+        "doc_id",
+        sharding.text_bytes(F.col("text")).alias("size"),
+        sharding.text_crc32(F.col("text")).alias("text_crc32"),
         F.lit("key").alias("law"),
         "shard",
         "slot",
-        sharding.shard_of(F.col("row.doc_id"), 9).alias("grown_shard"),
+        sharding.shard_of(F.col("doc_id"), 9).alias("grown_shard"),
     )
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +184,21 @@ def test_sharding_is_stable_and_gapless(spark):
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
 
 
+def test_written_shards_hold_the_records_in_the_order_of_their_slots(spark, docs, tmp_path):
+    sharding.write_shards(sharding.shard(docs), str(tmp_path / "shards"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    seen = Counter()
+    for k in range(8):
+        parts = sorted((tmp_path / "shards" / f"shard={k}").glob("*.parquet"))
+        rows = [r for p in parts for r in pq.read_table(p, partitioning=None).to_pylist()]
+        assert [r["slot"] for r in rows] == list(range(len(rows)))
+        assert all(texts[r["doc_id"]] == r["text"] for r in rows)
+        seen.update(r["doc_id"] for r in rows)
+    assert seen == Counter(texts.keys())
+    by_query = {(r.doc_id, r.size, r.text_crc32) for r in queries.op7_sharding(spark, SMALL).collect()}
+    assert by_query == {(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in texts.items()}
+
+
 def test_rows_alike_that_overflow_a_bucket_are_spread(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 10)
     same = spark.range(200).select(F.lit(7).alias("doc_id"), F.lit("x").alias("text"))
