@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney models over character classes, one per language.
 
-A code point is one of 64 classes: lower-cased ASCII letters, digits together, blanks, a few marks one
-by one, the rest of ASCII together, other code points dealt to what is left. A model has the n-grams of
+A code point is one of 64 classes: small ASCII letters one by one, capitals together, digits together,
+blanks, a few marks one by one, the rest of ASCII together, other code points dealt to what is left. A model has the n-grams of
 ORDER classes and all shorter ones. Spark counts them and joins counts, context sums and lower
 probabilities shard by shard. 64 ** ORDER bounds what a language can have; no count is left out.
 """
@@ -23,11 +23,11 @@ from dirgauge.session import materialise
 ORDER, CLASSES, BITS = 4, 64, 6
 
 _ALONE = " \n.,#*$%&|<>"
-_OTHER = 26 + len(_ALONE) + 2
+_OTHER = 26 + len(_ALONE) + 3
 _CLASS = np.full(256, 26 + len(_ALONE) + 1, np.uint8)
 _CLASS[0x30:0x3A] = 26 + len(_ALONE)
-for _base in (0x41, 0x61):
-    _CLASS[_base : _base + 26] = np.arange(26)
+_CLASS[0x41:0x5B] = 26 + len(_ALONE) + 2
+_CLASS[0x61:0x7B] = np.arange(26)
 for _i, _mark in enumerate(_ALONE):
     _CLASS[ord(_mark)] = 26 + _i
 

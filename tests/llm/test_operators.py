@@ -143,6 +143,53 @@ def test_probabilities_of_a_context_sum_to_one(spark, docs):
         assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_code_lengths_are_those_of_modified_kneser_ney(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aabcd e,A1é") for _ in range(rng.randint(0, 60))) for _ in range(30)]
+    df = spark.createDataFrame([("x", t) for t in texts], "lang string, text string")
+    model = kneser_ney.SortedHashes(kneser_ney.fit(kneser_ney.count(df)).toArrow())
+    grams, at = kneser_ney.grams(pa.RecordBatch.from_pydict({"text": texts}))
+    digits = lambda g, n: tuple(int(g) >> 6 * k & 63 for k in reversed(range(n)))
+    counts = {4: Counter(digits(g, 4) for g in grams)}
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    discount = {}
+    for n, c in counts.items():
+        few = Counter(c.values())
+        y = few[1] / (few[1] + 2 * few[2]) if few[1] else 0
+        for i in (1, 2, 3):
+            whole = few[1] and few[2] and few[i]
+            discount[n, i] = max(0.05, min(i - 0.05, i - (i + 1) * y * few[i + 1] / few[i])) if whole else 0.5 * i
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / 64
+        same = {g: c for g, c in counts[n].items() if g[:-1] == gram[:-1]}
+        if not same:
+            return p(gram[1:])
+        freed = sum(discount[n, min(c, 3)] for c in same.values())
+        own = same.get(gram, 0)
+        return (own - (discount[n, min(own, 3)] if own else 0) + freed * p(gram[1:])) / sum(same.values())
+
+    tried = [int(g) for g in grams[:60]] + [rng.randrange(64**4) for _ in range(60)]
+    for g, bits in zip(tried, model.code(0, pa.array(tried).to_numpy()).tolist()):
+        assert bits == pytest.approx(-math.log2(p(digits(g, 4))), rel=1e-4)
+
+
+def test_perplexity_rejects_shouting_and_noise_and_keeps_clean_texts(spark):
+    rng = random.Random(7)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    sound = perplexity_rules.apply_rules(docs).where("NOT base_failed AND 50 * n_symbols < n_words").select("doc_id")
+    some = [(r.doc_id, r.text, r.lang) for r in docs.join(sound, "doc_id").orderBy("doc_id").collect()]
+    loud = [(10**6 + i, t.upper(), x) for i, t, x in some[::20]]
+    noise = [(2 * 10**6 + i, "".join(rng.sample(t, len(t))), x) for i, t, x in some[::40]]
+    out = perplexity_rules.apply_rules(docs.unionByName(spark.createDataFrame(loud + noise, docs.schema)))
+    kept = {r.doc_id: r.kept for r in out.where("NOT base_failed").collect()}
+    share = lambda rows: sum(kept.get(i, False) for i, _, _ in rows) / len(rows)
+    assert share(some) >= 0.97 and share(loud) <= 0.25 and share(noise) == 0
+
+
 def test_base_rules(spark, docs):
     for r in perplexity_rules.apply_rules(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
         w = plain_words(r.text)
