@@ -9,6 +9,7 @@ replace the old, and sums are updated on the way to the root.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -210,31 +211,31 @@ def recount(docs: DataFrame, ranks_path: str = RANKS) -> DataFrame:
 
 #: What the masking edits replace: addresses, and words with long runs of digits or capitals as keys have.
 MASKED = r"[\w.+-]+@[\w-]+\.[\w.]+|\S*(?:\d{5,}|[A-Z0-9]{12,})\S*"
+#: The same matches, tried only where one can begin: where a run or a word begins, or right after the match before.
+#: So the time is linear in the length of a word.
+_BEGINS = regex.compile(r"(?:\G|(?<![\w.+-]))[\w.+-]++@[\w-]++\.[\w.]+|(?:\G|(?<!\S))\S*(?:\d{5,}|[A-Z0-9]{12,})\S*", regex.ASCII)
+#: Without one of these there is no match.
+_HINT = re.compile(r"@|\d{5}|[A-Z0-9]{12}", re.ASCII)
+
+
+def masked_spans(text: str) -> list[tuple[int, int]]:
+    """Where `MASKED` matches in a text, from the left."""
+    return [m.span() for m in _BEGINS.finditer(text)] if _HINT.search(text) else []
 
 
 def masking_edits(docs: DataFrame, mask: str = "[masked]") -> DataFrame:
-    """`docs` (doc_id, text) with the edits that mask addresses and keys, last place first."""
-    parts = F.split("text", MASKED, -1)
-    found = F.regexp_extract_all("text", F.lit(f"({MASKED})"))
-    # after part i and i matches stands match i: running sums of the lengths of both
-    sizes = F.transform(F.arrays_zip(parts.alias("p"), found.alias("m")), lambda x: F.struct(F.length(x["p"]).cast("bigint").alias("p"), F.length(x["m"]).cast("bigint").alias("m")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(EDITS).alias("edits"))
-    folded = F.aggregate(
-        sizes,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + F.coalesce(x["p"], F.lit(0)) + F.coalesce(x["m"], F.lit(0))).alias("at"),
-            F.when(
-                x["m"].isNotNull(),
-                F.concat(
-                    F.array(F.struct((acc["at"] + x["p"]).alias("start"), (acc["at"] + x["p"] + x["m"]).alias("end"), F.lit(mask).alias("text"))),
-                    acc["edits"],
-                ),
-            )
-            .otherwise(acc["edits"])
-            .alias("edits"),
-        ),
-    )
-    none = F.array().cast(EDITS)
-    edits = F.when(F.size(found) > 0, folded["edits"]).otherwise(none)
-    return docs.select("doc_id", "text", F.coalesce(edits, none).alias("edits"))
+    """`docs` (doc_id, text) with the edits that mask addresses and keys, last place first.
+
+    NULL and empty texts have no edits. Rows are taken one by one: repeated rows give repeated rows, an
+    empty table an empty one, and other columns are left out.
+    """
+    reach(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[{"start": a, "end": b, "text": mask} for a, b in reversed(masked_spans(t or ""))] for t in W.column(batch, "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([W.column(batch, "doc_id"), W.column(batch, "text"), pa.array(found, kind)], names=["doc_id", "text", "edits"])
+
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["text"], T.StructField("edits", T.DataType.fromDDL(EDITS))])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
