@@ -391,7 +391,8 @@ def integrity_audit(t: OrderTree) -> DataFrame:
         as_of_literal(AS_OF, NTZ).alias("last_seen"),
     )
     owners = by_line.select(F.col("owner_uid").alias("uid")).distinct()
-    return audit({**{name: t[name] for name in tables.TABLES}, "files": by_line, "users": owners})
+    given = {name: t[name] for name in [*tables.TABLES, "directory_lineage"]}
+    return audit({**given, "files": by_line, "users": owners})
 
 
 def create_clear(t: OrderTree) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from dirgauge.operators import joins
+from dirgauge.operators import audit, joins
 from dirgauge.operators.joins import broadcast_if_small
 from dirgauge.operators.intervals import subtree_sums
 from dirgauge.plans import build, registry, reports
@@ -142,6 +142,13 @@ def test_closure_is_written_without_a_shuffle(t):
     assert "Exchange" not in plan_of(closure_layout(t["directory_lineage"]))
 
 
+def test_closure_pairs_are_not_shuffled_by_the_audit(t, no_automatic_broadcast):
+    plan = plan_of(audit.pair_sums(t["directory_closure"]))
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("partial_bit_xor")  # summed first
+    plan = plan_of(audit.repeated_pairs(t["directory_closure"], t["directory_lineage"]))
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan  # few are left to be grouped
+
+
 def test_broadcast_only_below_the_limit(spark, no_automatic_broadcast):
     big = spark.range(1000)
     few = spark.range(50).select("id")

@@ -5,7 +5,7 @@ from helpers import AS_OF, as_set, dirs, files, inventory, rows, users
 from pyspark.sql import functions as F
 
 from dirgauge.operators import rollups
-from dirgauge.operators.audit import audit
+from dirgauge.operators.audit import audit, duplicate_keys, repeated_pairs
 from dirgauge.operators.tree import build_lineage
 
 
@@ -117,6 +117,27 @@ def test_audit_of_sound_tables_is_empty(spark):
     assert audit(two_roots(spark)).count() == 0
 
 
+def test_repeated_closure_pairs_are_found_with_any_lineage(spark):
+    closure = two_roots(spark)["directory_closure"].select("ancestor_id", "descendant_id", "depth")
+    lineage = build_lineage(two_roots(spark)["directories"])
+    pair = lambda *r: spark.createDataFrame([r], closure.schema)
+    faults = {
+        "sound": (closure, set()),
+        "one twice": (closure.unionByName(pair(1, 3, 2)), {("1,3", 2)}),
+        "one three times": (closure.unionByName(pair(1, 3, 2)).unionByName(pair(1, 3, 5)), {("1,3", 3)}),
+        "one in place of another": (closure.where("NOT (ancestor_id = 2 AND descendant_id = 3)").unionByName(pair(1, 3, 2)), {("1,3", 2)}),
+        "one missing": (closure.where("NOT (ancestor_id = 2 AND descendant_id = 3)"), set()),
+        "unknown to the lineage": (closure.unionByName(pair(9, 9, 0)).unionByName(pair(9, 9, 0)), {("9,9", 2)}),
+        "nulls": (closure.unionByName(pair(None, 3, 0)).unionByName(pair(None, 3, 0)).unionByName(pair(1, None, 0)), set()),
+        "empty": (closure.limit(0), set()),
+    }
+    twice = F.when(F.col("dir_id") == 3, F.concat("ancestors", F.array(F.lit(1).cast("bigint")))).otherwise(F.col("ancestors"))
+    for other in (lineage, lineage.limit(0), lineage.where("dir_id <> 3"), lineage.withColumn("ancestors", twice), lineage.unionByName(lineage)):
+        for name, (pairs, expected) in faults.items():
+            found = as_set(repeated_pairs(pairs, other), "key", "n")
+            assert found == expected == as_set(duplicate_keys(pairs, "directory_closure"), "key", "n"), name
+
+
 def test_files_below_a_missing_parent_have_no_root(spark):
     d = dirs(spark, (2, "/a/b", 77), (3, "/a/b/c", 2))
     t = inventory(spark, d, files(spark, (1, 3, 10, 7)))
