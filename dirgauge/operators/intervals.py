@@ -8,7 +8,7 @@ those with `pre` in a range; pairs of an ancestor and a descendant are not neede
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dirgauge.operators.joins import broadcast_if_small
@@ -20,7 +20,7 @@ BLOCK = 1 << 16
 
 
 def build_intervals(lineage: DataFrame) -> DataFrame:
-    """dir_id, pre, last, depth, and bytes and files before the directory and through its subtree, from the lineage
+    """dir_id, pre, last, depth, parent_id (the next in the lineage), and bytes and files before the directory and through its subtree, from the lineage
     with its direct totals. Directories without a stored parent are tops, like roots.
 
     Rows are sorted in ranges and numbered by an offset per task; sums run within blocks of numbers and are
@@ -49,16 +49,24 @@ def build_intervals(lineage: DataFrame) -> DataFrame:
     ending = F.slice("ancestors", F.lit(1), F.col("depth") - F.col("next") + 1)
     ends = placed.select(F.explode(ending).alias("dir_id"), F.col("pre").alias("last"), "bytes_through", "files_through")
     starts = placed.select(
-        "dir_id", "pre", "depth", (F.col("bytes_through") - F.col("bytes")).alias("bytes_before"), (F.col("files_through") - F.col("files")).alias("files_before")
+        "dir_id", "pre", "depth", F.try_element_at("ancestors", F.lit(2)).alias("parent_id"), (F.col("bytes_through") - F.col("bytes")).alias("bytes_before"), (F.col("files_through") - F.col("files")).alias("files_before")
     )
-    return starts.join(ends, "dir_id").select("dir_id", "pre", "last", "depth", "bytes_before", "bytes_through", "files_before", "files_through")
+    return starts.join(ends, "dir_id").select("dir_id", "pre", "last", "depth", "parent_id", "bytes_before", "bytes_through", "files_before", "files_through")
 
 
 def subtree_sums(intervals: DataFrame) -> DataFrame:
     """Bytes and files at or below each directory that has any."""
-    held = intervals.where("files_through > files_before")
-    return held.select(
-        "dir_id",
+    return intervals.where("files_through > files_before").select("dir_id", *_differences())
+
+
+def _differences() -> list[Column]:
+    return [
         (F.col("bytes_through") - F.col("bytes_before")).alias("subtree_bytes"),
         (F.col("files_through") - F.col("files_before")).alias("subtree_count"),
-    )
+    ]
+
+
+def child_totals(intervals: DataFrame) -> DataFrame:
+    """parent_id, dir_id and the totals of every directory, 0 where there are none. Directories without a
+    stored parent have none here."""
+    return intervals.select("parent_id", "dir_id", *_differences())

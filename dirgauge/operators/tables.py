@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from dirgauge.functions import file_name
 from dirgauge.operators import versions
 from dirgauge.operators.tree import max_id
-from dirgauge.schemas import DERIVED_TABLES, TABLES
+from dirgauge.schemas import DERIVED_TABLES, FILE_INDEXES, TABLES
 from dirgauge.session import as_of_literal
 
 ALL_TABLES = {**TABLES, **DERIVED_TABLES}
+_STORED = {**ALL_TABLES, **FILE_INDEXES}
 
 # Columns looked up by value get a Parquet Bloom filter, so that a point filter skips row groups.
 LOOKUP_COLUMNS = {
@@ -24,18 +25,19 @@ LOOKUP_COLUMNS = {
     "directory_closure": ["ancestor_id"],
     "directory_paths": ["path"],
     "directory_intervals": ["dir_id"],
+    "child_totals": ["parent_id", "dir_id"],
 }
 
 
 def commit(spark: SparkSession, root: str, run: str | None = None) -> AbstractContextManager[versions.Commit]:
     """Changes to several tables that become visible together, at the end of the block."""
-    return versions.commit(spark, root, ALL_TABLES, lambda df, table, path: write_parquet(df, table, path, "error"), run)
+    return versions.commit(spark, root, _STORED, lambda df, table, path: write_parquet(df, table, path, "error"), run)
 
 
 def clear_tables(spark: SparkSession, root: str) -> None:
     """Empty every table."""
     with commit(spark, root) as changes:
-        for table in ALL_TABLES:
+        for table in _STORED:
             changes.clear(table)
 
 
@@ -43,7 +45,7 @@ def create_tables(spark: SparkSession, root: str) -> None:
     """Create the tables that do not exist yet; leave the others as they are. The tables of an inventory
     from before versions are taken over from their folders."""
     with commit(spark, root) as changes:
-        for table in ALL_TABLES:
+        for table in _STORED:
             if table not in changes.tables:
                 changes.clear(table)
                 if versions.names_in(spark, f"{changes.root}/{table}"):
@@ -52,13 +54,13 @@ def create_tables(spark: SparkSession, root: str) -> None:
 
 def read_table(spark: SparkSession, root: str, table: str, version: int | None = None) -> DataFrame:
     """A table as of a version, the latest if none is given."""
-    return versions.read_parts(spark, ALL_TABLES[table], versions.version(spark, root, version)["tables"].get(table, []))
+    return versions.read_parts(spark, _STORED[table], versions.version(spark, root, version)["tables"].get(table, []))
 
 
 def open_tables(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
     """All tables as of one version, the latest if none is given."""
     found = versions.version(spark, root, version)["tables"]
-    return {table: versions.read_parts(spark, schema, found.get(table, [])) for table, schema in ALL_TABLES.items()}
+    return {table: versions.read_parts(spark, schema, found.get(table, [])) for table, schema in _STORED.items()}
 
 
 def write_parquet(df: DataFrame, table: str, path: str, mode: str) -> None:
@@ -82,6 +84,25 @@ def append_table(df: DataFrame, root: str, table: str) -> None:
         changes.append(df, table)
 
 
+def file_maxima(stats: DataFrame) -> DataFrame:
+    """file (its name) and most, the largest subtree total in it, for each stored file of `stats`; NULL if it has no rows."""
+    names = [(f.rsplit("/", 1)[1],) for f in stats.inputFiles()]
+    held = stats.groupBy(F.col("_metadata.file_name").alias("file")) if names else None
+    every = stats.sparkSession.createDataFrame(names, "file string")
+    return every.withColumn("most", F.lit(None).cast("bigint")) if held is None else every.join(held.agg(F.max("subtree_bytes").alias("most")), "file", "left")
+
+
+def note_maxima(changes: versions.Commit) -> None:
+    """Bring `stats_maxima` in step with `directory_stats`: files that it has are not read again."""
+    schema, parts = _STORED["directory_stats"], changes.tables.get("directory_stats", [])
+    noted = {r["file"] for r in changes.read("stats_maxima").select("file").collect()}  # a row per stored file
+    present = {f.rsplit("/", 1)[1] for f in versions.read_parts(changes.spark, schema, parts).inputFiles()}
+    unread = [p for p in parts if not set(versions.names_in(changes.spark, p["folder"])) & noted]
+    new = file_maxima(versions.read_parts(changes.spark, schema, unread))
+    kept = changes.spark.createDataFrame([(f,) for f in sorted(noted & present)], "file string")
+    changes.overwrite(changes.read("stats_maxima").join(kept, "file", "left_semi").unionByName(new).coalesce(1), "stats_maxima")
+
+
 def append_inventory(
     changes: versions.Commit, directories: DataFrame, files: DataFrame, as_of: str | datetime
 ) -> tuple[DataFrame, DataFrame]:

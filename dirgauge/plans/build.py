@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dirgauge.operators import rollups, tables
-from dirgauge.operators.intervals import build_intervals
+from dirgauge.operators.intervals import build_intervals, child_totals
 from dirgauge.operators.tree import build_lineage, closure_of, max_id, number_rows, resolve_tree
 from dirgauge.operators.versions import Commit
 from dirgauge.schemas import INGEST_LEDGER
@@ -95,6 +95,16 @@ def intervals_layout(lineage: DataFrame) -> DataFrame:
     return build_intervals(lineage).repartitionByRange("pre").sortWithinPartitions("pre")
 
 
+def children_layout(intervals: DataFrame) -> DataFrame:
+    """`child_totals`, stored by parent: the children of a directory are in few row groups."""
+    return child_totals(intervals).repartitionByRange("parent_id", "dir_id").sortWithinPartitions("parent_id", "dir_id")
+
+
+def stats_layout(stats: DataFrame) -> DataFrame:
+    """`directory_stats`, largest totals first in each file, so that they share a row group."""
+    return stats.sortWithinPartitions(F.desc("subtree_bytes"))
+
+
 def lineage_layout(lineage: DataFrame, usage: DataFrame) -> DataFrame:
     """`directory_lineage`, stored in tree order."""
     return rollups.in_tree_order(rollups.with_direct_stats(lineage, usage))
@@ -135,7 +145,10 @@ def finish(spark: SparkSession, root: str, as_of: str | datetime) -> None:
     tables.overwrite_table(intervals_layout(stored("directory_lineage")), root, "directory_intervals")
 
     stats = rollups.directory_stats(stored("directory_lineage"), as_of_literal(as_of))
-    tables.overwrite_table(stats, root, "directory_stats")
+    with tables.commit(spark, root) as changes:
+        changes.overwrite(stats_layout(stats), "directory_stats")
+        tables.note_maxima(changes)
+        changes.overwrite(children_layout(changes.read("directory_intervals")), "child_totals")
 
     totals = materialise(rollups.user_stats(stored("directory_usage")), "user-stats")
     if not totals.where(F.col("uid").isNull()).isEmpty():

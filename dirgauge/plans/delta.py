@@ -180,8 +180,10 @@ def _apply(changes: Commit, listing: DataFrame, seen: Column) -> tuple[DataFrame
     lists = rows_having(changes.read("directory_lineage"), "dir_id", more.select("dir_id").distinct()).select("dir_id", "ancestors", "root_id")
     located = materialise(more.join(broadcast_if_small(lists.unionByName(new_lists)), "dir_id"), "located")
     at_self = F.col("pos") == 0
-    reached = located.select("bytes", "files", F.posexplode("ancestors").alias("pos", "dir_id")).groupBy("dir_id")
-    sums = reached.agg(
+    reached = located.select("bytes", "files", "ancestors", F.posexplode("ancestors").alias("pos", "dir_id"))
+    reached = reached.withColumn("parent_id", F.try_element_at("ancestors", F.col("pos") + 2))
+    sums = reached.groupBy("dir_id").agg(
+        F.max("parent_id").alias("parent_id"),
         F.sum(F.when(at_self, F.col("bytes")).otherwise(0)).alias("direct_bytes"),
         F.sum("bytes").alias("subtree_bytes"),
         F.sum(F.when(at_self, F.col("files")).otherwise(0)).alias("file_count"),
@@ -189,11 +191,16 @@ def _apply(changes: Commit, listing: DataFrame, seen: Column) -> tuple[DataFrame
     )
     totals = ["direct_bytes", "subtree_bytes", "file_count", "subtree_count"]
     zero = [F.lit(0).cast("bigint").alias(c) for c in totals]
-    sums = materialise(sums.unionByName(fresh.select("dir_id", *zero)).unionByName(removed.select("dir_id", *zero)).groupBy("dir_id").agg(*[F.sum(c).alias(c) for c in totals]), "sums")
+    known = sums.unionByName(fresh.select("dir_id", "parent_id", *zero)).unionByName(removed.select("dir_id", F.lit(None).cast("bigint").alias("parent_id"), *zero))
+    added = [F.max("parent_id").alias("parent_id"), *[F.sum(c).alias(c) for c in totals]]
+    sums = materialise(known.groupBy("dir_id").agg(*added), "sums")
     stats = rows_having(changes.read("directory_stats"), "dir_id", sums.select("dir_id"))
-    stats = stats.select("dir_id", *totals).unionByName(sums).groupBy("dir_id").agg(*[F.sum(c).alias(c) for c in totals])
-    stats = stats.join(broadcast_if_small(removed), "dir_id", "left_anti").withColumn("last_computed", seen)
+    stats = stats.select("dir_id", *totals).unionByName(sums, allowMissingColumns=True).groupBy("dir_id").agg(*added)
+    stats = materialise(stats.join(broadcast_if_small(removed), "dir_id", "left_anti").withColumn("last_computed", seen), "stats")
     changes.replace("directory_stats", sums.select("dir_id"), stats)
+    tables.note_maxima(changes)
+    if changes.tables.get("child_totals"):  # none in an inventory that was finished before this table was there
+        changes.replace("child_totals", sums.select("dir_id"), stats)
 
     owners = located.where("root_id IS NOT NULL").groupBy(F.col("owner_uid").alias("uid"), F.col("root_id").alias("dir_id")).agg(F.sum("bytes").alias("bytes"), F.sum("files").alias("files"))
     _replace_sums(changes, "user_stats", ["uid", "dir_id"], {"bytes": "total_bytes", "files": "file_count"}, materialise(owners, "owners"))

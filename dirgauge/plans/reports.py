@@ -22,7 +22,7 @@ from dirgauge.functions import (
     size_in_unit,
 )
 from dirgauge.functions.formats import local_time, report_header
-from dirgauge.operators.joins import broadcast_if_small, having_ids, if_few
+from dirgauge.operators.joins import MAX_PUSHED_IDS, broadcast_if_small, having_ids, if_few
 from dirgauge.operators.tree import assign_ids
 from dirgauge.session import as_of_literal
 
@@ -39,19 +39,23 @@ def _display_name() -> Column:
     return F.coalesce("username", F.col("uid").cast("string"))
 
 
-def _with_subtree(directories: DataFrame, stats: DataFrame) -> DataFrame:
-    """Directories with their totals.
+def _with_subtree(t: Tables, of_parent: Column) -> DataFrame:
+    """The directories whose parent fulfils `of_parent`, with their totals.
 
-    The ids of a few directories are pushed to the scan of the statistics. More are joined: only the
-    outer side of the join is known to be few, and only the inner side of it can be broadcast, so the
-    statistics are reduced to these directories first.
+    The ids of a few directories are pushed to the scan of the statistics. The totals of more come from the
+    table sorted by parent, with the same filter. Where it has none (an older inventory, a parent that is not
+    stored) the statistics are reduced to these directories: only the outer side of the join is known to be
+    few, and only the inner side of it can be broadcast.
     """
+    directories, stats = t["directories"].where(of_parent), t["directory_stats"]
     chosen = directories.select("dir_id", "path")
     totals = stats.select("dir_id", "subtree_bytes", "subtree_count")
     few = if_few(chosen.select("dir_id"))
     if few is not None:
         # `dir_id` is unique: no more rows than ids.
         totals = F.broadcast(having_ids(totals, "dir_id", few))
+    elif (by_parent := t.get("child_totals")) is not None and not by_parent.where(of_parent).isEmpty():
+        totals = broadcast_if_small(by_parent.where(of_parent).drop("parent_id"))
     else:
         totals = totals.join(broadcast_if_small(chosen.select("dir_id")), "dir_id", "left_semi")
     return chosen.join(totals, "dir_id", "left").select(
@@ -76,14 +80,12 @@ def _with_path(directories: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def filesystems(t: Tables) -> DataFrame:
     """Every root with its totals, by path."""
-    roots = t["directories"].where("parent_id IS NULL")
-    return _with_subtree(roots, t["directory_stats"]).orderBy("path")
+    return _with_subtree(t, F.col("parent_id").isNull()).orderBy("path")
 
 
 def dir_children(t: Tables, dir_id: int) -> DataFrame:
     """Subdirectories with their totals, largest first; empty ones are kept."""
-    children = t["directories"].where(F.col("parent_id") == dir_id)
-    return _with_subtree(children, t["directory_stats"]).orderBy(F.desc("subtree_bytes"), "path")
+    return _with_subtree(t, F.col("parent_id") == dir_id).orderBy(F.desc("subtree_bytes"), "path")
 
 
 def users(t: Tables) -> DataFrame:
@@ -279,10 +281,32 @@ def usage_by_username(t: Tables) -> DataFrame:
     )
 
 
+def holding_largest(t: Tables, n: int) -> DataFrame:
+    """The statistics, without files that cannot hold one of the `n` largest totals.
+
+    The files' maxima, largest first: the n-th is reached by n rows at least, so only files whose maximum is
+    no less are read, and only their row groups that reach it. All files stay where they are few, where ties
+    leave many, or where the maxima are not those of the stored files. File names come to the driver as in any scan.
+    """
+    stats, noted = t["directory_stats"], t.get("stats_maxima")
+    if noted is None or not (files := {f.rsplit("/", 1)[1] for f in stats.inputFiles()}):
+        return stats
+    most = {r["file"]: r["most"] for r in noted.collect() if r["file"] in files}
+    if len(most) < len(files):
+        return stats
+    order = sorted((m for m in most.values() if m is not None), reverse=True)
+    if not 0 < n < len(order):
+        return stats
+    chosen = [f for f, m in most.items() if m is not None and m >= order[n - 1]]
+    if len(chosen) > MAX_PUSHED_IDS:
+        return stats.where(F.col("subtree_bytes") >= order[n - 1])
+    return stats.where(F.col("_metadata.file_name").isin(chosen) & (F.col("subtree_bytes") >= order[n - 1]))
+
+
 def top_dirs(t: Tables, n: int = TOP_LIMIT) -> DataFrame:
     """The `n` directories with most bytes below them.
 
-    Only directories that reach the n-th largest size (ties included) are joined to their paths.
+    Files of the statistics that cannot hold one are not read. Only directories that reach the n-th largest size (ties included) are joined to their paths.
     Statistics without a directory do not count towards the n: where that leaves fewer than n, those
     with a directory are looked for first.
     """
@@ -298,7 +322,7 @@ def top_dirs(t: Tables, n: int = TOP_LIMIT) -> DataFrame:
             .limit(n)
         )
 
-    found = largest(stats)
+    found = largest(holding_largest(t, n).select(*stats.columns))
     if found.count() == n:
         return found
     return largest(stats.join(t["directories"].select("dir_id"), "dir_id", "left_semi"))

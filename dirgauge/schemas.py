@@ -121,9 +121,17 @@ ACCESS_USAGE = T.StructType(
 # time and by hour.
 DIRECTORY_INTERVALS = T.StructType(
     [T.StructField("dir_id", LONG), T.StructField("pre", LONG), T.StructField("last", LONG), T.StructField("depth", INT)]
+    + [T.StructField("parent_id", LONG)]
     + [T.StructField(c, LONG) for c in ("bytes_before", "bytes_through", "files_before", "files_through")]
 )
 
+# The totals of directories by their parent, and the largest total in each stored file of `directory_stats`.
+CHILD_TOTALS = T.StructType(
+    [T.StructField(c, LONG) for c in ("parent_id", "dir_id", "subtree_bytes", "subtree_count")]
+)
+
+STATS_MAXIMA = T.StructType([T.StructField("file", STR), T.StructField("most", LONG)])
+
 ACCESS_TIMES = T.StructType(
     [T.StructField("atime", TS), T.StructField("files", LONG), T.StructField("bytes", LONG)]
 )
@@ -162,11 +170,15 @@ DERIVED_TABLES = {
     "access_times": ACCESS_TIMES,
     "access_hours": ACCESS_HOURS,
     "directory_intervals": DIRECTORY_INTERVALS,
+    "child_totals": CHILD_TOTALS,
     "directory_paths": DIRECTORY_PATHS,
     "ingest_errors": INGEST_ERRORS,
     "ingest_ledger": INGEST_LEDGER,
 }
 
+# What describes stored files, not entries of the inventory: it differs from write to write.
+FILE_INDEXES = {"stats_maxima": STATS_MAXIMA}
+
 PRIMARY_KEYS = {
     "users": ["uid"],
     "directories": ["dir_id"],

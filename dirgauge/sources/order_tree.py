@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dirgauge.operators import rollups
+from dirgauge.operators import rollups, tables
 from dirgauge.operators.tables import write_parquet
 from dirgauge.operators.tree import build_lineage
 from dirgauge.plans import build
@@ -83,7 +83,10 @@ class OrderTree(Mapping[str, DataFrame]):
                 self["ancestors"], self["directory_usage"]
             ),
             "directory_closure": lambda: build.closure_layout(self["directory_lineage"]),
-            "directory_stats": lambda: rollups.directory_stats(self["directory_lineage"], _utc(AS_OF)),
+            "directory_stats": lambda: build.stats_layout(
+                rollups.directory_stats(self["directory_lineage"], _utc(AS_OF))
+            ),
+            "stats_maxima": lambda: tables.file_maxima(self["directory_stats"]).coalesce(1),
             "user_stats": lambda: rollups.user_stats(self["directory_usage"]),
         }
 
