@@ -389,6 +389,27 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert out == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(100)}}
 
 
+@pytest.mark.parametrize("held, stored", [(100_000, 1), (40, 3)])
+def test_few_edges_are_contracted_at_once(spark, monkeypatch, held, stored):
+    rng, labels = random.Random(3), []
+    edges = [(i, i + 1) for i in range(0, 300) if i % 50] + [(1000, 1000 + i) for i in range(60)] + [(rng.randint(2000, 2100), rng.randint(2000, 2100)) for _ in range(90)]
+    frame = spark.createDataFrame([(f"{a:05}".encode(), f"{b:05}".encode()) for a, b in edges], "a binary, b binary").repartition(7)
+    store = components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, label: (labels.append(label), store(df, label))[1])
+    monkeypatch.setattr(components, "HELD", held)
+    out = {int(a): int(b) for a, b in components.components(frame).collect()}
+    parent = {}
+    for a, b in edges:
+        for x in (a, b):
+            parent.setdefault(x, x)
+    for _ in range(300):
+        for a, b in edges:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    touched = {x for a, b in edges if a != b for x in (a, b)}
+    assert out == {x: parent[x] for x in touched}
+    assert len(labels) == 1 if stored == 1 else len(labels) >= stored
+
+
 def test_token_trees_follow_any_edit():
     counter, rng = token_counts.Counter.of(token_counts.RANKS), random.Random(3)
     signs = "ab C1\n é.'s  "
