@@ -5,9 +5,10 @@ the least within REACH words on both sides. A passage that two texts share is cu
 for REACH words at its ends, wherever it stands, so a passage of 50 words has whole paragraphs of its
 own. Paragraphs have 6 to about 30 words, at the ends of a text also fewer; those under MIN_WORDS have no
 whole shingle and are left out. A passage is a run of neighbouring paragraphs that each have a like; it counts
-from MIN_RUN words on, so that a common phrase is none. The set of a paragraph is its five-word shingles. Bands are tuned for high recall: a set of fewer than 10 shingles
-has one band, the whole set (it can reach 0.8 with little else); larger sets have BANDS bands of ROWS
-minima, which find a pair of similarity 0.8 with probability 0.997. Copies of a set share one id, so
+from MIN_RUN words on, so that a common phrase is none. The set of a paragraph is its five-word shingles. Bands are tuned for high recall: sets of BANDED
+shingles or more have BANDS bands of ROWS minima, which find a pair of similarity 0.8 with probability 0.997. A smaller
+set, and a larger one that a smaller may be like, have a band for each of their least shingles that a pair may share first
+(a prefix filter by hash), so no pair with a small set is lost. Copies of a set share one id, so
 only different sets are paired; sets of a band that holds too many go to an exact prefix-filter join.
 Pairs are verified by exact Jaccard similarity and clustered.
 """
@@ -73,9 +74,15 @@ class _Paragraphs:
         self.values, self.at = W.shingles(W.Words(words.hashes[index], words.starts[index], words.ends[index], offsets), SHINGLE)
         self.ids = W.mix(np.add.reduceat(W.mix(self.values), self.at[:-1])) if len(start) else np.empty(0, np.uint64)
 
-    def bands(self) -> tuple[np.ndarray, np.ndarray]:
+    def matched(self, percent: int) -> np.ndarray:
+        """The paragraphs that another set can be like: one shingle more would leave them alike."""
+        n = np.diff(self.at)
+        return np.flatnonzero((n >= BANDED) | (100 * n >= percent * (n + 1)))
+
+    def bands(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Key and paragraph of every band."""
-        wide = np.flatnonzero(np.diff(self.at) >= BANDED)
+        n = np.diff(self.at)
+        wide = np.flatnonzero(n >= BANDED)
         keys, owners = [self.ids], [np.arange(len(self.ids))]
         if len(wide):
             for b in range(BANDS):
@@ -85,23 +92,34 @@ class _Paragraphs:
                     key = W.mix(key * np.uint64(0x9E3779B97F4A7C15) + least[wide])
                 keys.append(key)
                 owners.append(wide)
+        shared = -(-percent * n // 100)  # with any set that is alike; the least of a partner's size, too
+        small = self.matched(percent)
+        small = small[shared[small] < BANDED]
+        count = (n - shared + 1)[small]
+        first = np.repeat(self.at[:-1][small] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        keys.append(W.mix(self.values[first] + np.uint64(BANDS + 1)))
+        owners.append(np.repeat(small, count))
         return np.concatenate(keys), np.concatenate(owners)
 
 
-def _emit_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit_bands(percent: int):
     """(key, id, n): n of the band that is the whole set counts paragraphs; 0 in the others."""
-    for batch in batches:
-        for piece in W.pieces(batch, "text"):
-            found = _Paragraphs(piece)
-            key, owner = found.bands()
-            pair = np.stack([key.view(np.int64), found.ids[owner].view(np.int64)], 1)
-            n = np.zeros(len(pair), np.int64)
-            n[: len(found.ids)] = 1
-            order = np.lexsort((pair[:, 1], pair[:, 0]))
-            pair, n = pair[order], n[order]
-            first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]).any(1))[: len(pair)])
-            n = np.add.reduceat(n, first) if len(first) else n
-            yield pa.RecordBatch.from_arrays([pa.array(pair[first, 0]), pa.array(pair[first, 1]), pa.array(n)], names=["key", "id", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in W.pieces(batch, "text"):
+                found = _Paragraphs(piece)
+                key, owner = found.bands(percent)
+                pair = np.stack([key.view(np.int64), found.ids[owner].view(np.int64)], 1)
+                n = np.zeros(len(pair), np.int64)
+                n[: len(found.ids)] = 1
+                order = np.lexsort((pair[:, 1], pair[:, 0]))
+                pair, n = pair[order], n[order]
+                first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]).any(1))[: len(pair)])
+                n = np.add.reduceat(n, first) if len(first) else n
+                yield pa.RecordBatch.from_arrays([pa.array(pair[first, 0]), pa.array(pair[first, 1]), pa.array(n)], names=["key", "id", "n"])
+
+    return run
 
 
 def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,13 +164,19 @@ def _found(a: np.ndarray, b: np.ndarray, far: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), far))], names=["a", "b", "far"])
 
 
-def _emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in W.pieces(batch, "text"):
-            found = _Paragraphs(piece)
-            wide = np.flatnonzero(np.diff(found.at) >= BANDED)
-            lists = pa.ListArray.from_arrays(pa.array(found.at, pa.int32()), pa.array(found.values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(found.ids[wide].view(np.int64)), lists.take(pa.array(wide))], names=["id", "shingles"])
+def _emit_sets(percent: int):
+    """(id, shingles) of the paragraphs that another set can be like, each set once a piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in W.pieces(batch, "text"):
+                found = _Paragraphs(piece)
+                rows = found.matched(percent)
+                rows = rows[np.unique(found.ids[rows], return_index=True)[1]]
+                lists = pa.ListArray.from_arrays(pa.array(found.at, pa.int32()), pa.array(found.values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(found.ids[rows].view(np.int64)), lists.take(pa.array(rows))], names=["id", "shingles"])
+
+    return run
 
 
 def _emit_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,13 +221,13 @@ def repeated_passages(docs: DataFrame, percent: int = 80, min_run: int = MIN_RUN
     reach(docs.sparkSession)
     texts = docs.select("text").where("text IS NOT NULL")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bands = texts.mapInArrow(_emit_bands, "key bigint, id bigint, n bigint")
+    bands = texts.mapInArrow(_emit_bands(percent), "key bigint, id bigint, n bigint")
     bands = bands.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
     found = materialise(bands.mapInArrow(_pair_up, "a bigint, b bigint, far boolean").distinct(), "passages")
     pairs = found.where("a <> b")
     ends = found.where("a <> b OR far").select(F.explode(F.array("a", "b")).alias("id"))
     ends = materialise(ends.distinct(), "passage-ends")
-    sets = texts.mapInArrow(_emit_sets, "id bigint, shingles array<bigint>").join(ends, "id", "left_semi")
+    sets = texts.mapInArrow(_emit_sets(percent), "id bigint, shingles array<bigint>").join(ends, "id", "left_semi")
     sets = materialise(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "passage-sets")
     near = materialise(_confirmed(pairs, sets, percent), "passage-links")
     groups = materialise(components(near), "passage-groups")
