@@ -171,3 +171,12 @@ def test_scans_read_only_the_columns_needed(t):
     assert "inode" not in plan and "file_id" not in plan and "owner_uid" not in plan  # `files` is not read
     users = plan_of(reports.users(t).select(F.col("uid")))
     assert "last_mtime" not in users and "ancestors" not in users
+
+
+def test_parts_of_a_listing_are_written_without_a_sort(spark, t):
+    """Whole rows were sorted by the column that the folders are named by: a task held its share of the listing."""
+    parts = t["listing"].select("path", "size_bytes", "entry_type")
+    parts.limit(0).write.partitionBy("entry_type").saveAsTable("parts_unsorted")
+    parts.createOrReplaceTempView("listed_parts")
+    plan = spark.sql("EXPLAIN INSERT INTO parts_unsorted SELECT * FROM listed_parts").first()[0]
+    assert "InsertIntoHadoopFsRelationCommand" in plan and "Sort" not in plan
