@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 def normal_path(path: Column) -> Column:
     """Without repeated and trailing slashes, the root directory apart."""
-    single = F.when(path.contains("//"), F.regexp_replace(path, "/+", "/")).otherwise(path)
-    return F.when(single == "/", single).when(single.endswith("/"), F.rtrim(single, F.lit("/"))).otherwise(single)
+    single = F.regexp_replace(path, "/+", "/")
+    tidied = F.when(single == "/", single).otherwise(F.rtrim(single, F.lit("/")))
+    return F.when(path.contains("//") | (path.endswith("/") & (path != "/")), tidied).otherwise(path)
 
 
 def last_segment(path: Column) -> Column:
@@ -25,7 +26,8 @@ def base_name(path: Column) -> Column:
 
 def file_name(path: Column) -> Column:
     """Final component of a path; '' where there is none ('/', '.', '..')."""
-    name = last_segment(F.regexp_replace(path, r"(/\.?)+\z", ""))
+    ends = F.regexp_replace(path, r"(/\.?)+\z", "")
+    name = last_segment(F.when(path.endswith("/") | path.endswith("/."), ends).otherwise(path))
     return F.when(name.isin(".", ".."), F.lit("")).otherwise(name)
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dirgauge.functions import last_segment, normal_path, parent_path
+from dirgauge.functions import normal_path, parent_path
 from dirgauge.operators.joins import broadcast_if_small, heavy_keys, lookup_join
 from dirgauge.schemas import LISTING
 from dirgauge.session import as_of_literal, materialise
@@ -84,8 +84,7 @@ def failure(listing: DataFrame) -> Column:
 
 def _is_self(path: Column) -> Column:
     """Whether a path is the '.' or '..' entry of a directory; a root may be given by such a name."""
-    name = last_segment(path)
-    return name.isin(".", "..") & (name != path)
+    return path.endswith("/.") | path.endswith("/..")
 
 
 def stage_entries(listing: DataFrame, path: str) -> tuple[DataFrame, Row]:
@@ -96,14 +95,14 @@ def stage_entries(listing: DataFrame, path: str) -> tuple[DataFrame, Row]:
     """
     tidy = normal_path(F.col("path"))
     part = F.when(F.col("kind").isNotNull(), "failed").when(F.col("entry_type").isin("l", "s") | _is_self(tidy), "skipped")
-    seen = Observation()
     parts = ("d", "f", "failed", "skipped")
     rows = listing.withColumn("kind", failure(listing)).withColumn("part", part.otherwise(F.col("entry_type")))
     rows = rows.withColumn("path", F.when(F.col("kind").isNull(), tidy).otherwise(F.col("path"))).drop("error_kind")
-    rows = rows.observe(seen, F.count("*").alias("listed"), *[F.count_if(F.col("part") == p).alias(p) for p in parts])
-    schema = T.StructType(rows.schema.fields)
     rows.write.partitionBy("part").parquet(path)
-    return listing.sparkSession.read.schema(schema).parquet(path), Row(**seen.get)
+    stored = listing.sparkSession.read.schema(T.StructType(rows.schema.fields)).parquet(path)
+    # rows are counted as stored: file footers tell, no column is read
+    held = {r["part"]: r["count"] for r in stored.groupBy("part").count().collect()}
+    return stored, Row(listed=sum(held.values()), **{p: held.get(p, 0) for p in parts})
 
 
 def split_repeated_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,3 +1,4 @@
+import re
 from datetime import datetime, timezone
 
 import pytest
@@ -108,3 +109,20 @@ def test_as_of_accepts_zones(spark):
 @pytest.mark.parametrize("unit,size", [("B", 2048.0), ("KB", 2.0), ("MB", 2 / 1024), ("GB", 2 / 1024**2)])
 def test_units(spark, unit, size):
     assert values(spark, "bigint", [2048], fx.size_in_unit(F.col("x"), unit)) == [size]
+
+
+def test_paths_that_are_in_order_meet_no_regular_expression(spark):
+    """Only paths that a pattern can change go through it; all others are tested for their ends."""
+    odd = ["/", "//", "///", "a", "", ".", "..", "/.", "a/.", "a/..", "/a//b/", "/a/b/./", "/a/b//.", "a/.b", "a/b..", "/a/b", None]
+    df = spark.createDataFrame([(p,) for p in odd], "path string")
+    got = df.select("path", fx.normal_path(F.col("path")).alias("normal"), fx.file_name(F.col("path")).alias("name")).collect()
+    for path, normal, name in got:
+        if path is None:
+            assert normal is None and name is None
+            continue
+        single = re.sub("/+", "/", path)
+        assert normal == (single if single == "/" else single.rstrip("/"))
+        last = re.sub(r"(/\.?)+\Z", "", path).rsplit("/", 1)[-1]
+        assert name == ("" if last in (".", "..") else last)
+    plan = df.select(fx.file_name(F.col("path")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN (EndsWith(path, /) OR EndsWith(path, /.)) THEN regexp_replace" in re.sub(r"#\d+", "", plan)
