@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from dirgauge import session
 from dirgauge.operators import audit, joins
 from dirgauge.operators.joins import broadcast_if_small
 from dirgauge.operators.intervals import subtree_sums
@@ -180,3 +181,17 @@ def test_parts_of_a_listing_are_written_without_a_sort(spark, t):
     parts.createOrReplaceTempView("listed_parts")
     plan = spark.sql("EXPLAIN INSERT INTO parts_unsorted SELECT * FROM listed_parts").first()[0]
     assert "InsertIntoHadoopFsRelationCommand" in plan and "Sort" not in plan
+
+
+def test_task_sizes_are_lowered_and_smaller_ones_stay(spark):
+    kept = {setting: spark.conf.get(setting) for setting in session.TASK_BYTES}
+    try:
+        for given, want in (("1g", None), ("128MB", None), ("2m", "2m")):
+            for setting, most in session.TASK_BYTES.items():
+                spark.conf.set(setting, given)
+            session.configure(spark)
+            for setting, most in session.TASK_BYTES.items():
+                assert spark.conf.get(setting) == (want or str(most))
+    finally:
+        for setting, value in kept.items():
+            spark.conf.set(setting, value)
