@@ -15,7 +15,7 @@ from dirgauge.llm import reach
 
 SEED = 11
 #: What one bucket holds, about.
-BUCKET_ROWS, BUCKET_BYTES = 20_000, 16 << 20
+BUCKET_ROWS, BUCKET_BYTES = 20_000, 4 << 20
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from dirgauge import llm
-from dirgauge.llm import near_dups
+from dirgauge.llm import near_dups, sharding
 
 
 def test_workers_get_small_batches_and_give_memory_back(spark):
@@ -35,3 +35,10 @@ def test_smaller_batches_stay_and_do_not_change_components(spark):
     finally:
         spark.conf.set(setting, before)
     assert found[0] == found[1] and len({r[2] for r in found[0]}) == 40
+
+
+def test_a_bucket_is_no_more_than_a_batch(spark):
+    assert sharding.BUCKET_BYTES <= llm.BATCH_BYTES
+    docs = spark.range(12).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), 1 << 20).alias("text"))
+    out = sharding.shard(docs, 1).select("doc_id", "slot").collect()
+    assert sorted(r.slot for r in out) == sorted(r.doc_id for r in out) == list(range(12))
