@@ -88,3 +88,24 @@ def test_a_long_text_is_read_whole(spark):
     text = "word word. " * 40_000 + "\n" + "no end of a sentence\n" * 5_000 + "Released under\nthe MIT License."
     docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
     assert [(r.doc_id, r.paragraph, len(r.hits)) for r in licences.candidates(docs, licences.Templates(spark)).collect()] == [(1, 1, 4)]
+
+
+def test_every_paragraph_teaches(spark):
+    """Background is all different paragraphs that are no candidates, once each, however many there are."""
+    templates = licences.Templates(spark)
+    classes = sorted(set(templates.families)) + ["unknown"]
+    docs = spark.range(9_000).selectExpr("id AS doc_id", "concat('The reader of day ', id, ' waits.\nLine ', id % 50, ' is repeated.\nAll rights reserved.') AS text")
+    rows = licences._background(licences.sifted(docs, templates).where("NOT candidate"), [["terms", "of", "the"], ["version", "2.0"]], templates, classes).collect()
+    unknown = [r for r in rows if r.label == len(classes) - 1]
+    assert sum(r.weight for r in unknown) == 2 * (9_000 + 50)
+    assert all(r.aside is False for r in rows if r.label != len(classes) - 1)
+    made = sum(r.weight for r in rows if r.label != len(classes) - 1)
+    assert 0.2 * 9_050 < made < 0.3 * 9_050
+    vocabulary = {" ".join(w[i : i + n]) for w in templates.words for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+    assert all(set(r.grams) <= vocabulary and len(set(r.grams)) == len(r.grams) for r in rows)
+
+
+def test_one_pass_finds_what_training_and_scanning_find(spark, scanned):
+    docs, rows = scanned
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    assert {(r.doc_id, r.paragraph, r.family) for r in licences.find(frame).collect()} == {(r.doc_id, r.paragraph, r.family) for r in rows}
