@@ -152,6 +152,10 @@ class OrderTree(Mapping[str, DataFrame]):
         )
 
     def _files(self) -> DataFrame:
+        return self._items().drop("l_orderkey")
+
+    def _items(self) -> DataFrame:
+        """The files with the order they belong to, dealt out by it."""
         in_order = Window.partitionBy("l_orderkey").orderBy(
             "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
             "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
@@ -159,6 +163,7 @@ class OrderTree(Mapping[str, DataFrame]):
         item = self.raw("lineitem").withColumn("seq", F.row_number().over(in_order).cast("bigint"))
         file_id = F.col("l_orderkey") * 1000 + F.col("seq")
         return item.select(
+            "l_orderkey",
             file_id.alias("file_id"),
             (F.lit(ORDER_BASE) + F.col("l_orderkey")).alias("dir_id"),
             F.concat(F.lit("item-"), F.col("seq").cast("string")).alias("filename"),
@@ -207,7 +212,9 @@ class OrderTree(Mapping[str, DataFrame]):
 
         zero, part = F.lit(0), F.col("p_partkey")
         dirs = self["directories"]
-        placed = self["files"].join(dirs.select("dir_id", "path"), "dir_id")
+        # files are joined as they are dealt out to number them: stored ones would be shuffled once more
+        order = dirs.where(F.col("dir_id") >= ORDER_BASE).select((F.col("dir_id") - ORDER_BASE).alias("l_orderkey"), "path")
+        placed = self._items().join(order, "l_orderkey")
         return (
             entries(
                 dirs,
