@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from dirgauge.llm import reach
+from dirgauge.operators.joins import broadcast_if_small
+from dirgauge.session import materialise
 
 SEED = 11
 #: What one bucket holds, about.
@@ -49,10 +51,10 @@ def shuffle(docs: DataFrame, size: Column, content: Column, shards: int = 8, see
     buckets = [1] * shards
     for t in totals:
         buckets[t["shard"]] = max(1, math.ceil(t["rows"] / BUCKET_ROWS), math.ceil((t["bytes"] or 0) / BUCKET_BYTES))
-    alike = narrow.groupBy("draw").count().where(F.col("count") > BUCKET_ROWS)
+    alike = materialise(narrow.groupBy("draw").count().where(F.col("count") > BUCKET_ROWS), "alike")
     if not alike.isEmpty():
         rows = rows.withColumn("place", F.monotonically_increasing_id())
-        rows = rows.join(alike, "draw", "left").withColumn(
+        rows = rows.join(broadcast_if_small(alike), "draw", "left").withColumn(
             "scatter", F.when(F.col("count").isNotNull(), F.xxhash64("draw", "place")).otherwise(F.xxhash64("draw"))
         )
     else:
@@ -62,17 +64,18 @@ def shuffle(docs: DataFrame, size: Column, content: Column, shards: int = 8, see
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("shard", "bucket").count()
     offsets = offsets.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    rows = rows.join(offsets, ["shard", "bucket"])  # before the groups are made, which then need no second shuffle
 
     def arrange(table: pa.Table) -> pa.Table:
         n = table.num_rows
         shard, bucket = table.column("shard")[0].as_py(), table.column("bucket")[0].as_py()
         order = np.argsort(table.column("draw").to_numpy(), kind="stable")
         order = order[_fisher_yates(n, seed, shard, bucket)]
-        return table.take(pa.array(order)).select(["row", "shard", "bucket"]).append_column("position", pa.array(np.arange(n)))
+        slots = table.column("offset")[0].as_py() + np.arange(n)
+        return table.take(pa.array(order)).select(["row", "shard"]).append_column("slot", pa.array(slots))
 
-    schema = T.StructType([rows.schema["row"], T.StructField("shard", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("position", T.LongType())])
-    shuffled = rows.groupBy("shard", "bucket").applyInArrow(arrange, schema)
-    return shuffled.join(offsets, ["shard", "bucket"]).select("row", "shard", (F.col("offset") + F.col("position")).alias("slot"))
+    schema = T.StructType([rows.schema["row"], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    return rows.groupBy("shard", "bucket").applyInArrow(arrange, schema)
 
 
 def text_bytes(text: Column) -> Column:

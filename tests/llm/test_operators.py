@@ -253,6 +253,22 @@ def test_rows_alike_that_overflow_a_bucket_are_spread(spark, monkeypatch):
     assert len(out) == 200 and sorted(r.slot for r in out) == list(range(200))
 
 
+def test_texts_are_shuffled_once(spark, docs, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 10)
+    same = docs.unionByName(spark.range(200).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (docs, same):
+            plan = sharding.shard(rows)._jdf.queryExecution().executedPlan().toString()
+            moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+            assert "Exchange" not in plan.split("FlatMapGroupsInArrow")[0]
+            assert not any("hashpartitioning(draw" in line for line in moved)
+            assert len({(r.shard, r.slot) for r in sharding.shard(rows).collect()}) == rows.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_licences(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
