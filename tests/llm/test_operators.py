@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -201,6 +202,33 @@ def test_base_rules(spark, docs):
         assert r.base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w)) and not (r.base_failed and r.kept)
 
 
+@pytest.mark.parametrize("piece_bytes", [kneser_ney.PIECE_BYTES, 3_000])
+def test_scores_by_joins_are_those_of_the_whole_model(spark, docs, odd, monkeypatch, piece_bytes):
+    monkeypatch.setattr(kneser_ney, "PIECE_BYTES", piece_bytes)
+    lang = F.coalesce("lang", F.lit("")).alias("lang")
+    rows = docs.select("doc_id", lang, "text").unionByName(odd.select("doc_id", lang, "text"))
+    few = kneser_ney.fit(kneser_ney.count(docs.where("doc_id % 7 = 0 AND lang <> 'de'").select("lang", "text")))
+    whole = kneser_ney.SortedHashes(few.toArrow())
+    texts = rows.toArrow().combine_chunks()
+    gram, at = kneser_ney.grams(texts.to_batches()[0])
+    bits = whole.lengths(gram, at, texts.column("lang").to_pylist()) / np.maximum(np.diff(at), 1)
+    none = np.isnan(bits) | (np.diff(at) == 0)
+    expected = zip(texts.column("doc_id").to_pylist(), texts.column("lang").to_pylist(), np.diff(at).tolist(), bits.tolist(), none.tolist())
+    out = kneser_ney.score(rows, few)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(d, x, n, None if no else b) for d, x, n, b, no in expected], key=str)
+    assert none.any() and not none.all()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()  # the texts are shuffled once
+
+
+def test_no_task_has_the_model_of_trusted_text(spark, monkeypatch):
+    def whole(*_):
+        raise AssertionError("the whole model")
+
+    monkeypatch.setattr(kneser_ney, "share", whole)
+    monkeypatch.setattr(kneser_ney, "SortedHashes", whole)
+    assert queries.op5_trusted_text(spark, SMALL).where("perplexity > 1").count() > 100
+
+
 def test_trusted_text_agrees_with_labels(spark):
     d = "/root/testdata/sf0.01"
     out = queries.op5_trusted_text(spark, d).where(ppm.held_out())
