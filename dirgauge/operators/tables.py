@@ -64,7 +64,7 @@ def open_tables(spark: SparkSession, root: str, version: int | None = None) -> d
 
 
 def write_parquet(df: DataFrame, table: str, path: str, mode: str) -> None:
-    writer = df.write.mode(mode).option("parquet.bloom.filter.adaptive.enabled", "true")
+    writer = df.write.mode(mode).option("compression", "zstd").option("parquet.bloom.filter.adaptive.enabled", "true")
     for column in LOOKUP_COLUMNS.get(table, []):
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     writer.parquet(path)

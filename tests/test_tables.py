@@ -1,3 +1,4 @@
+import pyarrow.parquet as pq
 import pytest
 from helpers import AS_OF, NOW, as_set, dirs, files, listing, rows, users
 from pyspark.sql import functions as F
@@ -132,3 +133,9 @@ def test_overwriting_a_table_with_its_own_rows(spark, root):
 def test_dirs_helper_matches_table(spark, root):
     tables.append_table(dirs(spark, (1, "/a", None)), root, "directories")
     assert rows(read(spark, root, "directories"), "dir_id", "path") == [(1, "/a")]
+
+
+def test_tables_are_stored_with_zstd(spark, tmp_path):
+    tables.write_parquet(spark.range(1000), "files", str(tmp_path / "t"), "error")
+    stored = [pq.ParquetFile(p).metadata for p in (tmp_path / "t").glob("*.parquet")]
+    assert {m.row_group(0).column(0).compression for m in stored if m.num_rows} == {"ZSTD"}
