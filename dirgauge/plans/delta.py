@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from dirgauge.functions import file_name
 from dirgauge.operators import rollups, tables
-from dirgauge.operators.joins import broadcast_if_small, heavy_keys, lookup_join, rows_having
+from dirgauge.operators.joins import Keys, broadcast_if_small, heavy_keys, lookup_join, rows_having
 from dirgauge.operators.tree import assign_ids, build_lineage, closure_of, max_id, number_rows, parents_of, with_parent
 from dirgauge.operators.versions import Commit
 from dirgauge.plans.build import ledger_rows
@@ -52,13 +52,18 @@ def _gone(changes: Commit, scanned: DataFrame, failed: DataFrame) -> DataFrame:
     """dir_id of every stored directory at or below one that a covered directory does not list any more."""
     covered = scanned.where("known").select(F.col("dir_id").alias("parent_id"))
     children = rows_having(changes.read("directories"), "parent_id", covered).select("dir_id", "path")
-    tops = children.join(broadcast_if_small(scanned.select("dir_id")), "dir_id", "left_anti")
+    tops = Keys(scanned.select("dir_id")).without(children)
     tops = tops.join(broadcast_if_small(failed.select("path").distinct()), "path", "left_anti")
     tops = materialise(tops.select("dir_id"), "tops")
     if tops.isEmpty():
         return tops
+    # only those with something below them are looked for in the lists of ancestors
+    parents = rows_having(changes.read("directories"), "parent_id", tops.select(F.col("dir_id").alias("parent_id")))
+    inner = materialise(parents.select(F.col("parent_id").alias("above")).distinct(), "inner-tops")
+    if inner.isEmpty():
+        return tops
     below = changes.read("directory_lineage").select("dir_id", F.explode("ancestors").alias("above"))
-    return materialise(below.join(broadcast_if_small(tops.select(F.col("dir_id").alias("above"))), "above", "left_semi").select("dir_id").distinct(), "gone")
+    return materialise(Keys(inner).having(below).select("dir_id").unionByName(tops).distinct(), "gone")
 
 
 def file_changes(stored: DataFrame, listed: DataFrame, covered: DataFrame, failed: DataFrame) -> DataFrame:
@@ -69,11 +74,14 @@ def file_changes(stored: DataFrame, listed: DataFrame, covered: DataFrame, faile
     the file is not among `failed` (dir_id, filename). Both sides have one row per (dir_id, filename).
     """
     sides = [df.select("dir_id", "filename", F.col("file_id").alias(f"{name}_id"), F.struct(*_STAT).alias(name)) for df, name in ((stored, "was"), (listed, "now"))]
-    both = sides[0].join(sides[1], ["dir_id", "filename"], "full")
-    both = both.join(broadcast_if_small(covered), "dir_id", "left").join(broadcast_if_small(failed.withColumn("failed", F.lit(True))), ["dir_id", "filename"], "left")
+    # what decides on a file that is not listed is looked up for the stored ones, before the sides are joined
+    was = Keys(covered.where("gone").select("dir_id")).flagged(sides[0], "gone")
+    was = Keys(covered.select("dir_id")).flagged(was, "covered")
+    was = Keys(failed).flagged(was, "failed")
+    both = was.join(sides[1], ["dir_id", "filename"], "full")
     op = (
         F.when(F.col("was").isNull(), "insert")
-        .when(F.col("now").isNull(), F.when(F.expr("gone OR gone IS NOT NULL AND failed IS NULL"), "remove").otherwise("same"))
+        .when(F.col("now").isNull(), F.when(F.expr("gone OR covered AND NOT failed"), "remove").otherwise("same"))
         .when(F.col("was").eqNullSafe(F.col("now")), "same")
         .otherwise("change")
     )
@@ -105,11 +113,19 @@ def _new_lineage(changes: Commit, scanned: DataFrame) -> DataFrame:
 
 
 def _replace_sums(changes: Commit, table: str, keys: list[str], names: dict[str, str], more: DataFrame) -> None:
-    """Add signed sums to the rows of a table; rows that come to no files go."""
-    stored = rows_having(changes.read(table), keys[0], more.select(keys[0]).distinct())
-    old = stored.join(broadcast_if_small(more.select(*keys)), keys, "left_semi").select(*keys, *[F.col(c).alias(n) for n, c in names.items()])
-    sums = old.unionByName(more.select(*keys, *names)).groupBy(*keys).agg(*[F.sum(n).alias(c) for n, c in names.items()])
-    changes.replace(table, more.select(*keys), sums.where(F.col(names["files"]) > 0))
+    """Add signed sums to the rows of a table; rows that come to no files go. More sums than are broadcast are added to all rows
+    of the table at once: to find the rows that have them would move as many, and more than once."""
+    def summed(old: DataFrame) -> DataFrame:
+        old = old.select(*keys, *[F.col(c).alias(n) for n, c in names.items()])
+        sums = old.unionByName(more.select(*keys, *names)).groupBy(*keys).agg(*[F.sum(n).alias(c) for n, c in names.items()])
+        return sums.where(F.col(names["files"]) > 0)
+
+    changed = Keys(more.select(*keys))
+    if changed.is_small:
+        stored = rows_having(changes.read(table), keys[0], more.select(keys[0]).distinct())
+        changes.replace(table, changed, summed(changed.having(stored)))
+    else:
+        changes.overwrite(summed(changes.read(table)).sortWithinPartitions(*keys), table)
 
 
 def apply_delta(spark: SparkSession, root: str, listing: DataFrame, as_of: str | datetime, run: str | None = None) -> DataFrame:
@@ -151,7 +167,7 @@ def _apply(changes: Commit, listing: DataFrame, seen: Column) -> tuple[DataFrame
     # which files were inserted, changed, removed
     gone = _gone(changes, scanned, bad)
     covered = scanned.where("known").select("dir_id", F.lit(False).alias("gone")).unionByName(gone.withColumn("gone", F.lit(True)))
-    touched = materialise(covered.select("dir_id").unionByName(files.select("dir_id")).distinct(), "touched")
+    touched = Keys(materialise(covered.select("dir_id").unionByName(files.select("dir_id")).distinct(), "touched"))
     listed = files.withColumn("filename", file_name(F.col("path"))).withColumnsRenamed({"uid": "owner_uid", "nlink": "hardlink_count"})
     unread = _placed(_named(entries.where("part = 'failed' AND path IS NOT NULL").select("path")), scanned, changes)
     unread = unread.where("_parent_id IS NOT NULL").select(F.col("_parent_id").alias("dir_id"), file_name(F.col("path")).alias("filename")).distinct()
@@ -160,7 +176,7 @@ def _apply(changes: Commit, listing: DataFrame, seen: Column) -> tuple[DataFrame
     if not changed.where("op <> 'remove' AND now.owner_uid IS NULL").isEmpty():
         raise ValueError("files without owner: user_stats.uid must not be NULL")
     written = changed.where("op <> 'remove'").select("file_id", "dir_id", "filename", "now.*", seen.alias("last_seen"))
-    changes.replace("files", changed.where("op <> 'insert'").select("file_id"), written)
+    changes.replace("files", changed.where("op <> 'insert'").select("dir_id", "file_id"), written)
 
     # directories and their places
     stored = rows_having(changes.read("directories"), "dir_id", scanned.where("known").select("dir_id"))
@@ -194,13 +210,14 @@ def _apply(changes: Commit, listing: DataFrame, seen: Column) -> tuple[DataFrame
     known = sums.unionByName(fresh.select("dir_id", "parent_id", *zero)).unionByName(removed.select("dir_id", F.lit(None).cast("bigint").alias("parent_id"), *zero))
     added = [F.max("parent_id").alias("parent_id"), *[F.sum(c).alias(c) for c in totals]]
     sums = materialise(known.groupBy("dir_id").agg(*added), "sums")
-    stats = rows_having(changes.read("directory_stats"), "dir_id", sums.select("dir_id"))
+    summed, left_out = Keys(sums.select("dir_id")), Keys(removed)
+    stats = rows_having(changes.read("directory_stats"), "dir_id", summed)
     stats = stats.select("dir_id", *totals).unionByName(sums, allowMissingColumns=True).groupBy("dir_id").agg(*added)
-    stats = materialise(stats.join(broadcast_if_small(removed), "dir_id", "left_anti").withColumn("last_computed", seen), "stats")
-    changes.replace("directory_stats", sums.select("dir_id"), stats)
+    stats = materialise(left_out.without(stats).withColumn("last_computed", seen), "stats")
+    changes.replace("directory_stats", summed, stats)
     tables.note_maxima(changes)
     if changes.tables.get("child_totals"):  # none in an inventory that was finished before this table was there
-        changes.replace("child_totals", sums.select("dir_id"), stats)
+        changes.replace("child_totals", summed, stats)
 
     owners = located.where("root_id IS NOT NULL").groupBy(F.col("owner_uid").alias("uid"), F.col("root_id").alias("dir_id")).agg(F.sum("bytes").alias("bytes"), F.sum("files").alias("files"))
     _replace_sums(changes, "user_stats", ["uid", "dir_id"], {"bytes": "total_bytes", "files": "file_count"}, materialise(owners, "owners"))
@@ -214,7 +231,8 @@ def _apply(changes: Commit, listing: DataFrame, seen: Column) -> tuple[DataFrame
     # the rows of the directories concerned: usage from their files, lists with their own totals
     left = all_files.where("op <> 'remove'").select("dir_id", F.coalesce("now", "was").alias("f")).select("dir_id", "f.*")
     usage = materialise(rollups.build_usage(left), "usage")
-    own = materialise(rows_having(changes.read("directory_lineage"), "dir_id", touched).select("dir_id", "ancestors", "root_id").join(broadcast_if_small(removed), "dir_id", "left_anti").unionByName(new_lists), "own-lineage")
+    own = rows_having(changes.read("directory_lineage"), "dir_id", touched).select("dir_id", "ancestors", "root_id")
+    own = materialise(left_out.without(own).unionByName(new_lists), "own-lineage")
     changes.replace("directory_usage", touched, rollups.locate_usage(usage, own))
     changes.replace("directory_lineage", touched, rollups.with_direct_stats(own, usage))
     changes.clear("directory_intervals")  # numbers of all later directories move: `finish` makes them anew

@@ -6,8 +6,9 @@ import pytest
 from helpers import AS_OF, as_set, listing, rows
 from pyspark.sql import functions as F
 
-from dirgauge.operators import tables
+from dirgauge.operators import joins, tables
 from dirgauge.operators.audit import audit
+from dirgauge.operators.joins import Keys
 from dirgauge.plans import build
 from dirgauge.plans.delta import apply_delta
 
@@ -130,3 +131,26 @@ def test_only_files_with_rows_concerned_are_written_anew(spark, tmp_path):
         assert changes.replace("users", keys, spark.createDataFrame([(3, "new", 1)], "uid bigint, username string, gid bigint")) == 2
     found = tables.read_table(spark, root, "users")
     assert found.count() == 58 and as_set(found.where("username = 'new'")) == {(3, "new", 1)}
+
+
+@pytest.mark.parametrize("most", [0, 1])
+def test_more_keys_than_are_broadcast_give_the_same(spark, tmp_path, root, monkeypatch, most):
+    """With 1 the ids go as bits, with 0 rows are moved."""
+    monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", most)
+    monkeypatch.setattr(joins, "if_few", lambda df: None)
+    scan = [
+        ("/r", "d", 0, 1), ("/r/f", "f", 2, 1), ("/r/a", "d", 0, 9), ("/r/a/f", "f", 11, 1), ("/r/a/g", "f", 100, 2, "IoError"), ("/r/a/h", "f", 7, 5),
+        ("/r/a/n", "d", 0, 6), ("/r/a/n/m", "d", 0, 6), ("/r/a/n/m/f", "f", 3, 6),  # x went, and b with y below it
+    ]
+    kept = [e for e in FIRST if e[0].startswith("/s")] + [("/r/a/g", "f", 100, 2)]
+    check(spark, tmp_path, root, scan, kept + [e for e in scan if len(e) == 4])
+
+
+def test_only_tops_with_something_below_are_looked_for_in_the_lists(spark, root, monkeypatch):
+    """All pairs of directories and ancestors were moved to find what lies below directories that have nothing below."""
+    looked = []
+    taken = Keys.having
+    monkeypatch.setattr(Keys, "having", lambda self, df: looked.append(df.columns) or taken(self, df))
+    apply_delta(spark, root, listing(spark, ("/r/a", "d", 0, 1), ("/r/a/f", "f", 10, 1), ("/r/a/g", "f", 100, 2)), AS_OF)
+    assert not [c for c in looked if "above" in c]
+    assert as_set(tables.read_table(spark, root, "directories"), "path") == {("/r",), ("/r/a",), ("/r/b",), ("/r/b/y",), ("/s",)}

@@ -167,6 +167,30 @@ def test_the_path_index_is_not_shuffled_to_find_parents(t, no_automatic_broadcas
     assert "BroadcastHashJoin" in plan_of(joins.rows_having(index, "path", keys))
 
 
+@pytest.mark.parametrize("most", [0, 50, 10_000])
+def test_keys_in_each_form_choose_the_same_rows(spark, most):
+    ids = [None, *range(-700, 700, 3), 2**62]
+    df = spark.createDataFrame([(i, j) for i in [None, *range(-1100, 1100), 2**62, 2**62 + 1] for j in (1, 2)], "id bigint, j bigint")
+    given = set(ids) - {None}
+    one = joins.Keys(spark.createDataFrame([(i,) for i in ids], "id bigint"), most)
+    two = joins.Keys(spark.createDataFrame([(i, 1) for i in ids], "id bigint, j bigint"), most)
+    assert (one.is_small, one.blocks is not None) == (most == 10_000, most == 50)
+    rows = [tuple(r) for r in df.collect()]
+    same = lambda found, wanted: sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, wanted))
+    assert same(one.having(df), [r for r in rows if r[0] in given]) and same(one.without(df), [r for r in rows if r[0] not in given])
+    assert same(two.having(df), [r for r in rows if r[0] in given and r[1] == 1])
+    assert same(two.without(df), [r for r in rows if r[0] not in given or r[1] == 2])
+    assert same(one.flagged(df, "f"), [(*r, r[0] in given) for r in rows]) and same(two.flagged(df, "f"), [(*r, r[0] in given and r[1] == 1) for r in rows])
+
+
+def test_rows_are_not_moved_to_find_many_close_ids(spark, no_automatic_broadcast):
+    stored = spark.range(0, 1_000_000, 2).select("id", F.lit("x").alias("name"))
+    keys = spark.range(0, 1_000_000, 3)  # more than are broadcast one by one
+    plan = plan_of(joins.rows_having(stored, "id", keys))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert joins.rows_having(stored, "id", keys).count() == 166_667
+
+
 def test_scans_read_only_the_columns_needed(t):
     plan = plan_of(reports.staleness(t, AS_OF))
     assert "inode" not in plan and "file_id" not in plan and "owner_uid" not in plan  # `files` is not read
