@@ -112,7 +112,8 @@ def append_inventory(
     # Children of one parent come out of the parent lookup together: sorted, they are also stored so.
     stamped = directories.withColumn("last_seen", seen).sortWithinPartitions("parent_id")
     known = changes.append(stamped, "directories")
-    changes.append(paths_of(directories), "directory_paths")
+    # without filesystems the rows as stored say all, and parents are not looked up again
+    changes.append(paths_of(directories if "filesystem" in directories.columns else known), "directory_paths")
     named = files.withColumn("filename", file_name(F.col("path")))
     return known, changes.append(named.withColumn("last_seen", seen), "files")
 

@@ -63,7 +63,6 @@ def take_in(
     files, again = split_repeated_files(files)
     paths = changes.read("directory_paths")
     directories, resolved = resolve_tree(dirs, files, max_id(changes.read("directories"), "dir_id"), 0, paths, roots)
-    resolved = materialise(resolved, "resolved") if seen["f"] else resolved
     lost = resolved.where("dir_id IS NULL").select("path", F.lit("NoParent").alias("error_kind"))
     known, found = tables.append_inventory(changes, directories, resolved.where("dir_id IS NOT NULL"), as_of)
     bad = entries.where("part = 'failed'").select("path", F.col("kind").alias("error_kind"))

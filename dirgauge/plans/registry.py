@@ -50,10 +50,10 @@ def _listing_files(t: OrderTree) -> str:
     """The listing as stored by a scanner: zoned timestamps, Parquet files in the shared folder."""
     if not hasattr(t, "_listing_path"):
         path = scratch_path(t.spark, "raw-listing")
-        raw = t["listing"]
+        raw = t.derived("listing")
         raw.select(
             *[F.col(c).cast("timestamp") if c.endswith("time") else F.col(c) for c in raw.columns]
-        ).write.parquet(path)
+        ).write.option("compression", "zstd").parquet(path)
         t._listing_path = path
     return t._listing_path
 

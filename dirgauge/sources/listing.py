@@ -98,7 +98,7 @@ def stage_entries(listing: DataFrame, path: str) -> tuple[DataFrame, Row]:
     parts = ("d", "f", "failed", "skipped")
     rows = listing.withColumn("kind", failure(listing)).withColumn("part", part.otherwise(F.col("entry_type")))
     rows = rows.withColumn("path", F.when(F.col("kind").isNull(), tidy).otherwise(F.col("path"))).drop("error_kind")
-    rows.write.partitionBy("part").parquet(path)
+    rows.write.option("compression", "zstd").partitionBy("part").parquet(path)
     stored = listing.sparkSession.read.schema(T.StructType(rows.schema.fields)).parquet(path)
     # rows are counted as stored: file footers tell, no column is read
     held = {r["part"]: r["count"] for r in stored.groupBy("part").count().collect()}

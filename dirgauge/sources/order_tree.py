@@ -60,6 +60,10 @@ class OrderTree(Mapping[str, DataFrame]):
             self._tables[name] = self.spark.read.schema(derived.schema).parquet(path)
         return self._tables[name]
 
+    def derived(self, name: str) -> DataFrame:
+        """A table that is read once: as kept if it is, else without storing it."""
+        return self._tables[name] if name in self._tables else self._recipes()[name]()
+
     def __iter__(self):
         return iter(self._recipes())
 

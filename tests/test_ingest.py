@@ -1,7 +1,7 @@
 import pytest
 from helpers import AS_OF, listing, rows
 
-from dirgauge.operators import tables
+from dirgauge.operators import tables, tree
 from dirgauge.operators.tree import resolve_tree
 from dirgauge.plans import build
 from dirgauge.sources.listing import classify
@@ -55,6 +55,28 @@ def test_a_later_listing_finds_stored_parents(spark, root):
     assert errors.count() == 0
 
 
+def test_files_of_listed_directories_are_not_looked_up_among_the_stored(spark, root, monkeypatch):
+    """The directories of all files were collected and compared with the listed ones, and what was found was joined to all files."""
+    looked, taken = [], tree._stored_parents
+
+    def counted(entries, listed, stored):
+        looked.append(sorted(r[0] for e in entries for r in e.select("path").collect() if r[0]))
+        return taken(entries, listed, stored)
+
+    monkeypatch.setattr(tree, "_stored_parents", counted)
+    build.ingest(spark, root, listing(spark, ("/d", "d"), ("/d/old", "f", 1, 1)), AS_OF)
+    assert looked == [["/d"]]
+    entries = listing(spark, ("/e", "d"), ("/e/x", "f", 1, 1), ("/d/new", "f", 1, 1), ("/gone/f", "f", 1, 1))
+    named = entries.withColumn("filesystem", F.lit(""))
+    for again, name in ((entries, "new"), (named.where("path <> '/e'").withColumn("path", F.replace("path", F.lit("new"), F.lit("newer"))), "newer")):
+        looked.clear()
+        errors = build.ingest(spark, root, again, AS_OF)
+        assert rows(errors) == [("/gone/f", "NoParent")]
+        assert ("/d", name) in stored(spark, root)[1]
+        assert looked[-1] == sorted(["/gone/f", f"/d/{name}"] + ["/e/x"] * (name == "newer"))
+    assert stored(spark, root)[1] == [("/d", "new"), ("/d", "newer"), ("/d", "old"), ("/e", "x"), ("/e", "x")]
+
+
 def test_given_roots_have_no_parent(spark, root):
     build.ingest(spark, root, listing(spark, ("/", "d"), ("/data", "d")), AS_OF, roots=["/", "/data/"])
     assert stored(spark, root)[0] == [("/", None), ("/data", None)]
