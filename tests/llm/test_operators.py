@@ -229,6 +229,24 @@ def test_no_task_has_the_model_of_trusted_text(spark, monkeypatch):
     assert queries.op5_trusted_text(spark, SMALL).where("perplexity > 1").count() > 100
 
 
+def test_no_task_has_the_model_of_the_rules(spark, monkeypatch):
+    d = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang", "text").toArrow().combine_chunks()
+    whole = kneser_ney.SortedHashes
+
+    def none(*_):
+        raise AssertionError("the whole model")
+
+    monkeypatch.setattr(kneser_ney, "share", none)
+    monkeypatch.setattr(kneser_ney, "SortedHashes", none)
+    made, fit = [], kneser_ney.fit
+    monkeypatch.setattr(kneser_ney, "fit", lambda counts: made.append(fit(counts)) or made[0])
+    found = {r.doc_id: r.perplexity for r in queries.op4_perplexity_rules(spark, SMALL).collect()}
+    gram, at = kneser_ney.grams(d.to_batches()[0])
+    bits = whole(made[0].toArrow()).lengths(gram, at, d.column("lang").to_pylist()) / np.maximum(np.diff(at), 1)
+    for i, b, n in zip(d.column("doc_id").to_pylist(), bits.tolist(), np.diff(at).tolist()):
+        assert found[i] == (pytest.approx(2.0**b, rel=1e-12) if n else None)
+
+
 def test_trusted_text_agrees_with_labels(spark):
     d = "/root/testdata/sf0.01"
     out = queries.op5_trusted_text(spark, d).where(ppm.held_out())
